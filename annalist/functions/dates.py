@@ -10,7 +10,7 @@ FAR_DAYS = 10**9
 def iso_date(c: Column) -> Column:
     """First ten characters as a date; anything but YYYY-MM-DD gives NULL."""
     head = F.substring(c, 1, 10)
-    return F.when(head.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(head, F.lit("yyyy-MM-dd")))
+    return F.when(head.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), head.try_cast("date"))
 
 
 def day_gap(a: Column, b: Column) -> Column:
@@ -27,7 +27,7 @@ def mail_date(c: Column) -> Column:
     """Calendar day of an RFC 2822 date in its own offset, as text; NULL if unreadable."""
     day = F.regexp_extract(c, r"(?i)\b(\d{1,2}\s+[a-z]{3}\s+\d{4})\s+\d{1,2}:\d{2}", 1)
     clean = F.initcap(F.regexp_replace(day, r"\s+", " "))
-    return F.try_to_date(clean, F.lit("d MMM yyyy")).cast("string")
+    return F.try_to_date(clean, "d MMM yyyy").cast("string")
 
 
 # The words of a displayed date.
