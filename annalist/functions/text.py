@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 # The white-space class of a Unicode strip, in Java syntax.
@@ -135,36 +137,21 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", "")
 
 
-# The named character references resolved in markup bodies.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&amp;": "&",
-}
-
-
-def _number_references(text: Column) -> Column:
-    """Resolve &#NNN; and &#xHHH; references."""
+def unescape(text: Column, names: dict[str, int] = name2codepoint) -> Column:
+    """Resolve named and numeric character references in one pass; unknown ones stay."""
+    table = F.create_map(*[F.lit(x) for name, code in names.items() for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
 
     def resolve(part: Column, i: Column) -> Column:
-        digits = F.regexp_extract(part, r"\A([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        name = F.regexp_extract(part, r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.substr(name, F.lit(2))
         code = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits)
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-        rest = F.substr(part, F.length(digits) + 2)
-        return F.when(i == 0, part).when(digits == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(char, rest))
-
-    fixed = F.array_join(F.transform(F.split(text, "&#", -1), resolve), "")
-    return F.when(F.contains(text, F.lit("&#")), fixed).otherwise(text)
-
+        number = F.decode(F.unhex(F.lpad(F.hex(code.try_cast("long")), 8, "0")), "UTF-32")
+        char = F.when(name.startswith("#"), number).otherwise(table[name])
+        found = F.concat(char, F.substr(part, F.length(name) + 2))
+        return F.when(i == 0, part).otherwise(F.coalesce(found, F.concat(F.lit("&"), part)))
 
-def unescape(text: Column) -> Column:
-    out = _number_references(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    fixed = F.array_join(F.transform(F.split(text, "&", -1), resolve), "")
+    return F.when(F.contains(text, F.lit("&")), fixed).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:

@@ -243,7 +243,7 @@ def chunk_documents(
     for chunker, types in by_chunker.items():
         choice = F.when(F.col("source_type").isin(types), chunker(F.col("_scope.text"))).otherwise(choice)
     kept = keep or ["doc_id"]
-    out = exploded(scoped, choice, [*kept, "_scope.base"])
+    out = exploded(scoped.withColumn("base", F.col("_scope.base")), choice, [*kept, "base"])
     return out.select(
         *kept,
         "chunk_index",

@@ -114,8 +114,14 @@ def extract_pending(chunks: DataFrame, events: DataFrame, documents: DataFrame,
 def ordered_distinct(values: Column) -> Column:
     """Trimmed values without blanks; later spellings that differ only in case are dropped."""
     clean = F.filter(F.transform(values, tx.ustrip), lambda v: F.coalesce(F.length(v) > 0, F.lit(False)))
-    lowered = F.transform(clean, F.lower)
-    return F.filter(clean, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    keyed = F.transform(clean, lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("at"), v.alias("v")))
+    # sorted by key, the first of each run of equal keys is the first spelling
+    firsts = F.transform(
+        F.array(F.array_sort(keyed)),
+        lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])),
+    )[0]
+    in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v"))))
+    return F.transform(in_order, lambda x: x["v"])
 
 
 def job_tasks(raw_text: Column, min_task: int = MIN_TASK) -> Column:
