@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -39,6 +40,11 @@ def filled(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and build on it (a let-binding)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def running_starts(lengths: Column) -> Column:
     """Exclusive prefix sums of an int array, in blocks so that long arrays stay cheap."""
 
@@ -56,16 +62,19 @@ def running_starts(lengths: Column) -> Column:
     def total(items: Column) -> Column:
         return F.aggregate(items, F.lit(0).cast("long"), lambda a, n: a + n)
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / F.lit(_BLOCK)).cast("int")),
-        lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)),
-    )
-    bases = scan(F.transform(blocks, total), F.lit(0))
-    many = F.flatten(F.zip_with(blocks, bases, scan))
-    one = scan(lengths, F.lit(0))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<long>")).when(
-        F.size(lengths) <= _BLOCK, one
-    ).otherwise(many)
+    def build(ns: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(ns) - 1) / F.lit(_BLOCK)).cast("int")),
+            lambda b: F.slice(ns, b * _BLOCK + 1, F.lit(_BLOCK)),
+        )
+        bases = scan(F.transform(blocks, total), F.lit(0))
+        return (
+            F.when(F.size(ns) == 0, F.array().cast("array<long>"))
+            .when(F.size(ns) <= _BLOCK, scan(ns, F.lit(0)))
+            .otherwise(F.flatten(F.zip_with(blocks, bases, scan)))
+        )
+
+    return once(lengths, build)
 
 
 def pieces_at_paragraphs(text: Column) -> Column:
@@ -83,10 +92,13 @@ def pieces_at(text: Column, heading: str) -> Column:
     safe = F.translate(text, _MARK, "\u0002")
     marked = F.regexp_replace(safe, f"(?Udm){heading}", _MARK + "$0")
     pieces = F.split(marked, _MARK, -1)
-    original = F.zip_with(
+    original = once(
         pieces,
-        running_starts(F.transform(pieces, F.length)),
-        lambda p, s: F.substring(text, (s + 1).cast("int"), F.length(p)),
+        lambda ps: F.zip_with(
+            ps,
+            running_starts(F.transform(ps, F.length)),
+            lambda p, s: F.substring(text, (s + 1).cast("int"), F.length(p)),
+        ),
     )
     return F.when(F.contains(text, F.lit(_MARK)), original).otherwise(pieces)
 
@@ -114,23 +126,28 @@ def normalised_span(text: Column, start: Column, end: Column) -> Column:
     Texts without a run of two white-space characters map one to one; only the
     others pay for the index array.
     """
-    chars = F.split(text, "")
-    blank = F.transform(chars, lambda ch: ch.rlike(rf"(?U)\A{SPACE}\z"))
-    kept = F.filter(
-        F.sequence(F.lit(0), F.size(chars) - 1),
-        lambda i: (i == 0) | ~(F.get(blank, i) & F.get(blank, i - 1)),
-    )
-    simple = ~text.rlike(rf"(?U){SPACE}{SPACE}")
+
+    def kept_places(chars: Column) -> Column:
+        blanks = F.transform(chars, lambda ch: ch.rlike(rf"(?U)\A{SPACE}\z"))
+        return once(
+            blanks,
+            lambda bs: F.filter(
+                F.sequence(F.lit(0), F.size(bs) - 1), lambda i: (i == 0) | ~(F.get(bs, i) & F.get(bs, i - 1))
+            ),
+        )
+
     stop = F.greatest(end, start + 1)
+    simple = ~text.rlike(rf"(?U){SPACE}{SPACE}")
+    n = F.length(text)
 
-    def at(index: Column) -> Column:
-        return F.when(simple, index).otherwise(F.get(kept, index))
+    def span(first: Column, last: Column) -> Column:
+        return F.struct(first.cast("int").alias("start"), (last + 1).cast("int").alias("end"))
 
-    n = F.when(simple, F.length(text)).otherwise(F.size(kept))
-    return F.struct(
-        at(F.least(start, n - 1)).cast("int").alias("start"),
-        (at(F.least(stop, n) - 1) + 1).cast("int").alias("end"),
+    mapped = once(
+        once(F.split(text, ""), kept_places),
+        lambda ks: span(F.get(ks, F.least(start, F.size(ks) - 1)), F.get(ks, F.least(stop, F.size(ks)) - 1)),
     )
+    return F.when(simple, span(F.least(start, n - 1), F.least(stop, n) - 1)).otherwise(mapped)
 
 
 def strip_tags(text: Column) -> Column:

@@ -19,10 +19,11 @@ def hashed_vector(text: Column) -> Column:
         F.lit(_SYMBOLS), F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % BUCKETS + 1, F.lit(1)
     )
     row = F.array_join(F.transform(words, symbol), "")
-    counts = F.array(
-        *[(F.length(row) - F.length(F.replace(row, F.lit(s), F.lit("")))).cast("double") for s in _SYMBOLS]
+    counted = lambda r: F.array(
+        *[(F.length(r) - F.length(F.replace(r, F.lit(s), F.lit("")))).cast("double") for s in _SYMBOLS]
     )
-    return scaled(counts)
+    # the one-element array makes the symbol row, then the counts, a value that is computed once
+    return F.transform(F.transform(F.array(row), counted), scaled)[0]
 
 
 def norm(v: Column) -> Column:

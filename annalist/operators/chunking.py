@@ -42,26 +42,23 @@ def _chunk(heading: Column, text: Column, start: Column, end: Column) -> Column:
 
 def _trimmed(piece: Column, start: Column, heading: Column) -> Column:
     """The chunk of one piece: white space outside its span is shaved off."""
-    left = tx.ulstrip(piece)
-    core = tx.urstrip(left)
-    begin = start + F.length(piece) - F.length(left)
-    return _chunk(heading, core, begin, begin + F.length(core))
 
+    def cut(left: Column) -> Column:
+        begin = start + F.length(piece) - F.length(left)
+        return tx.once(tx.urstrip(left), lambda core: _chunk(heading, core, begin, begin + F.length(core)))
 
-def _starts(pieces: Column) -> Column:
-    return tx.running_starts(F.transform(pieces, F.length))
+    return tx.once(tx.ulstrip(piece), cut)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and build on it (a let-binding)."""
-    return F.transform(F.array(value), use)[0]
+def _starts(pieces: Column) -> Column:
+    return tx.running_starts(F.transform(pieces, F.length))
 
 
 def paragraphs(text: Column, min_length: int = 0, heading: Column | None = None, base: Column | None = None) -> Column:
     """Chunks of the runs of lines between empty lines, at least ``min_length`` long."""
     head = F.lit(None) if heading is None else heading
     origin = F.lit(0) if base is None else base
-    cut = _once(
+    cut = tx.once(
         tx.pieces_at_paragraphs(text),
         lambda ps: F.zip_with(ps, _starts(ps), lambda p, s: _trimmed(p, s + origin, head)),
     )
@@ -98,9 +95,9 @@ def overlap_chunks(text: Column, overlap: int = OVERLAP, min_length: int = MIN_P
 
         return F.transform(found, one)
 
-    return _once(
+    return tx.once(
         tx.pieces_at_paragraphs(text),
-        lambda ps: _once(F.struct(ps.alias("pieces"), located(ps).alias("found")), widen),
+        lambda ps: tx.once(F.struct(ps.alias("pieces"), located(ps).alias("found")), widen),
     )
 
 
@@ -115,7 +112,7 @@ def _sections(text: Column, heading: str) -> Column:
         )
         return F.slice(both, F.lit(2), F.size(both))
 
-    return _once(tx.pieces_at(text, heading), label)
+    return tx.once(tx.pieces_at(text, heading), label)
 
 
 def heading_chunks(text: Column, max_section: int = MAX_SECTION) -> Column:
@@ -128,7 +125,7 @@ def heading_chunks(text: Column, max_section: int = MAX_SECTION) -> Column:
         parts = paragraphs(body, 0, head, s["start"] + F.length(s["head"]))
         return F.when(F.length(s["piece"]) <= max_section, whole).otherwise(parts)
 
-    return _once(
+    return tx.once(
         _sections(text, MARKDOWN_HEADING),
         lambda ss: F.when(F.size(ss) == 0, paragraphs(text)).otherwise(F.flatten(F.transform(ss, split_section))),
     )
@@ -149,26 +146,24 @@ def section_chunks(text: Column, min_body: int = MIN_SECTION_BODY) -> Column:
             s = F.get(ss, i)
             return F.length(s["piece"]) - F.length(tx.ustrip(s["head"])) >= min_body
 
-        long_ones = F.filter(F.sequence(F.lit(0), last), is_long)
-        ends = F.when(F.size(long_ones) == 0, F.array(last)).otherwise(
-            F.concat(F.slice(long_ones, F.lit(1), F.size(long_ones) - 1), F.array(last))
-        )
+        def group(longs: Column) -> Column:
+            ends = F.when(F.size(longs) == 0, F.array(last)).otherwise(
+                F.concat(F.slice(longs, F.lit(1), F.size(longs) - 1), F.array(last))
+            )
 
-        def group(bounds: Column) -> Column:
             def one(end: Column, k: Column) -> Column:
-                # the group begins after the long section that closed the previous one
-                first = F.when(k == 0, F.lit(0)).otherwise(F.get(long_ones, k - 1) + 1)
+                # a group begins after the long section that closed the one before
+                first = F.when(k == 0, F.lit(0)).otherwise(F.get(longs, k - 1) + 1)
                 s = F.get(ss, first)
-                joined = F.array_join(
-                    F.transform(F.slice(ss, first + 1, end - first + 1), lambda x: x["piece"]), ""
-                )
+                members = F.slice(ss, first + 1, end - first + 1)
+                joined = F.array_join(F.transform(members, lambda x: x["piece"]), "")
                 return _trimmed(joined, s["start"], tx.ustrip(s["head"]))
 
-            return F.transform(bounds, one)
+            return F.transform(ends, one)
 
-        return _once(ends, group)
+        return tx.once(F.filter(F.sequence(F.lit(0), last), is_long), group)
 
-    return _once(
+    return tx.once(
         _sections(text, SECTION_HEADING),
         lambda ss: F.when(F.size(ss) == 0, paragraphs(text)).otherwise(
             F.filter(fold(ss), lambda c: F.length(c["text"]) > 0)
@@ -197,7 +192,7 @@ def scoped_section(text: Column, keyword: str = BUSINESS_SECTION) -> Column:
             F.coalesce(hit["start"], F.lit(0).cast("long")).alias("base"),
         )
 
-    return _once(_sections(text, ROMAN_HEADING), pick)
+    return tx.once(_sections(text, ROMAN_HEADING), pick)
 
 
 # Which chunker serves which kind of source; callers may pass their own table.

@@ -408,7 +408,7 @@ def titles_to_rewrite(spark, sf_dir):
 
 def _mangled(q: Column) -> Column:
     """The quote as a careless copy gives it: capitals, doubled spaces, curly quotes."""
-    return F.translate(F.replace(F.upper(q), F.lit(" "), F.lit("  ")), '"', "”")
+    return F.translate(F.replace(q, F.lit(" "), F.lit("  ")), 'abcdefghijklmnopqrstuvwxyz"', "ABCDEFGHIJKLMNOPQRSTUVWXYZ”")
 
 
 def _line_chunks(spark, sf_dir) -> DataFrame:
@@ -430,7 +430,7 @@ QUOTES_SQL = f"""{SPACED_SQL}, {sq.paragraphs('src', 'p')},
 par AS ({sq.numbered('p', sq.NULL_TEXT)}),
 sent AS (SELECT doc_id, chunk_index, start_offset AS base, text, unnest({SENTENCES_SQL.format(t='text')}) AS q,
   generate_subscripts({SENTENCES_SQL.format(t='text')}, 1) - 1 AS sentence_no FROM par),
-quo AS (SELECT *, translate(replace(upper(q), ' ', '  '), '"', '”') AS raw_quote FROM sent WHERE {_WORD_CASE(1)} IS NOT NULL),
+quo AS (SELECT *, translate(replace(q, ' ', '  '), 'abcdefghijklmnopqrstuvwxyz"', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ”') AS raw_quote FROM sent WHERE {_WORD_CASE(1)} IS NOT NULL),
 loc AS (SELECT *, regexp_replace({NORM_SQL.format(x='raw_quote')}, '^\\s+|\\s+$', '', 'g') AS nq, {NORM_SQL.format(x='text')} AS nt FROM quo),
 hit AS (SELECT *, instr(nt, nq) AS spot, CASE WHEN regexp_matches(text, '\\s\\s') THEN list_filter(range(0, length(text)),
   lambda i: i = 0 OR NOT regexp_matches(substr(text, i, 2), '^\\s\\s$')) ELSE range(0, length(text)) END AS kept FROM loc),
@@ -486,7 +486,7 @@ KEYS_SQL = """k AS (SELECT *, TRY_CAST(event_date AS DATE) AS d, lower(trim(null
 
 def _pair_sql(window: int) -> str:
     return f"""prs AS (SELECT a.event_id AS a_id, b.event_id AS b_id, CAST(abs(a.d - b.d) AS INTEGER) AS days,
-  a.event_type AS at, b.event_type AS bt, a.entity AS ae, b.entity AS be, a.domain AS ad, b.domain AS bd
+  a.event_type AS a_kind, b.event_type AS b_kind, a.entity AS ae, b.entity AS be, a.domain AS ad, b.domain AS bd
   FROM k a JOIN k b ON a.company_id = b.company_id AND a.event_id < b.event_id
   WHERE (a.ek = b.ek AND (a.d IS NULL OR b.d IS NULL OR abs(a.d - b.d) <= {window}))
      OR (a.dk = b.dk AND abs(a.d - b.d) <= least({window}, 3)))"""
@@ -518,7 +518,7 @@ def top_candidates(spark, sf_dir):
     return pr.top_candidates(tb.events(spark, sf_dir))
 
 
-DECIDED_SQL = """CASE WHEN ae <> '' AND ae = be AND at = bt THEN 'same_event'
+DECIDED_SQL = """CASE WHEN ae <> '' AND ae = be AND a_kind = b_kind THEN 'same_event'
   WHEN (ae <> '' AND ae = be) OR (ad <> '' AND ad = bd) THEN 'related_distinct' ELSE 'unrelated' END"""
 
 
@@ -575,8 +575,8 @@ for _name, _window in (("seed_clusters", 30), ("seed_clusters_7d", 7)):
 
 @query(
     "cluster_counts",
-    f"""WITH RECURSIVE {_cluster_sql(30)} SELECT count_if(action = 'new') AS new_canonical, count_if(action = 'merged') AS merged,
-CAST(0 AS BIGINT) AS flagged_for_review, count_if(action = 'deferred') AS deferred_news_event FROM asg""",
+    f"""WITH RECURSIVE {_cluster_sql(30)} SELECT count(*) FILTER (action = 'new') AS new_canonical, count(*) FILTER (action = 'merged') AS merged,
+CAST(0 AS BIGINT) AS flagged_for_review, count(*) FILTER (action = 'deferred') AS deferred_news_event FROM asg""",
 )
 def cluster_counts(spark, sf_dir):
     return cl.tally(_assigned(spark, sf_dir))
@@ -1032,7 +1032,7 @@ rel AS (SELECT a_id, b_id, {DECIDED_SQL} AS relationship_type, i.review_status F
 
 @query(
     "review_summary",
-    f"""WITH {tb.EVENTS_SQL}, {RELATIONS_SQL} SELECT c.company_id, count_if(i.review_status = 'pending') AS pending_evidence,
+    f"""WITH {tb.EVENTS_SQL}, {RELATIONS_SQL} SELECT c.company_id, count(*) FILTER (i.review_status = 'pending') AS pending_evidence,
 (SELECT count(*) FROM rel WHERE review_status = 'pending' AND relationship_type = 'same_event') AS pending_duplicate_relationships,
 (SELECT count(*) FROM rel WHERE review_status = 'pending') AS pending_thread_relationships
 FROM (SELECT DISTINCT company_id FROM ev) c LEFT JOIN evi i USING (company_id) GROUP BY c.company_id""",

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annalist.session import cut
+from annalist.session import cut, spread
 
 SOURCE_TYPES = ["dart", "ir", "press_release", "tech_blog", "ceo_letter", "news"]
 
 
+KEY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, KEY[name]) if name in KEY else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ COMPANIES_SQL = "comps AS (SELECT DISTINCT company_id, 'company ' || company_id
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted events; doc_id spreads them over all documents."""
-    n_docs = read(spark, sf_dir, "documents").count()
+    n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     key = F.col("event_id")
     entity = F.regexp_extract("props", r'"k":\s*(\d+)', 1)
     return read(spark, sf_dir, "events").select(

@@ -55,3 +55,16 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when a count proves it small; otherwise leave it to AQE."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan of few files over all cores; a scan with enough splits stays as it is.
+
+    Only for frames that are plain reads: counting their splits runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
