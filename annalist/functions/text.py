@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The white-space class of a Unicode strip, in Java syntax.
 SPACE = r"[\s\x1c-\x1f]"
@@ -45,6 +45,15 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def numbered(df: DataFrame, keep: list[str], items: Column, pos: str, item: str) -> DataFrame:
+    """One row per array element with its position from 0.
+
+    The outer form plus a filter gives the rows of ``posexplode``, but keeps the optimizer
+    from adding a check of the array below the shuffle, which would compute it again there.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def running_starts(lengths: Column) -> Column:
     """Exclusive prefix sums of an int array, in blocks so that long arrays stay cheap."""
 

@@ -208,7 +208,7 @@ CHUNKERS: dict[str, Chunker] = {
 
 def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     """One row per chunk with ``chunk_index`` from 0 and the kept columns."""
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "c")).select(*keep, "chunk_index", "c.*")
+    return tx.numbered(df, keep, chunks, "chunk_index", "c").select(*keep, "chunk_index", "c.*")
 
 
 def chunk_documents(

@@ -33,7 +33,7 @@ from annalist.operators.pairs import (
     keyed,
     nearest_candidates,
 )
-from annalist.session import broadcast_if_small, cut, fits
+from annalist.session import broadcast_if_small, cut, fits, shuffle_width
 
 ISLAND_ROWS = 100_000
 
@@ -66,6 +66,15 @@ def islands(rows: DataFrame, window_days: int) -> DataFrame:
     )
 
 
+def records(pdf: pd.DataFrame) -> list[dict]:
+    """Rows as dicts with None for missing values."""
+    columns = {}
+    for c in pdf.columns:
+        values, blank = pdf[c].tolist(), pdf[c].isna()
+        columns[c] = [None if b else v for v, b in zip(values, blank)] if blank.any() else values
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
+
+
 class _Shelf:
     """Seeds of one group by key and day, at most k per day: enough to list the k nearest."""
 
@@ -143,7 +152,7 @@ RESULT = "event_id long, company_id {company}, action string, canonical_id long,
 
 def _fold_group(window: int, k: int, rule: RuleClassifier):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        rows = records(pdf)
         rows.sort(key=lambda r: (r["_d"], r["_id"]))
         old, new = (_Shelf(k), _Shelf(k)), (_Shelf(k), _Shelf(k))
         for r in rows:
@@ -245,6 +254,7 @@ def assign_events(
     company = next(f.dataType.simpleString() for f in events.schema.fields if f.name == "company_id")
     folded = (
         placed.where(F.col("_size") <= island_rows)
+        .repartition(shuffle_width(events.sparkSession), "_company", "_island")  # few bytes, much work
         .groupBy("_company", "_island")
         .applyInPandas(_fold_group(window_days, k, rule), RESULT.format(company=company))
     )

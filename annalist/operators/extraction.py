@@ -75,7 +75,7 @@ def keyword_events(
             for w, t, a in families
         ]
     )
-    rows = chunks.select(*keep, company, date, F.posexplode(tx.sentences(F.col(text))).alias("sentence_no", "raw_quote"))
+    rows = tx.numbered(chunks, [*keep, company, date], tx.sentences(F.col(text)), "sentence_no", "raw_quote")
     lowered = F.lower("raw_quote")
     any_word = F.lit(False)
     for word, _, _ in families:

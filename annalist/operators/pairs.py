@@ -270,7 +270,8 @@ def top_candidates(df: DataFrame, window_days: int = EVENT_WINDOW, k: int = MAX_
     """Rows (item_id, rank, candidate_id, days): the k nearest candidates of every record."""
     base = keyed(df, **names).select("_id", "_company", "_d", "_entity", "_domain", *FACTS)
     near = nearest_candidates(base, base, window_days, k)
-    return near.select(F.col("_id").alias("item_id"), F.posexplode("near").alias("pos", "c")).select(
+    rows = near.select(F.col("_id").alias("item_id"), "near")
+    return tx.numbered(rows, ["item_id"], F.col("near"), "pos", "c").select(
         "item_id",
         (F.col("pos") + 1).alias("rank"),
         F.col("c.id").alias("candidate_id"),

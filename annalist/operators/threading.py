@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annalist.functions import text as tx
 from annalist.functions.dates import FAR_DAYS
-from annalist.operators.clustering import islands
+from annalist.operators.clustering import islands, records
 from annalist.operators.pairs import (
     CANONICAL_WINDOW,
     DOMAIN_WINDOW,
@@ -34,7 +34,7 @@ from annalist.operators.pairs import (
     auto_apply_value,
     keyed,
 )
-from annalist.session import broadcast_if_small, cut, fits
+from annalist.session import broadcast_if_small, cut, fits, shuffle_width
 
 SLICE_ROWS = 100_000
 
@@ -179,7 +179,7 @@ def _turns(window: int, k: int, rule: RuleClassifier):
         return kind == "related_distinct" and auto_apply_value(kind, confidence)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        rows = records(pdf)
         rows.sort(key=lambda r: (r["_d"], r["_id"]))
         threads: list[dict] = []
         lasts, by_entity, by_domain, gone = _Lasts(), _Open(), _Open(), set()
@@ -399,7 +399,10 @@ def link_threads(
     parts = cut(islands(rows, window_days))
     placed = rows.join(broadcast_if_small(parts), ["_company", "_d"])
     small = (
-        placed.where(F.col("_size") <= slice_rows).groupBy("_company", "_island").applyInPandas(fold, OUT)
+        placed.where(F.col("_size") <= slice_rows)
+        .repartition(shuffle_width(canonical.sparkSession), "_company", "_island")
+        .groupBy("_company", "_island")
+        .applyInPandas(fold, OUT)
     ).where(F.col("kind") != "state")
     out = small.unionByName(alone)
     if fits(parts.where(F.col("_size") > slice_rows), 0):

@@ -875,7 +875,7 @@ SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(n / norm, 6) AS weight F
 )
 def hashed_vectors(spark, sf_dir):
     rows = tb.read(spark, sf_dir, "documents").select("doc_id", hashed_vector(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight > 0").select(
+    return tx.numbered(rows, ["doc_id"], F.col("v"), "bucket", "weight").where("weight > 0").select(
         "doc_id", "bucket", six("weight").alias("weight")
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,3 +70,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers of a session that was started elsewhere."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / package.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _SHIPPED.add(app)
+    return spark
