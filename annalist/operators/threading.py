@@ -286,7 +286,7 @@ def _sliced(rows: DataFrame, group: list[str], window: int, k: int, fold, slice_
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"{g} {types[g]}" for g in group], OUT])
 
-    def fold_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return fold(pdf).assign(**dict(zip(group, key)))[[*group, *_OUT_NAMES]]
 
     def in_reach(df: DataFrame, bounds: DataFrame) -> DataFrame:
