@@ -60,6 +60,9 @@ SEED = "id long, d long, entity_key string, domain_key string, event_type string
 OUT = "event_id long, company_id long, action string, canonical_id long"
 
 
+_INNER = {"id": "_id", "d": "_d", "entity_key": "_entity", "domain_key": "_domain"}
+
+
 class SeedClusters(StatefulProcessor):
     """Greedy clusters of one company; the state is its live seeds.
 
@@ -76,7 +79,8 @@ class SeedClusters(StatefulProcessor):
         self.newest = handle.getValueState("newest", "d long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = [r for pdf in rows for r in records(pdf)]
+        # plain names outside: the stateful API renames columns with a leading underscore
+        batch = [{_INNER.get(c, c): v for c, v in r.items()} for pdf in rows for r in records(pdf)]
         batch.sort(key=lambda r: (r["_d"], r["_id"]))
         live = [
             {"_id": s[0], "_d": s[1], "_entity": s[2], "_domain": s[3], "event_type": s[4], "entity": s[5], "domain": s[6]}
@@ -121,7 +125,15 @@ def stream_clusters(
     events: DataFrame, window_days: int = EVENT_WINDOW, k: int = MAX_CANDIDATES, classifier: RuleClassifier | None = None
 ) -> DataFrame:
     """Incremental form of ``assign_events`` for events that arrive roughly in date order."""
-    rows = keyed(events).select("_id", "_company", "_d", "_entity", "_domain", *FACTS, "is_official")
-    return rows.withColumn("_d", F.col("_d").cast("long")).groupBy("_company").transformWithStateInPandas(
+    rows = keyed(events).select(
+        F.col("_company").cast("long").alias("company"),
+        F.col("_id").cast("long").alias("id"),
+        F.col("_d").cast("long").alias("d"),
+        F.col("_entity").alias("entity_key"),
+        F.col("_domain").alias("domain_key"),
+        *FACTS,
+        "is_official",
+    )
+    return rows.groupBy("company").transformWithStateInPandas(
         SeedClusters(window_days, k, classifier or RuleClassifier()), OUT, "Append", "None"
     )
