@@ -38,7 +38,7 @@ def review_summary(
 ) -> DataFrame:
     """Per company: its pending evidence, and the pending pairs of all companies.
 
-    ``evidence`` carries company_id. Pair counts are one row each.
+    ``evidence`` carries company_id.
     """
     waiting = F.col("review_status") == "pending"
     mine = evidence.where(waiting).groupBy("company_id").agg(F.count("*").alias("pending_evidence"))
@@ -50,8 +50,7 @@ def review_summary(
         companies.select("company_id")
         .join(mine, "company_id", "left")
         .fillna({"pending_evidence": 0})
-        .join(F.broadcast(same))
-        .join(F.broadcast(linked))
+        .withColumns({"pending_duplicate_relationships": same.scalar(), "pending_thread_relationships": linked.scalar()})
     )
 
 

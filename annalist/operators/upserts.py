@@ -35,8 +35,8 @@ def dense_ids(df: DataFrame, key: str, out: str, start: Column | int = 0) -> Dat
 def get_or_create(current: DataFrame, wanted: DataFrame, name: str = "name", id: str = "company_id") -> DataFrame:
     """Dimension rows for every wanted name; existing rows stay as they are."""
     fresh = wanted.join(current.select(name), name, "left_anti").dropDuplicates([name])
-    top = current.agg(F.coalesce(F.max(id), F.lit(0)).alias("_top"))  # one row
-    made = dense_ids(fresh.join(F.broadcast(top)), name, id, F.col("_top")).drop("_top")
+    top = current.agg(F.coalesce(F.max(id), F.lit(0)).alias("_top"))
+    made = dense_ids(fresh.withColumn("_top", top.scalar()), name, id, F.col("_top")).drop("_top")
     return current.unionByName(made, allowMissingColumns=True)
 
 
@@ -124,7 +124,7 @@ def ingest_tally(versions: DataFrame, failed: DataFrame | None = None) -> DataFr
     done = versions.agg(F.count_if("changed").alias("ingested"), F.count_if(~F.col("changed")).alias("unchanged"))
     if failed is None:
         return done.withColumn("failed", F.lit(0).cast("long"))
-    return done.join(F.broadcast(failed.agg(F.count("*").alias("failed"))))  # one row each
+    return done.withColumn("failed", failed.agg(F.count("*")).scalar())
 
 
 def ingestion_log(versions: DataFrame, failed: DataFrame | None, source: str, occurred_at: str | None = None) -> DataFrame:

@@ -653,6 +653,12 @@ def dedupe_merge(spark, sf_dir):
     return dd.dedupe(_canonical(spark, sf_dir))
 
 
+@query("dedupe_sentences")
+def dedupe_sentences(spark, sf_dir):
+    """Merges among the sentence events: documents repeat each other, exactly and nearly."""
+    return dd.dedupe(_sentence_events(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- threads
 
 THREAD_RULE = pr.RuleClassifier(related=0.8)  # above the gate, so that threads form
@@ -880,9 +886,14 @@ def hashed_vectors(spark, sf_dir):
     )
 
 
+def _company() -> Column:
+    """A company per hundred labels (the tables hold ten)."""
+    return F.floor(F.col("label") / F.lit(100))
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
     return tb.read(spark, sf_dir, "embeddings").select(
-        F.lit(0).alias("company_id"),
+        _company().alias("company_id"),
         F.col("vec_id").alias("span_id"),
         F.floor(F.col("vec_id") / 3).alias("canonical_id"),
         F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"),
@@ -897,8 +908,8 @@ def _profile_tasks(spark, sf_dir) -> DataFrame:
     means = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     vector = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])
     return means.groupBy("label").agg(vector.alias("vector")).select(
-        F.lit(1).cast("long").alias("job_id"),
-        F.lit(0).alias("company_id"),
+        (_company() + 1).alias("job_id"),
+        _company().alias("company_id"),
         F.col("label").alias("task_no"),
         F.concat(F.lit("task "), F.col("label").cast("string")).alias("task"),
         "vector",
