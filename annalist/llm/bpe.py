@@ -39,7 +39,7 @@ NEW_SMALL = {
 #: Largest vocabulary file that is sent to the executors, in bytes.
 FILE_BYTES = 64 << 20
 #: Encoded words of a generation; a task remembers two.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Words longer than this keep their ranks in a heap of positions instead of rescanning an array.
 SHORT_WORD = 400
 _NONE = 1 << 60

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Texts of one Arrow batch that a task holds at once, in bytes.
 BATCH_BYTES = 16 << 20
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names.
@@ -22,8 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
