@@ -17,6 +17,7 @@ from annalist.llm.tables import clean_names, map_rows
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+UNBROKEN = INLINE | frozenset("script style noscript template button select textarea svg iframe canvas object option input".split())
 OUTSIDE = frozenset("nav header footer aside form button select menu dialog head script style noscript template iframe svg textarea title option object canvas".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 OUTSIDE_NAMES = frozenset(
@@ -35,7 +36,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
-def _outside(tag: str, attributes: str, inside_article: bool) -> bool:
+def _outside(tag: str, attributes: str) -> bool:
     if tag in OUTSIDE:
         return True
     if tag in ("body", "html") or not attributes:
@@ -87,6 +88,7 @@ def tokens(page: str | None) -> list[Token]:
                 text(m.start() + 9, m.end() - 3)
             continue
         tag = m[2].lower()
+        before = left_out
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth < 0:
@@ -103,7 +105,7 @@ def tokens(page: str | None) -> list[Token]:
                         break
                     if stack[i][0] not in INLINE and stack[i][0] not in ("p", "li", "td", "th", "dt", "dd"):
                         break
-            away = _outside(tag, m[3], False)
+            away = _outside(tag, m[3])
             if tag not in VOID and not m[3].endswith("/"):
                 stack.append((tag, away))
                 if away:
@@ -114,7 +116,7 @@ def tokens(page: str | None) -> list[Token]:
                     close = re.compile(rf"</{tag}\b", re.I).search(page, at)
                     at = close.start() if close else end
                     continue
-        if not left_out:
+        if not left_out and not before:
             out.append(("t", ("/" if m[1] else "") + tag, ""))
         block = next((t for t, _ in reversed(stack) if t not in INLINE), "")
     return out
@@ -177,7 +179,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for kind, name, s in own[a:b]:
         if kind == "w":
             blocks[-1].append(s)
-        elif kind == "t" and name.lstrip("/") in INLINE:
+        elif name.lstrip("/") in UNBROKEN:
             if name == "br":
                 blocks[-1].append(" ")
         else:

@@ -31,7 +31,7 @@ NOTICES = [
 ]
 
 #: Highest-IDF words of a template that are looked up in a file.
-RARE_WORDS = 3
+RARE_WORDS = 6
 #: Share of a notice's words that must stand at their places.
 COVERAGE = 0.6
 
@@ -88,7 +88,7 @@ class Index:
                             anchored.add((k, i - at))
             for k, start in sorted(anchored):
                 t = self.templates[k]
-                if not t.base and agree[k, start] < min(2, RARE_WORDS):
+                if not t.base and agree[k, start] < 2:
                     continue
                 if any(start + at < 0 or own[start + at : start + at + len(p)] != p for at, p in t.phrases):
                     continue
