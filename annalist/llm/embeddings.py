@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from annalist.llm.components import components
 from annalist.llm.groups import GROUP_ROWS, Union, dealt, runs
-from annalist.llm.tables import map_rows, stored
+from annalist.llm.tables import drawn, map_rows, stored
 
-#: Vectors of a cell that are aimed at, most cells, and bytes of the sample that the centres are fitted on.
-CELL_ROWS, MAX_CELLS, SAMPLE_BYTES = 2048, 1024, 32 << 20
+#: Vectors of a cell that are aimed at, most cells, and rows and bytes of the sample that the centres are fitted on.
+CELL_ROWS, MAX_CELLS, SAMPLE_ROWS, SAMPLE_BYTES = 2048, 1024, 1 << 14, 32 << 20
 #: Standard deviations of a random turn by the link's angle that the margin around a cell covers.
 MARGIN_SD = 4.0
 BLOCK = 512
@@ -101,7 +101,7 @@ def embedding_links(
     """(key, n_links, component, kept): links of cosine at least ``cosine`` and the least key they reach.
 
     Equal vectors are compared once and count with their number. Centres are fitted on a sample of
-    at most ``SAMPLE_BYTES``, chosen by hash; every vector is assigned to its cell and, near a border, to the
+    at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES``, chosen by hash; every vector is assigned to its cell and, near a border, to the
     cells beyond it, and compared in double precision with all others there. Cells of more
     than ``most`` vectors are cut into blocks by hash, and pairs of blocks are compared. Counts
     and spanning edges leave a task, never pairs. Null, zero and partly null or
@@ -120,8 +120,7 @@ def embedding_links(
     for dim, n in sorted((r[0], r[1]) for r in distinct.groupBy(F.size("v")).count().collect()):
         same = distinct.filter(F.size("v") == dim)
         held = max(1, SAMPLE_BYTES // (8 * dim))
-        drawn = same.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(min(held, 1 << 14)).collect()
-        sample = unit(np.array([r["v"] for r in drawn]))
+        sample = unit(np.array([r["v"] for r in drawn(same.select("rep", "v"), F.xxhash64("rep"), min(held, SAMPLE_ROWS))]))
         k = max(1, min(MAX_CELLS, -(-n // cell_rows), len(sample)))
         part = _links(same, spark.sparkContext.broadcast(fit(sample, k)), dim, cosine, most)
         found = part if found is None else found.union(part)

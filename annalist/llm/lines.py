@@ -132,29 +132,35 @@ def _longest(a: list[int], alo: int, ahi: int, b: list[int], blo: int, bhi: int)
 
 
 def repeated(a: list[int], b: list[int], counts: list[int], least: int) -> list[tuple[int, int]]:
-    """Stretches (start, end) of lines of ``b`` that aligned blocks of at least ``least`` words share with ``a``.
+    """Stretches (start, end) of lines of ``b`` that blocks of at least ``least`` words share with ``a``.
 
-    Alignment keeps order, so the rest is aligned again until no block is found: passages
-    that stand in another order, or twice, are met as well.
+    Alignment keeps order, so what it leaves is aligned again; where it finds nothing more,
+    a run that both sides still have, moved or hidden by shorter matches, is looked up and
+    grown. So no common block of so many words stays.
     """
-    gone = [False] * len(b)
+    size = dict(zip(b, counts))
+    places = {k: i for i, k in reversed(list(enumerate(run_keys(a, [size.get(h, least) for h in a], least))))}
     out = []
     left = [(0, len(b))]
     while left:
-        again = []
-        for lo, hi in left:
-            last = lo
-            for _, j, n in patience(a, b[lo:hi]):
-                s = lo + j
-                if sum(counts[s : s + n]) >= least:
-                    out.append((s, s + n))
-                    gone[s : s + n] = [True] * n
-                    if s > last:
-                        again.append((last, s))
-                    last = s + n
-            if last > lo and last < hi:
-                again.append((last, hi))
-        left = again
+        lo, hi = left.pop()
+        own, words = b[lo:hi], counts[lo:hi]
+        runs = run_keys(own, words, least)
+        if not any(k in places for k in runs):
+            continue
+        blocks = [(j, j + n) for _, j, n in patience(a, own) if sum(words[j : j + n]) >= least]
+        if not blocks:
+            j = next(j for j, k in enumerate(runs) if k in places)
+            i, n = places[runs[j]], 0
+            while i + n < len(a) and j + n < len(own) and a[i + n] == own[j + n]:
+                n += 1
+            blocks = [(j, j + n)]
+        last = 0
+        for s, e in blocks:
+            out.append((lo + s, lo + e))
+            left.append((lo + last, lo + s))
+            last = e
+        left.append((lo + last, hi))
     return sorted(out)
 
 

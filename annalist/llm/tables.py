@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 #: Texts of one Arrow batch that a task holds at once, in bytes.
 BATCH_BYTES = 16 << 20
@@ -78,6 +78,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, schema)
 
 
+def drawn(rows: DataFrame, by: Column, n: int) -> list[Row]:
+    """``n`` rows that come first by the hash ``by``: hashes alone are sorted, then those rows are read."""
+    last = rows.select(by.alias("h")).filter("h is not null").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return [] if last is None else rows.filter(by <= last).limit(n).collect()
+
+
 def clean_names(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the columns an operator needs, by exact name; others with clashing names stay out."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
