@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from annalist.llm.tables import clean_names, map_rows, words
+from annalist.llm.tables import clean_names, map_rows, typed, words
 
 WINDOW = 10
 #: Words of a block that the shift tables are keyed by.
@@ -79,17 +79,19 @@ class WuManber:
         return starts, ends, items
 
 
-def _scan(docs: DataFrame, items: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """One pass over the documents for items whose texts fit a table."""
-    rows = [(r[0], r[1]) for r in items.collect()]  # bounded by TABLE_BYTES
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+def _scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str, window: int) -> DataFrame:
+    """One pass over the documents for items whose texts fit a table: columns ``keep``, n_words and hits."""
+    tests = [(r[0], r[1]) for r in items.collect()]  # bounded by TABLE_BYTES
+    sent = docs.sparkSession.sparkContext.broadcast(tests)
+    rows = clean_names(docs, *dict.fromkeys([*keep, text]))
+    at = rows.columns.index(text)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         searcher = WuManber(sent.value, window)
 
         def of(b: pa.RecordBatch) -> dict:
             counts, starts, ends, hit = [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(at).to_pylist():
                 own = words(t)
                 s, e, i = searcher.search(own)
                 counts.append(len(own))
@@ -97,12 +99,39 @@ def _scan(docs: DataFrame, items: DataFrame, key: str, text: str, window: int) -
                 ends.append(e)
                 hit.append(sorted(i))
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            return {key: b.column(0), "n_words": pa.array(counts, pa.int64()), "starts": pa.array(starts, ints), "ends": pa.array(ends, ints), "items": pa.array(hit, longs)}
+            return {c: b.column(i) for i, c in enumerate(keep)} | {
+                "n_words": pa.array(counts, pa.int64()), "starts": pa.array(starts, ints), "ends": pa.array(ends, ints), "items": pa.array(hit, longs)
+            }
 
         return of
 
-    rows_of = clean_names(docs, key, text)
-    return map_rows(rows_of, make, f"`{key}` {rows_of.schema[key].dataType.simpleString()}, n_words long, {HITS}")
+    return map_rows(rows, make, f"{typed(rows, keep)}, n_words long, {HITS}")
+
+
+def _tests(benchmark: DataFrame, item: str, item_text: str, table_bytes: int) -> list[DataFrame]:
+    """The items with texts, in blocks whose texts fit a table."""
+    tests = benchmark.select(
+        F.coalesce(F.col(f"`{item}`").cast("long"), F.lit(-1)).alias("item"), F.col(f"`{item_text}`").alias("t")
+    ).filter("t is not null")
+    total = tests.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    blocks = -(-total // table_bytes)
+    part = F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
+    return [tests.filter(part == b) for b in range(blocks)] if blocks > 1 else [tests]
+
+
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES
+) -> DataFrame:
+    """The documents, with all their columns, in which no test window occurs.
+
+    One pass for each block of items, without a shuffle. Null and empty texts stay, repeated
+    rows are judged alike, and an empty benchmark drops nothing.
+    """
+    kept = docs.columns
+    for part in _tests(benchmark, item, item_text, table_bytes):
+        inner = docs.select(F.col(f"`{text}`").alias("_t"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
+        docs = _scan(inner, part, ["_row"], "_t", window).filter("size(starts) = 0").select("_row.*")
+    return docs
 
 
 def contamination(
@@ -119,15 +148,9 @@ def contamination(
     beyond it they are dealt into blocks of that size, one pass each, and the hits of a
     document are merged. Keys must then be unique.
     """
-    tests = benchmark.select(
-        F.coalesce(F.col(f"`{item}`").cast("long"), F.lit(-1)).alias("item"), F.col(f"`{item_text}`").alias("t")
-    ).filter("t is not null")
-    total = tests.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = -(-total // table_bytes)
-    if blocks <= 1:
-        return _scan(docs, tests, key, text, window)
-    part = F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
-    passes = [_scan(docs, tests.filter(part == b), key, text, window) for b in range(blocks)]
+    passes = [_scan(docs, part, [key], text, window) for part in _tests(benchmark, item, item_text, table_bytes)]
+    if len(passes) == 1:
+        return passes[0]
     every = passes[0]
     for more in passes[1:]:
         every = every.union(more.filter("size(starts) > 0"))

@@ -89,5 +89,10 @@ def clean_names(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def typed(df: DataFrame, names: list[str]) -> str:
+    """The columns with their types, for a schema string."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from annalist.llm.tables import clean_names, map_rows, pieces, words
+from annalist.llm.tables import clean_names, map_rows, pieces, typed, words
 
 #: Labelled rows of each class that the examples are taken from, by hash of their ids.
 SAMPLE_ROWS = 5000
@@ -247,14 +247,16 @@ def _held(text: str | None, lookup: frozenset[bytes], starts: frozenset[bytes])
 EVIDENCE = "array<struct<doc_id:long,cosine:double,label:int>>"
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, evidence): probability of toxicity of each whole text and the examples that voted.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Columns ``keep`` (``doc_id`` unless given), score, evidence: probability of toxicity of each whole text and the examples that voted.
 
     Null and empty texts, and texts without any term, get the share of toxic examples
     without terms and no evidence. Equal texts get equal scores; an empty table no rows.
     The model is bounded by its parameters and is sent to the executors.
     """
-    rows = clean_names(docs, key, text)
+    keep = [c for c in keep or ["doc_id"] if c not in ("score", "evidence")]
+    rows = clean_names(docs, *dict.fromkeys([*keep, text]))
+    at = rows.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[pa.RecordBatch], dict]:
@@ -262,15 +264,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
         def of(b: pa.RecordBatch) -> dict:
-            got = [m.score(t) for t in b.column(1).to_pylist()]
-            return {
-                key: b.column(0), "score": pa.array([g[0] for g in got], pa.float64()),
+            got = [m.score(t) for t in b.column(at).to_pylist()]
+            return {c: b.column(i) for i, c in enumerate(keep)} | {
+                "score": pa.array([g[0] for g in got], pa.float64()),
                 "evidence": pa.array([[dict(zip(("doc_id", "cosine", "label"), e)) for e in g[1]] for g in got], kind),
             }
 
         return of
 
-    return map_rows(rows, make, f"`{key}` {rows.schema[key].dataType.simpleString()}, score double, evidence {EVIDENCE}")
+    return map_rows(rows, make, f"{typed(rows, keep)}, score double, evidence {EVIDENCE}")
 
 
 def learnable(labels: DataFrame, key: str = "doc_id") -> DataFrame:
