@@ -64,6 +64,25 @@ def _last(decisions: DataFrame) -> DataFrame:
     )
 
 
+def _steps(decisions: DataFrame) -> DataFrame:
+    """Every decision as ``_d``, with the one taken on the same record just before as ``_prior``."""
+    order = W.partitionBy("record_id").orderBy("decision_no")
+    return decisions.select(
+        "record_id", F.struct("decision", "actor", "decision_no").alias("_d"), F.lag("decision").over(order).alias("_prior")
+    )
+
+
+def _status_of(decision: Column, before: Column) -> Column:
+    return F.when(decision.isNull(), before).when(decision == "approve", "approved").otherwise("rejected")
+
+
+def _numbered(decisions: DataFrame) -> DataFrame:
+    """The decisions, whose numbers must differ: they are the order in which decisions act."""
+    if not decisions.groupBy("decision_no").count().where("count > 1").isEmpty():
+        raise ValueError("decision_no must be unique")
+    return decisions
+
+
 def unknown_records(decisions: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Decisions about records that do not exist."""
     return decisions.join(table.select(F.col(key).alias("record_id")), "record_id", "left_anti")
@@ -86,22 +105,33 @@ SPAN = ["matched_text", "start_offset", "end_offset"]
 def decide_evidence(evidence: DataFrame, decisions: DataFrame, key: str = "event_id") -> tuple[DataFrame, DataFrame]:
     """(new evidence, audit changes). Approval may bring a corrected span in its own columns."""
     spans = [c for c in SPAN if c in decisions.columns]
-    last = decisions.groupBy("record_id").agg(
-        F.max_by(F.struct("decision", "actor", "decision_no", *spans), "decision_no").alias("_d")
-    )
-    joined = evidence.join(last.withColumnRenamed("record_id", key), key, "left")
-    yes = F.col("_d.decision") == "approve"
-    new = {
-        "is_valid": F.when(F.col("_d").isNull(), F.col("is_valid")).otherwise(yes),
-        "review_status": F.when(F.col("_d").isNull(), F.col("review_status")).when(yes, "approved").otherwise("rejected"),
-    }
-    for c in spans:
-        new[c] = F.when(yes, F.coalesce(F.col(f"_d.{c}"), F.col(c))).otherwise(F.col(c))
     kept = [c for c in evidence.columns if c != "embedding"]
-    before = F.struct(*kept)
-    after = F.struct(*[new[c].alias(c) if c in new else F.col(c) for c in kept])
-    audit = _audit(joined.where(F.col("_d").isNotNull()), "evidence_spans", key, before, after)
-    state = joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in evidence.columns])
+    # the spans that stand after and before each decision: the latest that an approval brought
+    order = W.partitionBy("record_id").orderBy("decision_no")
+    brought = {c: F.when(F.col("decision") == "approve", F.col(c)) for c in spans}
+    steps = decisions.select(
+        F.col("record_id").alias(key),
+        F.struct("decision", "actor", "decision_no").alias("_d"),
+        F.lag("decision").over(order).alias("_prior"),
+        *[F.last(x, True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(f"_{c}_now") for c, x in brought.items()],
+        *[F.last(x, True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias(f"_{c}_old") for c, x in brought.items()],
+    )
+
+    def at(decision: Column, moment: str) -> Column:
+        values = {
+            "is_valid": F.when(decision.isNull(), F.col("is_valid")).otherwise(decision == "approve"),
+            "review_status": _status_of(decision, F.col("review_status")),
+            **{c: F.coalesce(f"_{c}_{moment}", c) for c in spans},
+        }
+        return F.struct(*[values.get(c, F.col(c)).alias(c) for c in kept])
+
+    each = evidence.join(steps, key)
+    audit = _audit(each, "evidence_spans", key, at(F.col("_prior"), "old"), at(F.col("_d.decision"), "now"))
+    now = F.struct("_d", *[f"_{c}_now" for c in spans])
+    last = steps.groupBy(key).agg(F.max_by(now, F.col("_d.decision_no")).alias("_last")).select(key, "_last.*")
+    joined = evidence.join(last, key, "left")
+    values = at(F.col("_d.decision"), "now")
+    state = joined.withColumn("_state", values).select(*[F.col(f"_state.{c}").alias(c) if c in kept else F.col(c) for c in evidence.columns])
     return state, audit
 
 
@@ -149,22 +179,37 @@ def _with_status(relationships: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _status_after() -> Column:
-    return (
-        F.when(F.col("_d").isNull(), F.col("review_status"))
-        .when(F.col("_d.decision") == "approve", "approved")
-        .otherwise("rejected")
-    )
+    return _status_of(F.col("_d.decision"), F.col("review_status"))
 
 
 def _approved(relationships: DataFrame, decisions: DataFrame, kind: str) -> DataFrame:
-    yes = decisions.where(F.col("decision") == "approve").select(
-        F.col("record_id").alias("relationship_id"), "decision_no"
+    """Approved pairs at their first approval; a later one finds both records placed and changes nothing."""
+    yes = decisions.where(F.col("decision") == "approve").groupBy(F.col("record_id").alias("relationship_id")).agg(
+        F.min("decision_no").alias("decision_no")
     )
     return relationships.where(F.col("relationship_type") == kind).join(yes, "relationship_id").select(
         "relationship_id", "a_id", "b_id", "decision_no"
     )
 
 
+def _pair_audit(relationships: DataFrame, decisions: DataFrame, done: DataFrame, table_name: str, named: str) -> DataFrame:
+    """One change per decision: the pair as it stood, and its new status with where an approval put it."""
+    targets = done.select("relationship_id", F.col("target").alias("_target"))
+    steps = _steps(decisions).withColumnRenamed("record_id", "relationship_id")
+    rows = relationships.join(steps, "relationship_id").join(targets, "relationship_id", "left")
+    before = F.struct(
+        *[
+            _status_of(F.col("_prior"), F.col(c)).alias(c) if c == "review_status" else F.col(c)
+            for c in relationships.columns
+        ]
+    )
+    approved = F.col("_d.decision") == "approve"
+    after = F.struct(
+        F.when(approved, "approved").otherwise("rejected").alias("review_status"), F.when(approved, F.col("_target")).alias(named)
+    )
+    return _audit(rows, table_name, "relationship_id", before, after)
+
+
 def wrong_kind(relationships: DataFrame, decisions: DataFrame, kind: str) -> DataFrame:
     """Approvals of pairs of another kind: refused."""
     yes = decisions.where(F.col("decision") == "approve")
@@ -185,7 +230,7 @@ def decide_event_pairs(
     new canonical_events and audit changes.
     """
     refused = wrong_kind(relationships, decisions, "same_event")
-    taken = decisions.join(refused.select("record_id", "decision_no"), ["record_id", "decision_no"], "left_anti")
+    taken = _numbered(decisions).join(refused.select("record_id", "decision_no"), ["record_id", "decision_no"], "left_anti")
     pairs = _approved(relationships, taken, "same_event")
     start = members.select(F.col("event_id").alias("x"), F.col("canonical_id").alias("target"))
     done = _resolve(pairs, start)
@@ -218,14 +263,8 @@ def decide_event_pairs(
         F.col("raw_quote").alias("summary"),
         F.lit("approved").alias("review_status"),
     )
-    joined = _with_status(relationships, taken).join(
-        done.select("relationship_id", F.col("target").alias("_target")), "relationship_id", "left"
-    )
-    after = F.struct(_status_after().alias("review_status"), F.col("_target").alias("merged_into"))
-    audit = _audit(
-        joined.where(F.col("_d").isNotNull()), "event_relationships", "relationship_id",
-        F.struct(*relationships.columns), after,
-    )
+    joined = _with_status(relationships, taken)
+    audit = _pair_audit(relationships, taken, done, "event_relationships", "merged_into")
     return {
         "relationships": joined.withColumn("review_status", _status_after()).select(*relationships.columns),
         "event_cluster_members": members.select("canonical_id", "event_id", "is_seed").unionByName(added),
@@ -244,7 +283,7 @@ def decide_canonical_pairs(
     both by date. Gives relationships, thread_events, new threads and audit changes.
     """
     refused = wrong_kind(relationships, decisions, "related_distinct")
-    taken = decisions.join(refused.select("record_id", "decision_no"), ["record_id", "decision_no"], "left_anti")
+    taken = _numbered(decisions).join(refused.select("record_id", "decision_no"), ["record_id", "decision_no"], "left_anti")
     pairs = _approved(relationships, taken, "related_distinct")
     start = thread_events.groupBy(F.col("canonical_id").alias("x")).agg(F.min("thread_id").alias("target"))
     done = _resolve(pairs, start)
@@ -277,14 +316,8 @@ def decide_canonical_pairs(
         "entity",
         F.lit("approved").alias("review_status"),
     )
-    joined = _with_status(relationships, taken).join(
-        done.select("relationship_id", F.col("target").alias("_target")), "relationship_id", "left"
-    )
-    after = F.struct(_status_after().alias("review_status"), F.col("_target").alias("thread_id"))
-    audit = _audit(
-        joined.where(F.col("_d").isNotNull()), "canonical_event_relationships", "relationship_id",
-        F.struct(*relationships.columns), after,
-    )
+    joined = _with_status(relationships, taken)
+    audit = _pair_audit(relationships, taken, done, "canonical_event_relationships", "thread_id")
     return {
         "relationships": joined.withColumn("review_status", _status_after()).select(*relationships.columns),
         "thread_events": thread_events.select("thread_id", "canonical_id", "sequence_index", "stage").unionByName(added),

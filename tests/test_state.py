@@ -227,9 +227,43 @@ def test_evidence_decisions(spark):
     assert [r.record_id for r in rv.unknown_records(dec, spans, "event_id").collect()] == [9]
 
 
+def test_each_evidence_decision_is_audited(spark):
+    spans = spark.createDataFrame([(1, "m", 0, 5, False, "pending")], "event_id long, matched_text string, start_offset long, end_offset long, is_valid boolean, review_status string")
+    dec = spark.createDataFrame([(1, "approve", "kim", 1, "better"), (1, "reject", "lee", 2, None), (1, "approve", "kim", 3, None)], DEC + ", matched_text string")
+    state, changes = rv.decide_evidence(spans, dec)
+    assert [(r.matched_text, r.is_valid, r.review_status) for r in state.collect()] == [("better", True, "approved")]
+    got = [(r.actor, r.before.review_status, r.before.matched_text, r.before.is_valid, r.after.review_status, r.after.matched_text, r.after.is_valid) for r in changes.collect()]
+    assert sorted(got) == sorted([
+        ("human:kim", "pending", "m", False, "approved", "better", True),
+        ("human:lee", "approved", "better", True, "rejected", "better", False),
+        ("human:kim", "rejected", "better", False, "approved", "better", True),
+    ])
+
+
 REL = "relationship_id long, a_id long, b_id long, relationship_type string, review_status string"
 
 
+def test_repeated_pair_decisions_do_not_multiply(spark):
+    rels = spark.createDataFrame([(1, 10, 11, "same_event", "pending"), (2, 12, 13, "related_distinct", "pending")], REL)
+    dec = spark.createDataFrame([(k, d, "k", 10 * k + n) for k in (1, 2) for n, d in enumerate(("approve", "reject", "approve"))], DEC)
+    members = spark.createDataFrame([], "canonical_id long, event_id long, is_seed boolean")
+    events = spark.createDataFrame([(i, 1, "t", None, "launch", None, "d", f"E{i}", "q") for i in (10, 11, 12, 13)], "event_id long, company_id long, event_type string, subject string, action string, event_date string, domain string, entity string, raw_quote string")
+    canon = spark.createDataFrame([(i, 1, None, "t", "x", "E", "d") for i in (12, 13)], "canonical_id long, company_id long, canonical_date string, event_type string, action string, entity string, domain string")
+    rows = spark.createDataFrame([], "thread_id long, canonical_id long, sequence_index long, stage string")
+    for out, where, target in (
+        (rv.decide_event_pairs(rels, dec, members, events), "merged_into", 10),
+        (rv.decide_canonical_pairs(rels, dec, rows, canon), "thread_id", 12),
+    ):
+        assert out["relationships"].count() == 2
+        log = sorted((r.record_id, r.before.review_status, r.action, r.after.review_status, r.after[where]) for r in out["audit"].collect())
+        mine = 1 if where == "merged_into" else 2
+        approved = [x for x in log if x[0] == mine]
+        assert approved == sorted([(mine, "pending", "approve", "approved", target), (mine, "approved", "reject", "rejected", None), (mine, "rejected", "approve", "approved", target)])
+    assert sorted((r.event_id, r.canonical_id) for r in rv.decide_event_pairs(rels, dec, members, events)["event_cluster_members"].collect()) == [(10, 10), (11, 10)]
+    with pytest.raises(ValueError):
+        rv.decide_event_pairs(rels, dec.withColumn("decision_no", F.lit(1)), members, events)
+
+
 def test_event_pair_decisions_chain_in_order(spark):
     rels = spark.createDataFrame(
         [(1, 10, 11, "same_event", "pending"), (2, 11, 12, "same_event", "pending"), (3, 12, 13, "same_event", "pending"), (4, 1, 2, "same_event", "pending"), (5, 14, 15, "same_event", "pending"), (6, 1, 10, "related_distinct", "pending")], REL)
