@@ -30,9 +30,11 @@ from annalist.operators.pairs import (
     MAX_CANDIDATES,
     RuleClassifier,
     auto_apply_value,
+    classify_pairs,
     keyed,
     nearest_candidates,
 )
+from annalist.operators.upserts import numbered_relationships, relationship_rows
 from annalist.session import broadcast_if_small, cut, fits, shuffle_width
 
 ISLAND_ROWS = 100_000
@@ -265,6 +267,42 @@ def assign_events(
     return folded.unionByName(_rounds(large.where(~F.col("_prior")), old, window_days, k, rule))
 
 
+def relationships(
+    events: DataFrame,
+    assigned: DataFrame,
+    prior: DataFrame | None = None,
+    window_days: int = EVENT_WINDOW,
+    k: int = MAX_CANDIDATES,
+    classifier: RuleClassifier | None = None,
+) -> DataFrame:
+    """Every pair decision that clustering took, one row per pair (a_id < b_id).
+
+    An event was compared with its k nearest seeds among those before it; the seeds are
+    known once all events are assigned, so the decisions come from one pass over bounded
+    lists, whatever way assigned them. The pair by which an event joined its cluster is
+    applied, the others wait for review.
+    """
+    rule = classifier or RuleClassifier()
+    cols = ["_id", "_company", "_d", "_entity", "_domain", *FACTS]
+    rows = keyed(events).select(*cols)
+    made = assigned.where(F.col("action") == "new").select(F.col("event_id").alias("_id"))
+    near = nearest_candidates(rows, rows.join(made, "_id", "left_semi"), window_days, k, earlier_only=True)
+    if prior is not None:
+        older = nearest_candidates(near.withColumnRenamed("near", "_new"), keyed(prior).select(*cols), window_days, k)
+        near = older.withColumn("near", F.slice(F.array_sort(F.concat("near", "_new")), 1, k)).drop("_new")
+    pairs = near.select("_id", *[F.col(c).alias(f"a_{c}") for c in FACTS], F.explode("near").alias("s")).select(
+        "_id", *[f"a_{c}" for c in FACTS], F.col("s.id").alias("_seed"), *[F.col(f"s.{c}").alias(f"b_{c}") for c in FACTS]
+    )
+    joined = assigned.where(F.col("action") == "merged").select(F.col("event_id").alias("_id"), F.col("canonical_id").alias("_joined"))
+    known = pairs.join(joined, "_id", "left").select(
+        F.least("_id", "_seed").alias("a_id"),
+        F.greatest("_id", "_seed").alias("b_id"),
+        *[f"{s}_{c}" for s in ("a", "b") for c in FACTS],
+        F.when(F.col("_joined") == F.col("_seed"), "auto_applied").otherwise("pending").alias("review_status"),
+    )
+    return numbered_relationships(relationship_rows(classify_pairs(known, rule), F.col("review_status")))
+
+
 def tally(assigned: DataFrame) -> DataFrame:
     """new_canonical, merged, flagged_for_review, deferred as one row."""
     new = F.col("action") == "new"
@@ -276,6 +314,11 @@ def tally(assigned: DataFrame) -> DataFrame:
     )
 
 
+def seed_events(events: DataFrame, members: DataFrame) -> DataFrame:
+    """The seed events of stored clusters: what new events are compared with."""
+    return events.join(members.where("is_seed").select("event_id"), "event_id", "left_semi")
+
+
 def members(assigned: DataFrame) -> DataFrame:
     """Cluster membership: canonical_id, event_id, is_seed."""
     return assigned.where(F.col("canonical_id").isNotNull()).select(

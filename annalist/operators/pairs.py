@@ -34,13 +34,17 @@ class RuleClassifier:
     related: float = 0.7
     unrelated: float = 0.6
 
-    # The reasons stored with each decision.
     WHY = {
         "same_event": "same entity and same event type",
         "related_distinct": "shared entity or domain, different event type",
         "unrelated": "no shared entity or domain",
     }
 
+    @property
+    def same_within(self) -> tuple[str, ...]:
+        """Columns that two events called the same always share, filled; a caller's model declares its own."""
+        return ("entity", "event_type") if type(self) is RuleClassifier else ()
+
     def columns(self, a, b) -> Column:
         """struct<relationship_type, confidence, rationale> of two records (row-like columns)."""
         entity = F.coalesce((F.length(a["entity"]) > 0) & (a["entity"] == b["entity"]), F.lit(False))

@@ -32,8 +32,10 @@ from annalist.operators.pairs import (
     MAX_CANDIDATES,
     RuleClassifier,
     auto_apply_value,
+    classify_pairs,
     keyed,
 )
+from annalist.operators.upserts import linked_to, numbered_relationships, relationship_rows
 from annalist.session import broadcast_if_small, cut, fits, shuffle_width
 
 SLICE_ROWS = 100_000
@@ -174,10 +176,6 @@ _OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
 def _turns(window: int, k: int, rule: RuleClassifier):
     """Take the turns of one group; see the module text for the roles of its rows."""
 
-    def linked(a: dict, b: dict) -> bool:
-        kind, confidence = rule.decide(a, b)
-        return kind == "related_distinct" and auto_apply_value(kind, confidence)
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = records(pdf)
         rows.sort(key=lambda r: (r["_d"], r["_id"]))
@@ -191,6 +189,12 @@ def _turns(window: int, k: int, rule: RuleClassifier):
             lasts.put(thread)
             return thread
 
+        def linked(a: dict, b: dict) -> bool:
+            kind, confidence = rule.decide(a, b)
+            holds = kind == "related_distinct" and auto_apply_value(kind, confidence)
+            out.append(("pair", a["_id"], None, None, "auto_applied" if holds else "pending", None, b["_id"], None))
+            return holds
+
         def member(thread, row, index) -> None:
             out.append(("member", row["_id"], thread["id"], index, None, None, None, None))
 
@@ -372,7 +376,10 @@ def link_threads(
     classifier: RuleClassifier | None = None,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Rows of kind ``action`` (one per canonical event) and ``member`` (thread_id, sequence_index).
+    """Rows of kind ``action`` (one per canonical event), ``member`` (thread_id, sequence_index) and ``pair``.
+
+    A ``pair`` row keeps a decision that was taken: canonical_id and rank_id were compared,
+    action says whether it was applied.
 
     ``canonical`` holds the unthreaded canonical events; ``last_members`` the last
     member of every existing thread (canonical columns plus thread_id, next_index).
@@ -420,6 +427,22 @@ def actions(linked: DataFrame) -> DataFrame:
     return linked.where(F.col("kind") == "action").select("canonical_id", "action", "thread_id")
 
 
+def relationships(linked: DataFrame, canonical: DataFrame, classifier: RuleClassifier | None = None) -> DataFrame:
+    """Every pair decision that threading took, one row per pair (a_id < b_id), with its reasons.
+
+    A pair that was applied stays applied; the others wait for review.
+    """
+    rule = classifier or RuleClassifier()
+    pairs = linked.where(F.col("kind") == "pair").select(
+        F.least("canonical_id", "rank_id").alias("a_id"), F.greatest("canonical_id", "rank_id").alias("b_id"), "action"
+    )
+    once = pairs.groupBy("a_id", "b_id").agg(F.min("action").alias("review_status"))  # auto_applied sorts before pending
+    for side in ("a", "b"):
+        facts = canonical.select(F.col("canonical_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in FACTS])
+        once = once.join(facts, f"{side}_id")
+    return numbered_relationships(relationship_rows(classify_pairs(once, rule), F.col("review_status")))
+
+
 def thread_events(linked: DataFrame, canonical: DataFrame) -> DataFrame:
     """Membership with sequence index and stage."""
     rows = linked.where(F.col("kind") == "member").select("thread_id", "canonical_id", "sequence_index")
@@ -427,6 +450,26 @@ def thread_events(linked: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.join(facts, "canonical_id").select("thread_id", "canonical_id", "sequence_index", "stage")
 
 
+def linked_rows(linked: DataFrame, canonical: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Thread rows with the relationship_id of the decision that put them there.
+
+    The rows that open a thread, and each appended one, stand next to the member they were
+    linked with: the one before in the thread, or after for the first.
+    """
+    rows = thread_events(linked, canonical)
+    order = W.partitionBy("thread_id").orderBy("sequence_index")
+    beside = F.when(F.col("sequence_index") == 0, F.lead("canonical_id").over(order)).otherwise(F.lag("canonical_id").over(order))
+    return linked_to(rows.withColumn("_beside", beside), pairs, "canonical_id", "_beside").drop("_beside")
+
+
+def last_members(thread_events: DataFrame, canonical: DataFrame) -> DataFrame:
+    """The last member of every stored thread: its canonical columns, thread_id and next_index."""
+    last = thread_events.groupBy("thread_id").agg(
+        F.max_by("canonical_id", "sequence_index").alias("canonical_id"), (F.max("sequence_index") + 1).alias("next_index")
+    )
+    return canonical.join(last, "canonical_id")
+
+
 def new_threads(linked: DataFrame, canonical: DataFrame) -> DataFrame:
     """Threads created in this run, named after the event that created them."""
     made = linked.where((F.col("kind") == "action") & (F.col("action") == "created_thread")).select("thread_id")

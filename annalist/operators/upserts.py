@@ -187,7 +187,7 @@ def upsert_relationships(
     return current.join(fresh, ["a_id", "b_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def relationship_rows(decided: DataFrame, review_status: str = "pending") -> DataFrame:
+def relationship_rows(decided: DataFrame, review_status: Column | str = "pending") -> DataFrame:
     """Classified pairs as relationship rows decided by the model."""
     return decided.select(
         "a_id",
@@ -196,10 +196,24 @@ def relationship_rows(decided: DataFrame, review_status: str = "pending") -> Dat
         "rationale",
         "confidence",
         F.lit("llm").alias("decided_by"),
-        F.lit(review_status).alias("review_status"),
+        (F.lit(review_status) if isinstance(review_status, str) else review_status).alias("review_status"),
     )
 
 
+def numbered_relationships(rows: DataFrame, start: Column | int = 0) -> DataFrame:
+    """Relationship rows with a ``relationship_id``, numbered from ``start`` + 1 without gaps."""
+    keyed = rows.withColumn("_pair", F.concat_ws("-", "a_id", "b_id"))
+    return dense_ids(keyed, "_pair", "relationship_id", start).select("relationship_id", *rows.columns)
+
+
+def linked_to(rows: DataFrame, pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """``rows`` with the relationship_id of the applied pair of the ids in columns ``one`` and ``other``, else null."""
+    applied = pairs.where(F.col("review_status").isin("auto_applied", "approved"))
+    named = applied.select(F.col("a_id").alias("_a"), F.col("b_id").alias("_b"), "relationship_id")
+    low, high = F.least(one, other), F.greatest(one, other)
+    return rows.join(named, (low == F.col("_a")) & (high == F.col("_b")), "left").drop("_a", "_b")
+
+
 def event_rows(candidates: DataFrame, model: str, prompt_version: str, created_at: str | None = None) -> DataFrame:
     """Event candidates with the record of how they were extracted."""
     fields = ["event_type", "subject", "action", "event_date", "date_precision", "lifecycle_status", "domain", "entity", "raw_quote"]

@@ -625,6 +625,25 @@ def unclustered_events(spark, sf_dir):
     return lk.unclustered_events(events, evidence, _members(spark, sf_dir)).select("event_id", "company_id", "event_date")
 
 
+@query(
+    "event_relationships",
+    f"""WITH RECURSIVE {_cluster_sql(30)},
+c AS (SELECT o.event_id AS item, s.event_id AS seed, o.event_type AS a_kind, s.event_type AS b_kind, o.entity AS ae, s.entity AS be,
+  o.domain AS ad, s.domain AS bd, row_number() OVER (PARTITION BY o.event_id
+    ORDER BY coalesce(abs(o.d - s.d), 1000000000), s.d NULLS LAST, s.event_id) AS m
+  FROM o JOIN o s ON o.company_id = s.company_id AND s.n < o.n JOIN asg g ON g.event_id = s.event_id AND g.action = 'new'
+  WHERE (o.ek = s.ek AND (o.d IS NULL OR s.d IS NULL OR abs(o.d - s.d) <= 30)) OR (o.dk = s.dk AND abs(o.d - s.d) <= 3)),
+t AS (SELECT item, seed, {DECIDED_SQL} AS relationship_type FROM c WHERE m <= 10)
+SELECT least(item, seed) AS a_id, greatest(item, seed) AS b_id, relationship_type,
+CASE relationship_type WHEN 'same_event' THEN 0.9::DOUBLE WHEN 'related_distinct' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence,
+'llm' AS decided_by, CASE WHEN g.action = 'merged' AND g.canonical_id = seed THEN 'auto_applied' ELSE 'pending' END AS review_status
+FROM t JOIN asg g ON g.event_id = item""",
+)
+def event_relationships(spark, sf_dir):
+    decided = cl.relationships(tb.events(spark, sf_dir), _assigned(spark, sf_dir))
+    return decided.drop("relationship_id", "rationale")
+
+
 @query("near_duplicates")
 def near_duplicates(spark, sf_dir):
     """Sentences with a family word as events: title from the rule, sentence as summary."""

@@ -8,24 +8,51 @@ from annalist.operators import clustering, dedupe, evidence, threading
 from annalist.operators.chunking import chunk_documents, unknown_sources
 from annalist.operators.extraction import keyword_events
 from annalist.operators.pairs import RuleClassifier
-from annalist.operators.upserts import event_rows
+from annalist.operators.upserts import event_rows, linked_to, upsert_relationships
 from annalist.session import cut
 
 DOCS_PER_BUCKET = 10_000
 
 
-def ordered_ids(df: DataFrame, group: str, order: list[str], out: str, per: int = DOCS_PER_BUCKET) -> DataFrame:
-    """Dense ids from 1 in (group, order) order for a numeric ``group``.
+def ordered_ids(df: DataFrame, group: str, order: list[str], out: str, per: int = DOCS_PER_BUCKET, start: int = 0) -> DataFrame:
+    """Dense ids from ``start`` + 1 in (group, order) order for a numeric ``group``.
 
-    Ranges of ``per`` groups are numbered on their own after the counts of the ranges
-    before them, so only one row per range is ever sorted together.
+    Only one row (group, count) per group is numbered: ranges of ``per`` groups on their
+    own, after the counts of the ranges before them. Rows are then numbered inside their group.
     """
-    slots = df.withColumn("_b", F.floor(F.col(group) / F.lit(per)))
-    counts = slots.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_off"))
-    own = F.row_number().over(W.partitionBy("_b").orderBy(group, *order))
-    return slots.join(offsets, "_b").withColumn(out, F.col("_off") + own).drop("_b", "_off")
+    counts = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col(group) / F.lit(per)))
+    ranges = counts.groupBy("_b").agg(F.sum("_n").alias("_m"))
+    before = F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("_n").over(W.partitionBy("_b").orderBy(group).rowsBetween(W.unboundedPreceding, -1))
+    offsets = ranges.select("_b", F.coalesce(before, F.lit(0)).alias("_off"))
+    first = counts.join(offsets, "_b").select(F.col(group).alias("_g"), (F.col("_off") + F.coalesce(inside, F.lit(0))).alias("_first"))
+    own = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    return df.withColumn("_own", own).join(first, F.col(group) == F.col("_g")).withColumn(
+        out, F.lit(start) + F.col("_first") + F.col("_own")
+    ).drop("_g", "_first", "_own")
+
+
+def _largest(table: DataFrame, id: str) -> int:
+    return table.agg(F.max(id)).first()[0] or 0
+
+
+def _merged_pairs(pairs: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, all pairs): decisions of this run under the ids their pairs have, and stored ones with them.
+
+    A pair that a person decided keeps that decision.
+    """
+    if old is None:
+        return pairs, pairs
+    known = old.select("a_id", "b_id", F.col("relationship_id").alias("_known"))
+    kept = cut(
+        pairs.join(known, ["a_id", "b_id"], "left")
+        .withColumn("relationship_id", F.coalesce("_known", F.col("relationship_id") + _largest(old, "relationship_id")))
+        .select(*pairs.columns)
+    )
+    return kept, upsert_relationships(old, kept.withColumn("_run", F.lit(1)), "_run")
+
+
+STATE = ["event_relationships", "canonical_event_relationships", "chunks", "events", "evidence_spans", "event_cluster_members", "canonical_events", "threads", "thread_events"]
 
 
 def run(
@@ -33,50 +60,76 @@ def run(
     companies: DataFrame,
     classifier: RuleClassifier | None = None,
     deduplicate: bool = False,
+    state: dict[str, DataFrame] | None = None,
     **extraction,
 ) -> dict[str, DataFrame]:
-    """Chunks, events, evidence, clusters and threads of ``documents``.
+    """Chunks, events, evidence, clusters and threads of ``documents``, with every pair decision.
 
     Extraction and clustering are written out before what follows them: the one is
-    costly, the other depends on order.
+    costly, the other depends on order. ``state`` holds the tables of an earlier run
+    (``STATE``): documents it has chunks of are not read again, events it has evidence of
+    are not validated again, new events are compared with its seeds and new canonical events with
+    the last members of its threads. The result then holds old and new rows together.
     """
-    chunks = cut(ordered_ids(chunk_documents(documents), "doc_id", ["chunk_index"], "chunk_id"))
-    facts = documents.select("doc_id", "company_id", "published_date", "is_official").join(
+    old = state or {}
+    start = {c: _largest(old[t], c) if t in old else 0 for t, c in (("chunks", "chunk_id"), ("events", "event_id"))}
+
+    def with_old(name: str, rows: DataFrame) -> DataFrame:
+        return old[name].unionByName(rows, allowMissingColumns=True) if name in old else rows
+
+    fresh = documents.join(old["chunks"].select("doc_id").distinct(), "doc_id", "left_anti") if "chunks" in old else documents
+    chunks = cut(ordered_ids(chunk_documents(fresh), "doc_id", ["chunk_index"], "chunk_id", start=start["chunk_id"]))
+    facts = fresh.select("doc_id", "company_id", "published_date", "is_official").join(
         companies.select("company_id", F.col("name").alias("company")), "company_id"
     )
     found = keyword_events(
         chunks.join(facts, "doc_id"), keep=["chunk_id", "doc_id", "company_id", "is_official"], **extraction
     )
-    numbered = ordered_ids(found, "doc_id", ["chunk_id", "sentence_no"], "event_id").drop("sentence_no")
-    events = cut(event_rows(numbered, "rule", "v1"))
-    spans = cut(evidence.validate_events(events, chunks))
+    numbered = ordered_ids(found, "doc_id", ["chunk_id", "sentence_no"], "event_id", start=start["event_id"]).drop("sentence_no")
+    made = cut(event_rows(numbered, "rule", "v1"))
+    events = with_old("events", made)
+    spans = with_old("evidence_spans", cut(evidence.validate_events(made, chunks)))
     valid = events.join(spans.where("is_valid").select("event_id"), "event_id", "left_semi")
-    assigned = cut(clustering.assign_events(valid, classifier=classifier))
-    members = clustering.members(assigned)
-    canonical = cut(clustering.canonical_events(valid, assigned))
-    merges = None
+    prior = None
+    open_events = valid
+    if "event_cluster_members" in old:
+        prior = clustering.seed_events(events, old["event_cluster_members"])
+        open_events = valid.join(old["event_cluster_members"].select("event_id"), "event_id", "left_anti")
+    assigned = cut(clustering.assign_events(open_events, prior=prior, classifier=classifier))
+    decided = cut(clustering.relationships(open_events, assigned, prior=prior, classifier=classifier))
+    event_pairs, all_event_pairs = _merged_pairs(decided, old.get("event_relationships"))
+    joined = linked_to(clustering.members(assigned), event_pairs, "event_id", "canonical_id")
+    members = with_old("event_cluster_members", joined)
+    canonical = with_old("canonical_events", cut(clustering.canonical_events(open_events, assigned)))
+    kept = None
     if deduplicate:
-        merges = dedupe.dedupe(canonical, classifier)
-        gone = merges.select(F.col("remove_id").alias("canonical_id"))
-        to = merges.select(F.col("remove_id").alias("canonical_id"), "keep_id")
-        members = members.join(to, "canonical_id", "left").select(
-            F.coalesce("keep_id", "canonical_id").alias("canonical_id"), "event_id", "is_seed"
-        )
-        canonical = cut(canonical.join(gone, "canonical_id", "left_anti"))
-    linked = cut(threading.link_threads(canonical, classifier=classifier))
+        merges = cut(dedupe.dedupe(canonical, classifier))
+        none = canonical.sparkSession.createDataFrame([], "thread_id long, canonical_id long, sequence_index long, stage string, relationship_id long")
+        kept = dedupe.apply_merges(merges, members, with_old("thread_events", none), event_pairs.limit(0), canonical)
+        members, canonical = kept["event_cluster_members"], cut(kept["canonical_events"])
+    stored = kept["thread_events"] if kept else old.get("thread_events")
+    last = threading.last_members(stored, canonical) if "thread_events" in old else None
+    waiting = canonical.join(stored.select("canonical_id"), "canonical_id", "left_anti") if "thread_events" in old else canonical
+    linked = cut(threading.link_threads(waiting, last_members=last, classifier=classifier))
+    thread_pairs, all_thread_pairs = _merged_pairs(
+        cut(threading.relationships(linked, canonical, classifier)), old.get("canonical_event_relationships")
+    )
+    rows = threading.linked_rows(linked, canonical, thread_pairs)
     staged = canonical.withColumn("stage", threading.stage_of(F.col("action"), F.col("event_type")))
     out = {
         "quarantine": unknown_sources(documents),
-        "chunks": chunks,
+        "chunks": with_old("chunks", chunks),
         "events": events,
         "evidence_spans": spans,
         "assigned": assigned,
+        "event_relationships": all_event_pairs,
         "event_cluster_members": members,
         "canonical_events": staged,
-        "threads": threading.new_threads(linked, canonical),
-        "thread_events": threading.thread_events(linked, canonical),
+        "canonical_event_relationships": all_thread_pairs,
+        "threads": with_old("threads", threading.new_threads(linked, canonical)),
+        "thread_events": stored.unionByName(rows, allowMissingColumns=True) if "thread_events" in old else rows,
         "thread_actions": threading.actions(linked),
     }
-    if merges is not None:
-        out["merges"] = merges
+    if kept is not None:
+        out |= {"merges": merges, "audit": kept["audit"]}
     return out

@@ -26,7 +26,7 @@ TABLES = {
     "canonical_events": "canonical_id long, company_id long, event_type string, subject string, action string, "
     "canonical_date string, date_precision string, lifecycle_status string, domain string, entity string, title string, "
     "summary string, stage string, review_status string",
-    "event_cluster_members": "canonical_id long, event_id long, is_seed boolean",
+    "event_cluster_members": "canonical_id long, event_id long, is_seed boolean, relationship_id long",
     "threads": "thread_id long, company_id long, title string, domain string, entity string, review_status string",
     "canonical_event_relationships": "relationship_id long, a_id long, b_id long, relationship_type string, rationale string, "
     "confidence double, decided_by string, review_status string",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions import dates, vectors
 from annalist.operators import extraction as ex, lookups as lk, ranking as rk, review as rv, upserts as up
+from annalist.operators.pairs import RuleClassifier
 from annalist.plans import reports as rp
 from annalist.plans.run import run
 from annalist.sources import files
@@ -318,6 +319,33 @@ def test_timeline_filters_and_order(spark):
     assert ids(lk.by_ids(canon, spark.createDataFrame([(4,), (9,)], "canonical_id long"), "canonical_id")) == [4]
 
 
+def test_an_incremental_run_goes_on_from_stored_tables(spark):
+    text = "Acme announces the {0} Box today. It will launch in spring for everyone.\n\nAcme plans to expand the {0} Box service to new regions."
+    schema = "doc_id long, company_id long, source_type string, is_official boolean, title string, published_date string, raw_text string"
+    rows = [(n, 1, "press_release" if n % 2 else "tech_blog", True, f"t{n}", f"2025-01-0{n}", text.format(c)) for n, c in enumerate(("Blue", "Red", "Blue", "Green"), 1)]
+    companies = spark.createDataFrame([(1, "Acme")], "company_id long, name string")
+    rule = RuleClassifier(related=0.8)
+    first = run(spark.createDataFrame(rows[:2], schema), companies, classifier=rule)
+    second = run(spark.createDataFrame(rows, schema), companies, classifier=rule, state=first)
+    ids = lambda t, c: [r[0] for r in t.select(c).orderBy(c).collect()]
+    for name, key in (("chunks", "chunk_id"), ("events", "event_id"), ("event_relationships", "relationship_id"), ("canonical_event_relationships", "relationship_id")):
+        had, has = ids(first[name], key), ids(second[name], key)
+        assert set(had) <= set(has) and len(has) == len(set(has)), name
+    assert len(ids(second["chunks"], "chunk_id")) == 2 * len(ids(first["chunks"], "chunk_id"))
+    for name in ("event_relationships", "canonical_event_relationships", "event_cluster_members", "evidence_spans"):
+        assert schemas.repeated_keys(name, second[name]).isEmpty(), name
+    # every member that joined a cluster, and every thread row, names the decision behind it
+    pairs = {(r.a_id, r.b_id): r for r in second["event_relationships"].collect()}
+    for m in second["event_cluster_members"].where("not is_seed").collect():
+        r = pairs[min(m.event_id, m.canonical_id), max(m.event_id, m.canonical_id)]
+        assert m.relationship_id == r.relationship_id and r.review_status == "auto_applied"
+    applied = {r.relationship_id for r in second["canonical_event_relationships"].where("review_status = 'auto_applied'").collect()}
+    assert all(r.relationship_id in applied for r in second["thread_events"].collect())
+    third = run(spark.createDataFrame(rows, schema), companies, classifier=rule, state=second)
+    for name in ("chunks", "events", "evidence_spans", "event_cluster_members", "event_relationships", "canonical_event_relationships", "threads"):
+        assert sorted(map(str, third[name].collect())) == sorted(map(str, second[name].select(*third[name].columns).collect())), name
+
+
 def test_a_full_run_holds_its_invariants(spark):
     text = "Acme announces the Blue Box today. It will launch in spring for everyone.\n\nAcme plans to expand the Blue Box service to new regions."
     docs = spark.createDataFrame(
