@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,22 +16,36 @@ from annalist.llm.tables import clean_names, map_rows, stored
 #: Words that an aligned block needs to be deleted; runs of lines of so many words are what documents are found by.
 BLOCK_WORDS = 25
 
-#: A line ends at a line feed, or, so that long paragraphs can be compared, after the mark that ends a sentence.
-_LINE = re.compile(r"[^\n]*?(?:[.!?](?=[ \t])[ \t]+|\n|\Z)", re.S)
+#: A line ends after a line feed, or, so that long paragraphs can be compared, after the mark and space that end a sentence.
+ENDS = ("\n", ". ", "! ", "? ")
 
 
 def split_lines(text: str | None) -> list[str]:
     """Lines with what parts them from the next; joined they are the text."""
-    return [x for x in _LINE.findall(text or "") if x]
+    parts = [text] if text else []
+    for end in ENDS:
+        if any(end in p for p in parts):
+            cut = []
+            for p in parts:
+                if end in p:
+                    *whole, last = p.split(end)
+                    cut += [x + end for x in whole]
+                    if last:
+                        cut.append(last)
+                else:
+                    cut.append(p)
+            parts = cut
+    return parts
 
 
 def line_table(text: str | None) -> tuple[list[int], list[int]]:
     """Hash and number of words of each line, white space at its ends left out; a blank line has no words."""
     hashes, counts = [], []
+    digest = xxhash.xxh64_intdigest
     for line in split_lines(text):
         bare = line.strip()
-        hashes.append(xxhash.xxh64_intdigest(bare.encode()) >> 1)
-        counts.append(len(bare.split()) if bare else 0)
+        hashes.append(digest(bare.encode()) >> 1)
+        counts.append((len(bare.split()) if "  " in bare else bare.count(" ") + 1) if bare else 0)
     return hashes, counts
 
 
@@ -138,13 +151,48 @@ def repeated(a: list[int], b: list[int], counts: list[int], least: int) -> list[
     a run that both sides still have, moved or hidden by shorter matches, is looked up and
     grown. So no common block of so many words stays.
     """
+    # lines of one side alone part what is around them; for the rest only their number matters
+    both = set(a) & set(b)
+    a = _shared(a, both)
     size = dict(zip(b, counts))
     places = {k: i for i, k in reversed(list(enumerate(run_keys(a, [size.get(h, least) for h in a], least))))}
+    if len(both) * 2 < len(b):
+        return [s for lo, hi in _stretches(b, both) for s in _cut_out(a, b, counts, least, places, lo, hi)]
+    return sorted(_cut_out(a, b, counts, least, places, 0, len(b)))
+
+
+def _shared(lines: list[int], both: set[int]) -> list[int]:
+    """The lines of ``both``, with one mark, met nowhere else, for each gap between them."""
+    out, gap = [], -1
+    for h in lines:
+        if h in both:
+            out.append(h)
+        elif not out or out[-1] >= 0:
+            out.append(gap)
+            gap -= 1
+    return out
+
+
+def _stretches(lines: list[int], both: set[int]) -> list[tuple[int, int]]:
+    out, start = [], -1
+    for i, h in enumerate(lines):
+        if h in both:
+            if start < 0:
+                start = i
+        elif start >= 0:
+            out.append((start, i))
+            start = -1
+    return out + ([(start, len(lines))] if start >= 0 else [])
+
+
+def _cut_out(a: list[int], b: list[int], counts: list[int], least: int, places: dict[int, int], lo: int, hi: int) -> list[tuple[int, int]]:
     out = []
-    left = [(0, len(b))]
+    left = [(lo, hi)]
     while left:
         lo, hi = left.pop()
         own, words = b[lo:hi], counts[lo:hi]
+        if sum(words) < least:
+            continue
         runs = run_keys(own, words, least)
         if not any(k in places for k in runs):
             continue
