@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from annalist.llm.tables import clean_names, map_rows
+from annalist.llm.tables import clean_names, drawn, map_rows
 
 # HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -198,8 +198,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """
     rows = clean_names(pages, key, url, page)
     labelled = rows.filter(F.col(f"`{page}`").rlike(r"(?i)<(article|main)[\s>]")).filter(F.length(f"`{page}`") <= SAMPLE_CHARS)
-    chosen = [r[0] for r in labelled.select(page).orderBy(F.xxhash64(F.col(f"`{page}`"))).limit(sample).collect()] if sample else []
-    weights = learn(chosen)
+    weights = learn([r[0] for r in drawn(labelled.select(page), F.xxhash64(F.col(f"`{page}`")), sample)])
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         def of(b: pa.RecordBatch) -> dict:
