@@ -14,7 +14,7 @@ def hashed_vector(text: Column) -> Column:
     Each word becomes one symbol of a 32-letter alphabet, so the counts are string
     length differences instead of one pass over an array per word.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
     symbol = lambda w: F.substring(
         F.lit(_SYMBOLS), F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % BUCKETS + 1, F.lit(1)
     )

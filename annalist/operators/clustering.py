@@ -35,7 +35,7 @@ from annalist.operators.pairs import (
     nearest_candidates,
 )
 from annalist.operators.upserts import numbered_relationships, relationship_rows
-from annalist.session import broadcast_if_small, cut, fits, shuffle_width
+from annalist.session import broadcast_if_small, cut, fits, release, shuffle_width
 
 ISLAND_ROWS = 100_000
 
@@ -217,6 +217,7 @@ def _rounds(rows: DataFrame, prior: DataFrame | None, window: int, k: int, rule:
         step = look(state, state.where("_seed")).withColumn("_now", ~merges)
         step = cut(step.select(*official.columns, "_now"))
         changed = not step.where(F.col("_now") != F.col("_seed")).isEmpty()
+        release(state)
         state = step.withColumn("_seed", F.col("_now")).drop("_now")
         if not changed:
             break

@@ -127,9 +127,26 @@ def ingest_tally(versions: DataFrame, failed: DataFrame | None = None) -> DataFr
     return done.withColumn("failed", failed.agg(F.count("*")).scalar())
 
 
+# The column that a source's log names a delivery by.
+LOGGED = {"dart": "external_id", "manual": "file_path"}
+
+
+def query_log(answers: DataFrame, failed: DataFrame | None, occurred_at: str | None = None) -> DataFrame:
+    """Log rows of news: one per query (company_id, query) that was answered and one per failure."""
+    done = answers.select("company_id", F.col("query").alias("external_id")).distinct()
+    return ingestion_log(done, failed, "news", occurred_at)
+
+
 def ingestion_log(versions: DataFrame, failed: DataFrame | None, source: str, occurred_at: str | None = None) -> DataFrame:
-    """Log rows to append: one per delivery and one per failure (detail, error)."""
-    label = F.concat(F.col("external_id"), F.lit(" (changed="), F.initcap(F.col("changed").cast("string")), F.lit(")"))
+    """Log rows to append: one per delivery and one per failure (detail, error).
+
+    A filing is named by its id, a manual document by its path; news is logged by query
+    (``query_log``), without the note on changes.
+    """
+    if source == "news":
+        label = F.col("external_id")
+    else:
+        label = F.concat(F.col(LOGGED[source]), F.lit(" (changed="), F.initcap(F.col("changed").cast("string")), F.lit(")"))
     none = F.lit(None).cast("string")
     good = versions.select(
         F.lit(source).alias("source"),

@@ -225,14 +225,24 @@ def ingest_tally(spark, sf_dir):
 
 @query(
     "ingestion_log",
-    f"""WITH {DELIVERIES_SQL} SELECT 'news' AS source, company_id, 'success' AS status,
+    f"""WITH {DELIVERIES_SQL} SELECT 'dart' AS source, company_id, 'success' AS status,
 external_id || ' (changed=' || CASE WHEN step = 1 THEN 'True' ELSE 'False' END || ')' AS detail FROM vers""",
 )
 def ingestion_log(spark, sf_dir):
-    log = up.ingestion_log(up.document_versions(_deliveries(spark, sf_dir)), None, "news")
+    log = up.ingestion_log(up.document_versions(_deliveries(spark, sf_dir)), None, "dart")
     return log.select("source", "company_id", "status", "detail")
 
 
+@query(
+    "news_log",
+    f"""WITH {tb.DOCUMENTS_SQL} SELECT DISTINCT 'news' AS source, company_id, 'success' AS status, source_type AS detail FROM docs""",
+)
+def news_log(spark, sf_dir):
+    """Document types as the queries that articles were found by."""
+    answers = tb.documents(spark, sf_dir).select("company_id", F.col("source_type").alias("query"))
+    return up.query_log(answers, None).select("source", "company_id", "status", "detail")
+
+
 @query(
     "content_duplicates",
     """SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents
@@ -1171,3 +1181,105 @@ def approve_thread_pairs(spark, sf_dir):
     )
     out = rv.decide_canonical_pairs(both, decided, rows, canonical)
     return out["thread_events"]
+
+
+# ---------------------------------------------------------------- stored rows: filters, lookups, upserts
+
+
+@query("evidence_valid", f"WITH {tb.EVENTS_SQL}, {EVIDENCE_SQL} SELECT event_id, matched_text FROM evi WHERE is_valid")
+def evidence_valid(spark, sf_dir):
+    return lk.valid_evidence(_evidence(spark, sf_dir)).select("event_id", "matched_text")
+
+
+@query("event_canonical", f"WITH RECURSIVE {CANONICAL_SQL} SELECT event_id, canonical_id, ce.company_id FROM mem JOIN ce USING (canonical_id)")
+def event_canonical(spark, sf_dir):
+    return lk.canonical_of_events(_members(spark, sf_dir), _canonical(spark, sf_dir))
+
+
+@query(
+    "canonical_seeds",
+    f"""WITH RECURSIVE {CANONICAL_SQL} SELECT canonical_id, event_id, ev.event_type, ev.event_date
+FROM mem JOIN ev USING (event_id) WHERE is_seed""",
+)
+def canonical_seeds(spark, sf_dir):
+    rows = lk.seed_events(_canonical(spark, sf_dir), _members(spark, sf_dir), tb.events(spark, sf_dir))
+    return rows.select("canonical_id", "event_id", "event_type", "event_date")
+
+
+@query("company_documents", f"WITH {tb.DOCUMENTS_SQL} SELECT doc_id, company_id, published_date FROM docs WHERE source_type = 'news'")
+def company_documents(spark, sf_dir):
+    return lk.documents_of(tb.documents(spark, sf_dir), source_type="news").select("doc_id", "company_id", "published_date")
+
+
+@query("documents_by_ids", f"WITH {tb.DOCUMENTS_SQL} SELECT doc_id, title FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)")
+def documents_by_ids(spark, sf_dir):
+    return lk.by_ids(tb.documents(spark, sf_dir), tb.read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "title")
+
+
+@query(
+    "columns_set",
+    f"""WITH {tb.DOCUMENTS_SQL} SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'toxic ' || l.toxic ELSE title END AS title, published_date
+FROM docs LEFT JOIN labels l USING (doc_id)""",
+)
+def columns_set(spark, sf_dir):
+    changes = tb.read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("title"))
+    table = tb.documents(spark, sf_dir).select("doc_id", "title", "published_date")
+    return up.set_columns(table, changes, "doc_id")
+
+
+@query(
+    "evidence_upsert",
+    f"""WITH {tb.EVENTS_SQL}, {EVIDENCE_SQL} SELECT event_id, CASE WHEN is_valid THEN match_score ELSE 0.75::DOUBLE END AS match_score,
+CASE WHEN is_valid THEN 'exact' ELSE 'fuzzy_rapidfuzz' END AS match_method, event_id AS embedded FROM evi""",
+)
+def evidence_upsert(spark, sf_dir):
+    """Evidence that failed is found again, twice; the later finding wins and the stored embedding stays."""
+    stored = _evidence(spark, sf_dir).withColumn("embedding", F.array(F.col("event_id").cast("double")))
+    lost = stored.where(~F.col("is_valid")).withColumn("match_method", F.lit("fuzzy_rapidfuzz")).drop("embedding")
+    again = lost.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns(
+        {"match_score": F.when(F.col("n") == 2, 0.75).otherwise(0.65), "embedding": F.lit(None).cast("array<double>")}
+    )
+    rows = up.upsert_evidence(stored, again, "n")
+    return rows.select("event_id", "match_score", "match_method", F.col("embedding")[0].cast("long").alias("embedded"))
+
+
+@query(
+    "relationship_upsert",
+    f"""WITH {tb.EVENTS_SQL}, {RELATIONS_SQL} SELECT a_id, b_id, CASE WHEN review_status = 'pending' THEN 'unrelated' ELSE relationship_type END AS relationship_type,
+CASE WHEN review_status = 'pending' THEN 'llm' ELSE 'human' END AS decided_by FROM rel""",
+)
+def relationship_upsert(spark, sf_dir):
+    """A rerun calls every pair unrelated; decided pairs keep the decision of a person."""
+    stored = _relationships(spark, sf_dir).select(
+        "a_id", "b_id", "relationship_type", F.when(F.col("review_status") == "pending", "llm").otherwise("human").alias("decided_by")
+    )
+    rerun = stored.select(
+        F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), F.lit("unrelated").alias("relationship_type"),
+        F.lit("llm").alias("decided_by"), F.lit(1).alias("n"),
+    )
+    return up.upsert_relationships(stored, rerun, "n")
+
+
+@query(
+    "chunks_replaced",
+    f"""WITH {tb.DOCUMENTS_SQL} SELECT doc_id, CAST(n AS INTEGER) AS chunk_index, CASE WHEN l.doc_id IS NULL THEN raw_text ELSE 'new ' || n END AS text
+FROM docs LEFT JOIN labels l USING (doc_id), range(2) AS r(n) WHERE n = 0 OR l.doc_id IS NOT NULL""",
+)
+def chunks_replaced(spark, sf_dir):
+    """One stored chunk per document; labelled documents are chunked anew, in two."""
+    stored = tb.documents(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_index"), F.col("raw_text").alias("text"))
+    known = stored.join(tb.read(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    fresh = known.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index")).withColumn(
+        "text", F.concat(F.lit("new "), F.col("chunk_index").cast("string"))
+    )
+    return ch.replace_chunks(stored, fresh)
+
+
+@query(
+    "event_provenance",
+    f"""WITH {tb.EVENTS_SQL} SELECT event_id, 'rule' AS extraction_model, 'v1' AS prompt_version, entity AS said_entity, raw_quote AS said_quote FROM ev""",
+)
+def event_provenance(spark, sf_dir):
+    rows = up.event_rows(tb.events(spark, sf_dir), "rule", "v1")
+    said = lambda f: F.get_json_object("raw_response_json", f"$.{f}")
+    return rows.select("event_id", "extraction_model", "prompt_version", said("entity").alias("said_entity"), said("raw_quote").alias("said_quote"))

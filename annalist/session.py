@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,26 +28,41 @@ def local_session(cores: str = "8", app: str = "annalist") -> SparkSession:
     )
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
+_LOCAL: dict[str, str] = {}
+
+
+def _stage_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; only a local session without one gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _LOCAL[app]
+    return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet to the shared folder and continue from the files.
 
-    Used after order-dependent or iterated stages, so that a lost executor
-    re-reads files instead of replaying every earlier round.
+    Used after order-dependent or iterated stages, so that a lost executor re-reads files
+    instead of replaying every earlier round, and later reads take only the columns they need.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = _stage_folder(df.sparkSession)
+    plain = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path)
+
+
+def release(*stages: DataFrame) -> None:
+    """Remove the files of cut frames that nothing reads any more."""
+    for df in stages:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles() if "/stage-" in f}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -63,11 +79,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Scans over this size, in bytes, are never spread: their own splits are enough.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a scan of few files over all cores; a scan with enough splits stays as it is.
+    """Hash a small scan of few files over all cores; any other scan stays as it is.
 
-    Only for frames that are plain reads: counting their splits runs nothing.
+    Only for frames that are plain reads: their size and splits are known without running anything.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 

@@ -7,6 +7,7 @@ talks to a network; responses are read from where they were landed.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -102,11 +103,11 @@ def read_company_codes(spark: SparkSession, path: str) -> DataFrame:
         .option("rowTag", "list")
         .schema("corp_code string, corp_name string")
         .load(path)
-        .select("corp_code", "corp_name", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+        .select("corp_code", "corp_name", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
         .where((F.length("corp_name") > 0) & (F.length("corp_code") > 0))
     )
-    # ids of a scan grow along each file; they only rank repeated names and are dropped
-    last = rows.groupBy(F.trim("corp_name").alias("name")).agg(F.max_by(F.trim("corp_code"), F.struct("path", "at")).alias("code"))
+    # inside a block of a file ids grow with the rows; they only rank repeated names and are dropped
+    last = rows.groupBy(F.trim("corp_name").alias("name")).agg(F.max_by(F.trim("corp_code"), F.struct("path", "block", "at")).alias("code"))
     return last
 
 
@@ -165,6 +166,21 @@ MEMBER = T.StructType(
 )
 
 
+#: A declared encoding in the first bytes of markup: of an XML declaration or a meta element.
+_DECLARED = re.compile(rb"""<\?xml[^>]*\bencoding\s*=\s*["']([\w.:-]+)|<meta[^>]*\bcharset\s*=\s*["']?([\w.:-]+)""", re.I)
+
+
+def decoded(body: bytes) -> str:
+    """Markup as text by its byte order mark, its declared encoding, or UTF-8; raises if neither fits."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return body.decode(name)
+    said = _DECLARED.search(body[:2048])
+    name = next(g for g in said.groups() if g).decode("ascii") if said else "utf-8"
+    # the superset that such pages are really written in
+    return body.decode({"euc-kr": "cp949", "ks_c_5601-1987": "cp949", "ksc5601": "cp949"}.get(name.lower(), name))
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Archive members as text; opening the container is the only step Spark lacks."""
     for batch in batches:
@@ -172,8 +188,11 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for n, name in enumerate(archive.namelist()):
-                        body = archive.read(name).decode("utf-8", "replace")
-                        yield pd.DataFrame([(path, n, body, None)], columns=MEMBER.names)
+                        try:
+                            body, fault = decoded(archive.read(name)), None
+                        except (UnicodeDecodeError, LookupError) as e:
+                            body, fault = None, f"{name}: {e}"
+                        yield pd.DataFrame([(path, n, body, fault)], columns=MEMBER.names)
             except zipfile.BadZipFile:
                 yield pd.DataFrame([(path, None, None, "not a valid archive")], columns=MEMBER.names).astype({"member_no": "Int32"})
 

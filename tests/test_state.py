@@ -46,10 +46,24 @@ def test_upsert_is_idempotent_and_keeps_fields_of_unchanged_rows(spark):
     assert (new["b"].version, new["b"].title, new["b"].is_official) == (2, "t4", True)
     assert new["c"].version == 1
     assert sorted((r.external_id, r.version) for r in up.document_snapshots(again, seen).collect()) == [("b", 2), ("c", 1)]
-    log = up.ingestion_log(seen, spark.createDataFrame([(1, "x", "bad")], "company_id long, detail string, error string"), "manual")
+    log = up.ingestion_log(seen, spark.createDataFrame([(1, "x", "bad")], "company_id long, detail string, error string"), "dart")
     assert sorted((r.status, r.detail) for r in log.collect()) == [
         ("failed", "x"), ("success", "a (changed=False)"), ("success", "b (changed=True)"), ("success", "c (changed=True)")
     ]
+    paths = up.ingestion_log(seen.withColumn("file_path", F.concat(F.lit("/in/"), "external_id")), None, "manual")
+    assert {r.detail for r in paths.collect()} == {"/in/a (changed=False)", "/in/b (changed=True)", "/in/c (changed=True)"}
+    asked = spark.createDataFrame([(1, "q"), (1, "q"), (2, "r")], "company_id long, query string")
+    assert sorted((r.source, r.company_id, r.status, r.detail) for r in up.query_log(asked, None).collect()) == [("news", 1, "success", "q"), ("news", 2, "success", "r")]
+
+
+def test_archive_members_are_read_in_their_declared_encoding():
+    korean = "카카오 사업 보고서"
+    for name, head in (("euc-kr", '<?xml version="1.0" encoding="EUC-KR"?>'), ("utf-8", ""), ("cp949", '<html><meta charset="ks_c_5601-1987">'), ("utf-16", "")):
+        assert files.decoded((head + korean).encode(name)) == head + korean
+    with pytest.raises(UnicodeDecodeError):
+        files.decoded(korean.encode("cp949"))
+    with pytest.raises(LookupError):
+        files.decoded(b'<?xml encoding="no-such"?>')
 
 
 def test_dense_ids_continue_after_the_largest(spark):
