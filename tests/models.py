@@ -36,7 +36,8 @@ def nearest(row, pool, window, k=10):
     return [(f[0], f[2]) for f in found[:k]]
 
 
-def clusters(rows, window, rule, prior=()):
+def clusters(rows, window, rule, prior=(), said=None):
+    """Assignment of each event; ``said`` collects every decision: (a, b) -> (kind, applied)."""
     out = {}
     for company in {r["company"] for r in rows}:
         seeds = [p for p in prior if p["company"] == company]
@@ -44,6 +45,9 @@ def clusters(rows, window, rule, prior=()):
             scored = [(rule.decide(row, s), s["id"]) for _, s in nearest(row, seeds, window)]
             same = [(c, i) for (kind, c), i in scored if kind == "same_event"]
             top = max((c for c, _ in same), default=None)
+            joined = next((i for c, i in same if c == top), None) if top is not None and top >= 0.85 else None
+            for (kind, _), i in scored if said is not None else ():
+                said[min(i, row["id"]), max(i, row["id"])] = (kind, i == joined)
             if top is not None and top >= 0.85:
                 out[row["id"]] = ("merged", next(i for c, i in same if c == top))
             elif row["official"]:
@@ -54,12 +58,17 @@ def clusters(rows, window, rule, prior=()):
     return out
 
 
-def threads(rows, window, rule):
+def threads(rows, window, rule, said=None):
+    """Actions and places; ``said`` collects every decision: (a, b) -> applied."""
     acts, spots = {}, {}
 
     def fits(a, b):
         kind, score = rule.decide(a, b)
-        return kind == "related_distinct" and score >= 0.75
+        good = kind == "related_distinct" and score >= 0.75
+        if said is not None:
+            key = min(a["id"], b["id"]), max(a["id"], b["id"])
+            said[key] = good or said.get(key, False)
+        return good
 
     for company in {r["company"] for r in rows}:
         mine = sorted((r for r in rows if r["company"] == company), key=place)

@@ -80,9 +80,14 @@ def test_clusters_equal_the_sequential_pass(spark, window, limit):
     rows, prior = sample(1, 350, start=1000), sample(2, 60)
     rule = pr.RuleClassifier()
     for old in ((), prior):
-        wanted = md.clusters(rows, window, rule, old)
-        got = cl.assign_events(frame(spark, rows), frame(spark, old) if old else None, window, island_rows=limit)
+        said = {}
+        wanted = md.clusters(rows, window, rule, old, said)
+        df, before = frame(spark, rows), frame(spark, old) if old else None
+        got = cl.assign_events(df, before, window, island_rows=limit).cache()
         assert {r.event_id: (r.action, r.canonical_id) for r in got.collect()} == wanted
+        kept = cl.relationships(df, got, before, window).collect()
+        assert {(r.a_id, r.b_id): (r.relationship_type, r.review_status == "auto_applied") for r in kept} == said
+        assert sorted(r.relationship_id for r in kept) == list(range(1, len(said) + 1))
 
 
 def test_weak_same_event_scores_flag_instead_of_merging(spark):
@@ -104,9 +109,13 @@ def test_unofficial_events_join_but_never_seed(spark):
 def test_threads_equal_the_sequential_pass(spark, window, limit):
     rows = sample(3, 260, span=120, entities=20)
     rule = pr.RuleClassifier(related=0.8)
-    acts, spots = md.threads(rows, window, rule)
+    said = {}
+    acts, spots = md.threads(rows, window, rule, said)
     df = frame(spark, rows, ("canonical_id", "canonical_date"))
-    out = th.link_threads(df, window_days=window, classifier=rule, slice_rows=limit).collect()
+    linked = th.link_threads(df, window_days=window, classifier=rule, slice_rows=limit).cache()
+    out = linked.collect()
+    kept = th.relationships(linked, df, rule).collect()
+    assert {(r.a_id, r.b_id): r.review_status == "auto_applied" for r in kept} == said and said
     assert {r.canonical_id: r.action for r in out if r.kind == "action"} == acts
     assert {r.canonical_id: (r.thread_id, r.sequence_index) for r in out if r.kind == "member"} == spots
 
@@ -190,6 +199,42 @@ def test_similar_pairs_and_merges(spark):
     assert {r.remove_id: r.keep_id for r in merges.collect()} == {x: root(x) for x in keep}
 
 
+class DomainRule(pr.RuleClassifier):
+    """Events of one domain are the same, whatever their entity and type."""
+
+    def columns(self, a, b):
+        same = F.coalesce((F.length(a["domain"]) > 0) & (a["domain"] == b["domain"]), F.lit(False))
+        out = lambda kind, c: F.struct(F.lit(kind).alias("relationship_type"), F.lit(c).alias("confidence"), F.lit("").alias("rationale"))
+        return F.when(same, out("same_event", 0.9)).otherwise(out("unrelated", 0.6))
+
+
+def test_a_model_may_merge_across_entities(spark):
+    rng = random.Random(7)
+    rows = [(*r[:4], rng.choice(["x", "y", None]), *r[5:]) for r in canon_rows(3, 90)]
+    df = spark.createDataFrame(rows, CANON)
+    order = sorted(rows, key=lambda r: (r[2] is None, r[2] or "", r[0]))
+    keep, candidates, checked = {}, 0, 0
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if a[1] == b[1] and similar(a, b):
+                candidates += 1
+                if a[0] not in keep and b[0] not in keep:
+                    checked += 1
+                    if a[4] and a[4] == b[4]:
+                        keep[max(a[0], b[0])] = min(a[0], b[0])
+
+    def root(x):
+        while x in keep:
+            x = keep[x]
+        return x
+
+    got = {r.remove_id: r.keep_id for r in dd.dedupe(df, DomainRule(), tile_rows=20).collect()}
+    assert got == {x: root(x) for x in keep}
+    entity = {r[0]: r[3] for r in rows}
+    assert any(entity[a] != entity[b] for a, b in got.items())
+    assert dd.dedupe_tally(df, DomainRule()).first().asDict() == {"candidates": candidates, "checked": checked, "merged": len(keep)}
+
+
 def test_merges_rewrite_every_table(spark):
     merges = spark.createDataFrame([(2, 1)], "remove_id long, keep_id long")
     members = spark.createDataFrame([(1, 10, True), (2, 20, True)], "canonical_id long, event_id long, is_seed boolean")
