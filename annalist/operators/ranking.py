@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annalist.functions.vectors import cosine, hashed_vector
 from annalist.operators.evidence import usable_text
-from annalist.session import broadcast_if_small
 
 KEEP_MATCHES = 3
+#: Most bytes of task vectors and texts that are sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def embed_missing(evidence: DataFrame, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
@@ -42,7 +43,10 @@ def score_evidence(evidence: DataFrame, tasks: DataFrame) -> DataFrame:
     jobs = tasks.groupBy("job_id", "company_id").agg(
         F.array_sort(F.collect_list(F.struct("task_no", "task", "vector"))).alias("_tasks")
     )
-    joined = ready.join(broadcast_if_small(jobs, 10_000), "company_id")
+    vectors = F.aggregate("_tasks", F.lit(0).cast("long"), lambda n, t: n + 8 * F.size(t["vector"]) + F.octet_length(t["task"]))
+    # beyond the bound a plain join, whose hot companies Spark splits: the aggregate has other keys
+    held = jobs.agg(F.sum(vectors)).first()[0] or 0
+    joined = ready.join(F.broadcast(jobs) if held <= BROADCAST_BYTES else jobs, "company_id")
     best = F.array_max(
         F.transform(
             "_tasks",

@@ -33,20 +33,46 @@ def stream_evidence(documents: DataFrame, **extraction) -> DataFrame:
     return locate_quotes(events, "raw_quote", "text", "_base").drop("_base", "text")
 
 
-def first_links(documents: DataFrame) -> DataFrame:
-    """Each external id once, within a stream's state."""
-    return documents.dropDuplicates(["external_id"])
+def first_links(documents: DataFrame, time: str | None = None, delay: str = "30 days") -> DataFrame:
+    """Each external id once.
+
+    With a ``time`` column an id is forgotten ``delay`` after it was seen, so the state is
+    bounded; without one the stream's state holds every id.
+    """
+    if time is None:
+        return documents.dropDuplicates(["external_id"])
+    return documents.withWatermark(time, delay).dropDuplicatesWithinWatermark(["external_id"])
+
+
+def _first_version(spark: SparkSession, state: str, checkpoint: str) -> int:
+    """The version that batch 0 of this checkpoint writes: after those that the folder held when it began.
+
+    The number is kept beside the checkpoint, so a restart counts on from the same one.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    note = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/first_version")
+    if note.getFileSystem(conf).exists(note):
+        return int(spark.read.text(note.toString()).first()[0])
+    root = jvm.org.apache.hadoop.fs.Path(state)
+    files = root.getFileSystem(conf)
+    names = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    first = max((int(n.removeprefix("v=")) + 1 for n in names if n.startswith("v=")), default=0)
+    spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.text(note.toString())
+    return first
 
 
 def upsert_stream(incoming: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
     """Keep a versioned document table under ``state``: every batch writes ``v=N`` from ``v=N-1``.
 
-    A batch that is run again overwrites its own folder, so restarts change nothing.
+    A batch that is run again overwrites its own folder, so restarts change nothing; a new
+    checkpoint goes on from the last version that is there.
     """
+    first = _first_version(incoming.sparkSession, state, checkpoint)
 
     def merge(batch: DataFrame, number: int) -> None:
-        current = None if number == 0 else batch.sparkSession.read.parquet(f"{state}/v={number - 1}")
-        upsert_documents(batch, current).write.mode("overwrite").parquet(f"{state}/v={number}")
+        version = first + number
+        current = None if version == 0 else batch.sparkSession.read.parquet(f"{state}/v={version - 1}")
+        upsert_documents(batch, current).write.mode("overwrite").parquet(f"{state}/v={version}")
 
     return (
         incoming.writeStream.foreachBatch(merge)

@@ -1,6 +1,7 @@
 """Streaming forms give what the batch operators give."""
 
 import json
+import os
 
 from annalist.operators import clustering as cl
 from annalist.operators.pairs import RuleClassifier
@@ -40,9 +41,25 @@ def test_versions_survive_batches_and_restarts(spark, tmp_path):
         flows.upsert_stream(docs, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination(120)
     last = spark.read.parquet(str(tmp_path / "state" / "v=2")).collect()
     assert [(r.external_id, r.version, r.title) for r in last] == [("k", 2, "t1")]
+    # a new checkpoint goes on from the stored versions
+    flows.upsert_stream(docs, str(tmp_path / "state"), str(tmp_path / "other")).awaitTermination(120)
+    again = spark.read.parquet(str(tmp_path / "state" / "v=3")).collect()
+    assert [r.external_id for r in again] == ["k"] and again[0].version > 2
     assert flows.first_links(docs).isStreaming
 
 
+def test_links_are_forgotten_behind_the_watermark(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, day in enumerate(("2024-01-01", "2024-01-02", "2024-03-01", "2024-03-02")):
+        (folder / f"{n}.json").write_text(json.dumps({"external_id": "k", "seen": f"{day} 00:00:00"}))
+        os.utime(folder / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # files are read by age
+    docs = spark.readStream.schema("external_id string, seen timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+    rows = drain(flows.first_links(docs, "seen", "10 days"), "links_out", str(tmp_path / "ck"))
+    days = sorted(str(r.seen)[:10] for r in rows)
+    assert days[0] == "2024-01-01" and "2024-01-02" not in days
+
+
 def test_clusters_in_date_order_equal_the_batch(spark, tmp_path):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
