@@ -39,7 +39,7 @@ NEW_SMALL = {
 #: Largest vocabulary file that is sent to the executors, in bytes.
 FILE_BYTES = 64 << 20
 #: Encoded words of a generation; a task remembers two.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Words longer than this keep their ranks in a heap of positions instead of rescanning an array.
 SHORT_WORD = 400
 _NONE = 1 << 60
@@ -189,9 +189,11 @@ def _coder(df: DataFrame, vocabulary: str) -> Callable[[], Bpe]:
     return lambda: Bpe(sent.value)
 
 
-def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids): the whole text as packed little-endian unsigned 32-bit ids; no row is lost.
 
+    ``decoded`` adds the text that the ids decode to, by the same worker.
+
     Null and empty texts get no ids; strings of special tokens in a text become those
     tokens. Repeated rows give repeated rows, an empty table none. ``vocabulary`` is a path
     on the driver.
@@ -201,9 +203,15 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         bpe = coder()
-        return lambda b: {key: b.column(0), "ids": pa.array([bpe.encode(t) for t in b.column(1).to_pylist()], pa.binary())}
 
-    return map_rows(rows, make, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
+        def of(b: pa.RecordBatch) -> dict:
+            ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
+            out = {key: b.column(0), "ids": pa.array(ids, pa.binary())}
+            return out | {"decoded": pa.array(map(bpe.decode, ids), pa.string())} if decoded else out
+
+        return of
+
+    return map_rows(rows, make, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary{', decoded string' if decoded else ''}")
 
 
 def decode(df: DataFrame, vocabulary: str, keep: list[str] | None = None, ids: str = "ids") -> DataFrame:

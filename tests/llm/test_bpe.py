@@ -55,6 +55,8 @@ def test_round_trip_of_odd_rows(spark, public):
     expected = sorted((k or -1, public.encode(t or "", add_special_tokens=False).ids) for k, t in brute.ODD)
     assert sorted((r.doc_id or -1, list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids))) for r in out) == expected
     assert all(r.decoded == public.decode(list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)), skip_special_tokens=False) for r in out)
+    once = bpe.encode(brute.docs(spark), PATH, decoded=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, out))
     assert bpe.encode(brute.docs(spark, []), PATH).count() == 0
 
 
