@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annalist.llm.tables import width
+from annalist.llm.tables import stored, width
 
 #: Rows of a group that one task takes at once.
 GROUP_ROWS = 2048
@@ -37,7 +37,7 @@ def split_hot(rows: DataFrame, finer: Callable[[Column], list[Column]] | None =
     cool = marked.filter("hot is null").select(own)
     warm = marked.filter("hot is not null")
     if finer is not None:
-        fine = warm.withColumn("key", F.explode(F.array(*finer(F.col("key"))))).select(own)
+        fine = stored(warm.withColumn("key", F.explode(F.array(*finer(F.col("key"))))).select(own))
         return cool.union(split_hot(fine, None, most, tile_on))
     blocks = F.ceil(F.col("held") / most).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), tile_on), blocks).cast("int")

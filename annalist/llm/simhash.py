@@ -19,6 +19,8 @@ SEED = 42
 SHINGLE, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 18
 #: Independent least shingles that candidates are brought together by; two texts of similarity s miss with (1 - s) ** LEAST.
 LEAST = 8
+#: Texts of a group whose fingerprints one task searches; they are 16 bytes each.
+CANDIDATE_ROWS = 1 << 14
 #: Children of an index node, and pairs of queries and nodes that are held at once.
 FANOUT, FRONTIER = 8, 1 << 20
 
@@ -190,7 +192,7 @@ def least_shingles(hashes: np.ndarray) -> np.ndarray:
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY,
-    limit: int = CANDIDATE_BITS, most: int = GROUP_ROWS,
+    limit: int = CANDIDATE_BITS, most: int = CANDIDATE_ROWS,
 ) -> DataFrame:
     """(key, class): the least key of the texts that links of Jaccard similarity reach.
 
@@ -218,7 +220,7 @@ def near_duplicates(
         }
 
     prints = stored(map_rows(rows, lambda: of, "id long, fp long, same long, least array<long>"))
-    texts = prints.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("least").alias("least")).filter("rep is not null")
+    texts = stored(prints.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("least").alias("least")).filter("rep is not null"))
     keyed = (
         texts.withColumn("k", F.explode(F.array(*[F.struct(F.xxhash64(F.lit(i), F.get("least", F.lit(i))).alias("key"), F.lit(i).alias("part")) for i in range(LEAST)])))
         .select("k.key", gray_rank(F.col("fp")).alias("gray"), "fp", "rep", "least")
@@ -245,8 +247,7 @@ def near_duplicates(
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
             rep = run["rep"].to_pylist()
-            sets = [np.unique(h) for h in (shingle_hashes(t.as_py(), size) for t in run["t"])]
-            edges = _similar(sets, similarity)
+            edges = _similar([shingle_hashes(t.as_py(), size) for t in run["t"]], similarity, limit)
             if edges:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([rep[i] for i, _ in edges], pa.int64()), "b": pa.array([rep[j] for _, j in edges], pa.int64())})
 
@@ -255,28 +256,28 @@ def near_duplicates(
     return prints.join(named, F.col("same") == F.col("s"), "left").select(F.col("id").cast(rows.schema[key].dataType).alias(key), "class")
 
 
-def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges that span the groups of sets linked by Jaccard similarity; nearest fingerprints are tried first."""
-    codes = np.array([fingerprint(s) for s in sets], np.uint64)
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def _similar(hashes: list[np.ndarray], similarity: float, limit: int) -> list[tuple[int, int]]:
+    """Edges that span the groups of sets linked by Jaccard similarity, among pairs within ``limit`` bits.
 
+    Nearest fingerprints are tried first, and pairs that are in one group already are passed
+    over, so a family of near copies costs about one comparison a text.
+    """
+    codes = np.array([fingerprint(h) for h in hashes], np.uint64)
+    sets = [np.unique(h) for h in hashes]
+    size = np.array([len(s) for s in sets])
+    roots = np.arange(len(sets))
     edges = []
-    for i in range(len(sets)):
-        for j in np.argsort(np.bitwise_count(codes[i] ^ codes[:i]), kind="stable").tolist():
-            a, b = find(i), find(j)
-            if a == b:
-                continue
-            n, m = len(sets[i]), len(sets[j])
-            if min(n, m) < similarity * max(n, m):
-                continue
+    for i in range(1, len(sets)):
+        differ = np.bitwise_count(codes[i] ^ codes[:i])
+        alike = (differ <= limit) & (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]))
+        near = np.flatnonzero(alike)
+        near = near[np.argsort(differ[near], kind="stable")]
+        while len(near := near[roots[near] != roots[i]]):
+            j = int(near[0])
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if shared >= similarity * (n + m - shared) - 1e-9:
+            if shared >= similarity * (size[i] + size[j] - shared) - 1e-9:
                 edges.append((i, j))
-                root[max(a, b)] = min(a, b)
+                roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
+            else:
+                near = near[1:]
     return edges
