@@ -15,13 +15,14 @@ from annalist.llm.tables import clean_names, map_rows, pieces, typed, words
 
 #: Labelled rows of each class that the examples are taken from, by hash of their ids.
 SAMPLE_ROWS = 5000
-#: Most terms of the vocabulary, and the least likelihood ratio that ties a term to the label.
-TERMS, LIKELIHOOD = 4096, 30.0
+#: Most terms of the vocabulary, the least likelihood ratio that ties a term to the label, and how many
+#: times as common it must be under label 1.
+TERMS, LIKELIHOOD, TIMES = 512, 20.0, 3.0
 #: Lengths, in bytes, of the word beginnings that are terms too, so that inflected words are met.
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 #: Examples of a block of the index.
-BLOCK = 64
+BLOCK = 256
 
 
 def spelled(text: str | None) -> list[bytes]:
@@ -37,17 +38,23 @@ def terms(own: set[bytes]) -> set[bytes]:
     return out
 
 
+def _begun(own: set[bytes], starts: frozenset[bytes]) -> list[tuple[bytes, bytes]]:
+    """(word, term) for every known beginning of the words."""
+    least = BEGINNINGS[0]
+    heads = {s[:least] for s in starts}
+    some = [w for w in own if w[:least] in heads]
+    return [(w, w[:n] + b"*") for w in some for n in BEGINNINGS if len(w) > n and w[:n] in starts]
+
+
 def vector(own: list[bytes], known: dict[bytes, int], starts: frozenset[bytes]) -> dict[int, int]:
-    """How often each known term occurs in the words."""
+    """How often each known term occurs in the words; if one does, also the number of all words, under the last id."""
     distinct = set(own)
-    found: dict[int, int] = {}
-    for w in distinct & known.keys():
-        found[known[w]] = own.count(w)
-    for n in BEGINNINGS:
-        for p in {w[:n] for w in distinct} & starts:
-            k = known.get(p + b"*")
-            if k is not None and (c := sum(1 for w in own if len(w) > n and w[:n] == p)):
-                found[k] = c
+    found = {known[w]: own.count(w) for w in distinct & known.keys()}
+    for w, term in _begun(distinct, starts):
+        if (k := known.get(term)) is not None:
+            found[k] = found.get(k, 0) + own.count(w)
+    if found:
+        found[len(known)] = len(own)
     return found
 
 
@@ -107,8 +114,10 @@ class Model:
     starts: frozenset[bytes]
 
     def unit(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of TF-IDF weights; all words together are one coordinate, so that texts are
+        near each other if they hold the same terms as densely."""
         ks = np.array(sorted(found), dtype=np.int64)
-        ws = np.array([(1 + math.log(found[k])) * self.idf[k] for k in ks.tolist()])
+        ws = np.array([math.sqrt(found[k]) if k == len(self.known) else (1 + math.log(found[k])) * self.idf[k] for k in ks.tolist()])
         return ks, ws / (np.linalg.norm(ws) or 1.0)
 
     def votes(self, ks: np.ndarray, ws: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -175,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Of ``labels`` (key, label) the ``sample`` rows of each class that come first by hash of
     their key are joined to their texts; null keys and labels are left out. Terms are those
-    whose likelihood ratio ties them to label 1. Their document frequencies are counted over
+    that are far more common under label 1, by their likelihood ratio. Their document frequencies are counted over
     all of ``docs``. Examples without any such term are no neighbours of anything; their
     share of label 1 is the score of documents without terms. Votes of each example by the
     others give the calibration curve, weighted to the classes' sizes in all labels.
@@ -196,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n1, n0 = (at[1], at[2]) if at else (0, 0)
     known: dict[bytes, int] = {}
     if n1 and n0:
-        for r in pivot.filter("octet_length(term) > 0 and n1 >= 2").filter(F.col("n1") * n0 > 2 * F.col("n0") * n1).orderBy(F.desc(F.col("n1") / n1 - F.col("n0") / n0), "term").limit(8 * TERMS).collect():
+        for r in pivot.filter("octet_length(term) > 0 and n1 >= 2").filter(F.col("n1") / n1 >= TIMES * (F.col("n0") + 0.5) / n0).orderBy(F.desc(F.col("n1") / n1 - F.col("n0") / n0), "term").limit(8 * TERMS).collect():
             counts[bytes(r[0])] = {1: r[1], 0: r[2]}
         ranked = sorted(((-_ratio(c[1], c[0], n1, n0), t) for t, c in counts.items()))
         known = {t: i for i, (g, t) in enumerate(x for x in ranked[:TERMS] if -x[0] >= LIKELIHOOD)}
@@ -219,11 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return {"k": b.column(0), "y": b.column(2), "ks": pa.array([list(f) for f in found], pa.list_(pa.int64())), "cs": pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))}
 
     rows = map_rows(examples.select("k", "t", "y"), lambda: vectors, "k long, y int, ks array<long>, cs array<long>").collect() if known else []
-    # examples that share their heaviest term lie together, so that blocks differ and bounds are tight
+    # examples that share their heaviest term, and hold terms as densely, lie together: blocks differ and bounds are tight
     model = Model(known, idf, BlockMaxIndex([], 1), np.zeros(0), [], 0.0, (8.0, -4.0), starts)
     held = [(model.unit(dict(zip(r["ks"], r["cs"]))), r["y"], r["k"]) for r in rows if r["ks"]]
-    held.sort(key=lambda x: (int(x[0][0][int(np.argmax(x[0][1]))]), x[2]))
-    model.index = BlockMaxIndex([x[0] for x in held], max(1, len(known)))
+    held.sort(key=lambda x: (int(x[0][0][int(np.argmax(x[0][1][:-1]))]), float(x[0][1][-1]), x[2]))
+    model.index = BlockMaxIndex([x[0] for x in held], len(known) + 1)
     model.labels = np.array([x[1] for x in held], dtype=float)
     model.examples = [x[2] for x in held]
     scale = {y: sizes.get(y, 0) / max(1, n) for y, n in ((1, n1), (0, n0))}
@@ -238,10 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def _held(text: str | None, lookup: frozenset[bytes], starts: frozenset[bytes]) -> set[bytes]:
     own = set(spelled(text))
-    out = own & lookup
-    for n in BEGINNINGS:
-        out |= {p + b"*" for p in {w[:n] for w in own if len(w) > n} & starts} & lookup
-    return out
+    return own & lookup | {t for _, t in _begun(own, starts)} & lookup
 
 
 EVIDENCE = "array<struct<doc_id:long,cosine:double,label:int>>"
