@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -65,6 +66,70 @@ def run_keys(hashes: list[int], counts: list[int], least: int) -> list[int]:
     return out
 
 
+_WORD = re.compile(r"\S+")
+_TURN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+class _Hashes(dict):
+    """Hash of each word, remembered while it is asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word.encode())
+        return out
+
+
+def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    n = len(words) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    if n > 0:
+        for j in range(size):
+            out *= _TURN
+            out += words[j : j + n]
+        out ^= out >> np.uint64(29)
+        out *= _MIX
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def windows(text: str | None, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``least`` words, wherever its lines end, and its anchor.
+
+    The anchor is the least hash among the shorter runs inside, so equal windows have equal
+    anchors, and neighbouring windows mostly share theirs.
+    """
+    own = text.split() if text else []
+    if len(own) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    words = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
+    size = least - least // 3
+    short = _window_hashes(words, size)
+    n = len(own) - least + 1
+    anchor = short[:n].copy()
+    for j in range(1, least - size + 1):
+        np.minimum(anchor, short[j : j + n], out=anchor)
+    return _window_hashes(words, least).view(np.int64), anchor.view(np.int64)
+
+
+def _covered(starts: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Which of ``n`` words lie in windows that begin at ``starts``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
+    return edge.cumsum()[:n] > 0
+
+
+def _in_lines(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which words of the text lie in the lines of the spans."""
+    sizes = np.array([len(x.split()) for x in split_lines(text) if x.strip()], np.int64)
+    gone = np.zeros(len(sizes), bool)
+    for s, e in spans:
+        gone[s:e] = True
+    return np.repeat(gone, sizes)
+
+
 def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of lines that occur once on either side, in the longest order both share."""
     once_a, once_b = Counter(a), Counter(b)
@@ -251,13 +316,82 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
     return map_rows(both, lambda: align, "doc long, earlier long, start long, end long")
 
 
-def cut_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the lines of the spans, by place among its lines that are not blank, and how many went."""
+def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
+    """(gone_doc, windows, owners): hashes of the runs of ``least`` words that an earlier document has too, wherever lines end.
+
+    ``gone`` has the lines that are cut already (gone_doc, gone_spans). Every window has one
+    anchor, fewer and shorter than windows, and equal windows have equal ones; a document gives out only
+    windows whose anchor another document has, and which are not all in lines that are cut: the earliest
+    holder of a window never loses it by lines. So every window of two documents is met.
+    """
+    rows = clean_names(docs, key, text)
+    doc = F.col(f"`{key}`").cast("long")
+    ints = pa.list_(pa.int64())
+
+    def anchored(b: pa.RecordBatch) -> dict:
+        known = _Hashes()
+        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array([np.unique(windows(t, least, known)[1]) for t in b.column(1).to_pylist()], ints)}
+
+    each = stored(map_rows(rows, lambda: anchored, "doc long, anchors array<long>").filter("doc is not null and size(anchors) > 0"))
+    each = each.select("doc", F.explode("anchors").alias("anchor"))
+    met = each.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    # computed keys, as in deletions: what very many documents share is split
+    met = met.select(F.col("anchor").bitwiseXOR(F.lit(0).cast("long")).alias("a"))
+    near = each.join(met, F.col("anchor") == F.col("a")).groupBy(F.col("doc").alias("near_doc")).agg(F.collect_set("anchor").alias("near"))
+    held = rows.select(doc.alias("doc"), F.col(f"`{text}`").alias("t")).join(near, F.col("doc") == F.col("near_doc")).join(gone, F.col("doc") == F.col("gone_doc"), "left").select("doc", "t", "near", "gone_spans")
+
+    def given(b: pa.RecordBatch) -> dict:
+        known, out = _Hashes(), []
+        for t, near, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            hashes, anchor = windows(t, least, known)
+            wanted = np.isin(anchor, np.array(near, np.int64))
+            if spans:
+                kept = np.r_[0, (~_in_lines(t, [(x["start"], x["end"]) for x in spans])).cumsum()]
+                wanted &= kept[least:] > kept[:-least]
+            out.append(np.unique(hashes[wanted]))
+        return {"doc": b.column(0), "windows": pa.array(out, ints)}
+
+    some = stored(map_rows(held, lambda: given, "doc long, windows array<long>").filter("size(windows) > 0"))
+    some = some.select("doc", F.explode("windows").alias("window"))
+    owners = some.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
+    owners = owners.select(F.col("window").bitwiseXOR(F.lit(0).cast("long")).alias("w"), "owner")
+    later = some.join(owners, F.col("window") == F.col("w")).filter("owner < doc")
+    return later.groupBy(F.col("doc").alias("cut_doc")).agg(F.collect_set("window").alias("cut_windows"), F.collect_set("owner").alias("cut_owners"))
+
+
+def _without(line: str, gone: np.ndarray) -> str:
+    """The line without the words that are marked, each with the space up to the next."""
+    places = [m.span() for m in _WORD.finditer(line)]
+    out, at = [], 0
+    for i, (s, e) in enumerate(places):
+        if gone[i]:
+            out.append(line[at:s])
+            at = places[i + 1][0] if i + 1 < len(places) else e
+    return "".join([*out, line[at:]])
+
+
+def cut_lines(text: str, spans: list[tuple[int, int]], words: np.ndarray | None = None) -> tuple[str, int]:
+    """The text without the lines of the spans, by place among its lines that are not blank, and how many went.
+
+    ``words`` marks further words to cut; a line that has no others goes like those of the spans.
+    """
     gone = set()
     for s, e in spans:
         gone.update(range(s, e))
+    n = len(gone)
+    parts = split_lines(text)
+    if words is not None:
+        i = at = 0
+        for p, line in enumerate(parts):
+            if size := len(line.split()):
+                mine = words[at : at + size]
+                if mine.all():
+                    gone.add(i)
+                elif mine.any() and i not in gone:
+                    parts[p] = _without(line, mine)
+                i, at = i + 1, at + size
     kept, i = [], 0
-    for line in split_lines(text):
+    for line in parts:
         if line.strip():
             if i not in gone:
                 kept.append(line)
@@ -266,34 +400,45 @@ def cut_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
             i += 1
         elif not kept or kept[-1] != line or line != "\n" or (i - 1) not in gone:
             kept.append(line)
-    return "".join(kept), len(gone)
+    return "".join(kept), n
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
-    """The rows with ``text`` cut, and columns ``n_removed`` (lines) and ``shared_with`` (earlier keys).
+    """The rows with ``text`` cut, and columns ``n_removed`` (lines), ``n_cut`` (words) and ``shared_with`` (earlier keys).
 
-    Every aligned block of at least ``least`` words that an earlier document (smaller key)
-    has too is deleted from the later one; the earliest keeps it, and shorter repeats stay.
-    A document that is wholly repeated is left empty. Null and empty texts and null keys
+    Every aligned block of lines of at least ``least`` words that an earlier document (smaller key)
+    has too is deleted from the later one, and so is every other run of ``least`` words that one has, wherever
+    its lines end; the earliest keeps it, and shorter repeats stay. ``n_removed`` counts the lines of
+    blocks, ``n_cut`` the words that went besides. A document that is wholly repeated is left empty.
+    Null and empty texts and null keys
     are passed on as they are; rows that repeat a key have equal lines and are one document;
     an empty table gives no rows. Columns named like the new ones are replaced.
     """
-    gone = deletions(docs, key, text, least).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_list(F.struct("start", "end")).alias("gone_spans"), F.array_sort(F.collect_set("earlier")).alias("shared_with"))
-    rows = docs.drop("n_removed", "shared_with", "gone_doc", "gone_spans")
-    both = rows.join(gone, F.col(f"`{key}`").cast("long") == F.col("gone_doc"), "left").drop("gone_doc")
+    gone = stored(deletions(docs, key, text, least).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_list(F.struct("start", "end")).alias("gone_spans"), F.collect_set("earlier").alias("gone_owners")))
+    cut = stored(shared_windows(docs, gone, key, text, least))
+    rows = docs.drop("n_removed", "n_cut", "shared_with", *gone.columns, *cut.columns)
+    doc = F.col(f"`{key}`").cast("long")
+    both = rows.join(gone, doc == F.col("gone_doc"), "left").join(cut, doc == F.col("cut_doc"), "left")
+    none = F.array().cast("array<long>")
+    shared = F.array_sort(F.array_union(F.coalesce("gone_owners", none), F.coalesce("cut_owners", none)))
     kept = [c for c in rows.columns]
+    both = both.select(*[F.col(f"`{c}`") for c in kept], "gone_spans", "cut_windows", shared.alias("shared_with"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def of(b: pa.RecordBatch) -> dict:
-        texts = b.column(kept.index(text))
-        spans = b.column(len(kept)).to_pylist()
-        new, counts = texts.to_pylist() if any(spans) else texts, [0] * b.num_rows
+        texts, known = b.column(kept.index(text)), _Hashes()
+        spans, found = b.column(len(kept)).to_pylist(), b.column(len(kept) + 1)
+        new, counts, cuts = texts.to_pylist(), [0] * b.num_rows, [0] * b.num_rows
         for i, s in enumerate(spans):
-            if s:
-                new[i], counts[i] = cut_lines(new[i], [(x["start"], x["end"]) for x in s])
+            s, w, words = [(x["start"], x["end"]) for x in s or []], found[i], None
+            if w.is_valid:
+                t = new[i]
+                words = _covered(np.flatnonzero(np.isin(windows(t, least, known)[0], w.values.to_numpy())), len(t.split()), least)
+                cuts[i] = int((words & ~_in_lines(t, s)).sum())
+            if s or words is not None:
+                new[i], counts[i] = cut_lines(new[i], s, words)
         out = {c: b.column(i) for i, c in enumerate(kept)}
-        out[text] = pa.array(new, pa.string()) if any(spans) else texts
-        shared = [x or [] for x in b.column(len(kept) + 1).to_pylist()]
-        return out | {"n_removed": pa.array(counts, pa.int64()), "shared_with": pa.array(shared, pa.list_(pa.int64()))}
+        out[text] = pa.array(new, pa.string())
+        return out | {"n_removed": pa.array(counts, pa.int64()), "n_cut": pa.array(cuts, pa.int64()), "shared_with": b.column(len(kept) + 2)}
 
-    return map_rows(both, lambda: of, f"{kinds}, n_removed long, shared_with array<long>")
+    return map_rows(both, lambda: of, f"{kinds}, n_removed long, n_cut long, shared_with array<long>")

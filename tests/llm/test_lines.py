@@ -121,3 +121,36 @@ def test_query(spark, sf):
         must[k] = any(x in seen for x in keys)
         seen.update(keys)
     assert {r.doc_id: r.n_removed > 0 for r in rows} == must and any(must.values())
+
+
+def window_model(docs, least):
+    """Words of each document that no run of ``least`` words shared with an earlier one covers, by brute force."""
+    seen, out = set(), {}
+    for k in sorted(docs):
+        own = docs[k].split()
+        runs = [tuple(own[i : i + least]) for i in range(len(own) - least + 1)]
+        gone = {j for i, x in enumerate(runs) if x in seen for j in range(i, i + least)}
+        seen.update(runs)
+        out[k] = [w for j, w in enumerate(own) if j not in gone]
+    return out
+
+
+def test_passages_inside_longer_lines_go(spark):
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    passages = [word(n) for n in (60, 25, 24, 40)]
+    docs = {}
+    for k in range(24):
+        own = word(30)
+        for p in rng.sample(passages, 2):
+            # parts of a passage as well, so that its owner differs from place to place
+            a = rng.randrange(8) if k % 3 == 0 else 0
+            own += p[a:] + [f"end{k}{rng.choice(('', '.', '\u3002'))}"] + word(rng.randrange(12))
+        docs[k] = " ".join(own)
+    docs[30] = docs[31] = "\n".join(" ".join(passages[0][i : i + 6]) + f" x{i}" for i in range(0, 60, 6))
+    docs[32] = "Own start. " + " ".join(passages[3]).replace(" ", "  ", 5) + "\nOwn end."
+    want = window_model(docs, L.BLOCK_WORDS)
+    assert sum(len(x.split()) for x in docs.values()) > sum(map(len, want.values())) + 500
+    out = {r.doc_id: r for r in L.line_dedup(brute.docs(spark, list(docs.items()))).collect()}
+    assert {k: r.text.split() for k, r in out.items()} == want
+    assert out[32].text == "Own start. \nOwn end." and out[32].n_cut == 40 and out[32].shared_with
