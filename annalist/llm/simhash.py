@@ -14,12 +14,13 @@ from annalist.llm.groups import GROUP_ROWS, Union, dealt, runs, split_hot
 from annalist.llm.tables import clean_names, map_rows, spaced, stored
 
 SEED = 42
-#: Near duplicates by shingles: words of a shingle, least Jaccard similarity, most differing bits of a
-#: candidate. At a similarity of 0.8 fingerprints differ in 10 bits on average; 18 is three deviations more.
-SHINGLE, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 18
+#: Near duplicates by shingles: words of a shingle, least Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of the sketch of a set; what two sketches differ in, the sets differ in at least.
+SKETCH_BITS = 512
 #: Independent least shingles that candidates are brought together by; two texts of similarity s miss with (1 - s) ** LEAST.
 LEAST = 8
-#: Texts of a group whose fingerprints one task searches; they are 16 bytes each.
+#: Texts of a group whose sketches one task compares; they are 64 bytes each.
 CANDIDATE_ROWS = 1 << 14
 #: Children of an index node, and pairs of queries and nodes that are held at once.
 FANOUT, FRONTIER = 8, 1 << 20
@@ -190,16 +191,33 @@ def least_shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(distinct: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """A bit for each value that the first bits of the hashes of a set have."""
+    marks = np.zeros(bits, bool)
+    marks[(distinct >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    return np.packbits(marks).view(np.uint64)
+
+
+def _possible(sketches: np.ndarray, size: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of ``others`` whose sets may be as similar to the set ``i``; no pair that is gets lost.
+
+    A bit that one sketch alone has stands for at least one shingle that the other set lacks.
+    """
+    others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9]
+    mine, theirs = sketches[i], sketches[others]
+    shared = np.minimum(size[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), size[others] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+    return others[shared >= similarity * (size[i] + size[others] - shared) - 1e-9]
+
+
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY,
-    limit: int = CANDIDATE_BITS, most: int = CANDIDATE_ROWS,
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, most: int = CANDIDATE_ROWS
+) -> DataFrame:
     """(key, class): the least key of the texts that links of Jaccard similarity reach.
 
     Texts link if their sets of ``size``-word shingles have a Jaccard similarity of at least
     ``similarity``. Texts with equal sets are one. The others are brought together by any of
-    ``LEAST`` least shingles; in such a group the Gray-order index keeps pairs within ``limit``
-    differing bits, and their whole shingle sets decide. Groups of many rows are cut by
+    ``LEAST`` least shingles; in such a group, sizes and sketches rule out pairs that cannot be
+    so similar, and the whole shingle sets of all others decide. Groups of many rows are cut by
     a second least shingle and then into pairs of blocks, so no pair is dropped. Null and
     empty texts form one class; null keys have none; an empty table gives no rows. Keys name
     one text each.
@@ -207,32 +225,36 @@ def near_duplicates(
     rows = clean_names(docs, key, text)
 
     def of(b: pa.RecordBatch) -> dict:
-        codes, same, least = [], [], []
+        same, least, sizes, bits = [], [], [], []
         for t in b.column(1).to_pylist():
             hashes = shingle_hashes(t, size)
-            codes.append(fingerprint(hashes))
             distinct = np.unique(hashes)
+            sizes.append(len(distinct))
+            bits.append(sketch(distinct).tobytes())
             same.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
             least.append(least_shingles(distinct).view(np.int64))
         return {
-            "id": b.column(0).cast(pa.int64()), "fp": pa.array(np.array(codes, np.uint64).view(np.int64)), "same": pa.array(np.array(same, np.uint64).view(np.int64)),
-            "least": pa.array(least, pa.list_(pa.int64())),
+            "id": b.column(0).cast(pa.int64()), "same": pa.array(np.array(same, np.uint64).view(np.int64)), "least": pa.array(least, pa.list_(pa.int64())),
+            "size": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()),
         }
 
-    prints = stored(map_rows(rows, lambda: of, "id long, fp long, same long, least array<long>"))
-    texts = stored(prints.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("least").alias("least")).filter("rep is not null"))
+    prints = stored(map_rows(rows, lambda: of, "id long, same long, least array<long>, size long, bits binary"))
+    texts = stored(prints.groupBy("same").agg(F.min("id").alias("rep"), F.min("least").alias("least"), F.min("size").alias("size"), F.min("bits").alias("bits")).filter("rep is not null"))
     keyed = (
         texts.withColumn("k", F.explode(F.array(*[F.struct(F.xxhash64(F.lit(i), F.get("least", F.lit(i))).alias("key"), F.lit(i).alias("part")) for i in range(LEAST)])))
-        .select("k.key", gray_rank(F.col("fp")).alias("gray"), "fp", "rep", "least")
+        .select("k.key", "rep", "least", "size", "bits")
     )
     met = split_hot(keyed, lambda k: [F.xxhash64(k, F.lit(i), F.get("least", F.lit(i))) for i in range(LEAST)], most, "rep")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
-            code, rep = run["fp"].to_numpy().view(np.uint64), run["rep"].to_numpy()
-            sets = Union(len(code))
-            for a, b in GrayIndex(code).pairs(limit):
-                sets.join(a, b)
+            rep, sizes = run["rep"].to_numpy(), run["size"].to_numpy()
+            sketches = np.frombuffer(b"".join(run["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
+            sets = Union(len(rep))
+            for i in range(1, len(rep)):
+                near = _possible(sketches, sizes, i, np.flatnonzero(sets.roots[:i] != sets.roots[i]), similarity)
+                if len(near):
+                    sets.join(near, np.full(len(near), i))
             for root in np.flatnonzero(np.bincount(sets.roots) > 1).tolist():
                 members = np.unique(rep[sets.roots == root])
                 if len(members) > 1:
@@ -240,14 +262,14 @@ def near_duplicates(
                     yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(members), name)), "rep": pa.array(members)})
 
     # the same members meet under several keys; equal groups are verified once
-    found = stored(dealt(met.select("key", "gray", "fp", "rep"), "gray").mapInArrow(candidates, "key long, rep long").distinct())
+    found = stored(dealt(met.select("key", "rep", "size", "bits"), "rep").mapInArrow(candidates, "key long, rep long").distinct())
     whole = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
     groups = found.join(whole, F.col("rep") == F.col("id")).select("key", "rep", "t")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
             rep = run["rep"].to_pylist()
-            edges = _similar([shingle_hashes(t.as_py(), size) for t in run["t"]], similarity, limit)
+            edges = _similar([shingle_hashes(t.as_py(), size) for t in run["t"]], similarity)
             if edges:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([rep[i] for i, _ in edges], pa.int64()), "b": pa.array([rep[j] for _, j in edges], pa.int64())})
 
@@ -256,8 +278,8 @@ def near_duplicates(
     return prints.join(named, F.col("same") == F.col("s"), "left").select(F.col("id").cast(rows.schema[key].dataType).alias(key), "class")
 
 
-def _similar(hashes: list[np.ndarray], similarity: float, limit: int) -> list[tuple[int, int]]:
-    """Edges that span the groups of sets linked by Jaccard similarity, among pairs within ``limit`` bits.
+def _similar(hashes: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that span the groups of sets linked by Jaccard similarity.
 
     Nearest fingerprints are tried first, and pairs that are in one group already are passed
     over, so a family of near copies costs about one comparison a text.
@@ -265,13 +287,12 @@ def _similar(hashes: list[np.ndarray], similarity: float, limit: int) -> list[tu
     codes = np.array([fingerprint(h) for h in hashes], np.uint64)
     sets = [np.unique(h) for h in hashes]
     size = np.array([len(s) for s in sets])
+    sketches = np.array([sketch(s, 4 * SKETCH_BITS) for s in sets])
     roots = np.arange(len(sets))
     edges = []
     for i in range(1, len(sets)):
-        differ = np.bitwise_count(codes[i] ^ codes[:i])
-        alike = (differ <= limit) & (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]))
-        near = np.flatnonzero(alike)
-        near = near[np.argsort(differ[near], kind="stable")]
+        near = _possible(sketches, size, i, np.flatnonzero(roots[:i] != roots[i]), similarity)
+        near = near[np.argsort(np.bitwise_count(codes[i] ^ codes[near]), kind="stable")]
         while len(near := near[roots[near] != roots[i]]):
             j = int(near[0])
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

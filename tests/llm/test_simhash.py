@@ -73,6 +73,30 @@ def test_near_duplicates_equal_brute_force(spark, most):
     assert got == {k: 10 + want[i] for i, (k, _) in enumerate(rows)}
 
 
+@pytest.mark.parametrize("most", [2048, 30])
+def test_repeated_lines_and_short_texts_stay_near(spark, most):
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for times in (10, 40) * 20:
+        own, line = word(200), word(12)
+        texts += [" ".join(own + line), " ".join(own + line * times)]
+    for n in (8, 9, 10) * 100:
+        own = word(n)
+        texts += [" ".join(own), " ".join(own + word(1))]
+    # one shingle of all, hardly alike otherwise
+    common = word(5)
+    texts += [" ".join(word(20) + common + word(20)) for _ in range(40)]
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(0, 680, 2):
+        if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]):
+            want[i + 1] = i
+    assert sum(w != i for i, w in enumerate(want)) == 340
+    got = {r.doc_id: r["class"] for r in S.near_duplicates(brute.docs(spark, list(enumerate(texts))), most=most).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_odd_rows(spark):
     out = S.simhash(brute.docs(spark)).collect()
     assert len(out) == len(brute.ODD)
