@@ -15,8 +15,6 @@ from annalist.llm.tables import drawn, map_rows, stored
 
 #: Vectors of a cell that are aimed at, most cells, and rows and bytes of the sample that the centres are fitted on.
 CELL_ROWS, MAX_CELLS, SAMPLE_ROWS, SAMPLE_BYTES = 2048, 1024, 1 << 14, 32 << 20
-#: Standard deviations of a random turn by the link's angle that the margin around a cell covers.
-MARGIN_SD = 4.0
 BLOCK = 512
 
 
@@ -45,12 +43,10 @@ def cells(vectors: np.ndarray, centres: np.ndarray, cosine: float) -> list[list[
     """The cells of each unit vector, its own first, then those across whose border a linked vector may lie.
 
     Linked vectors are at most a chord apart. If they lie in two cells, one of them is within half a
-    chord of the border, and joins the other's cell. In many dimensions a random turn moves a vector towards a given
-    border by chord / sqrt(dimensions) in the mean; half of ``MARGIN_SD`` such steps is the margin,
-    and never more than half a chord, which misses nothing.
+    chord of the border, and joins the other's cell: so half a chord is the margin, and no link is missed.
     """
     chord = math.sqrt(max(0.0, 2 - 2 * cosine))
-    margin = chord / 2 * min(1.0, MARGIN_SD / math.sqrt(vectors.shape[1])) + 1e-9
+    margin = chord / 2 + 1e-9
     apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) <= 256 else np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
     out: list[list[int]] = []
     for i in range(0, len(vectors), 1024):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tests.llm import brute
 
-from annalist.llm.embeddings import embedding_links
+from annalist.llm.embeddings import cells, embedding_links, fit, unit
 from annalist.llm.queries import QUERIES
 
 
@@ -39,6 +39,30 @@ def test_equals_brute_force(spark, given):
     check(spark, rows, **given)
 
 
+def turned(rng, n, dim=64, cosine=0.952):
+    """Vectors that spread mostly in eight directions, and each turned within those."""
+    spread = np.r_[np.full(8, 4.0), np.ones(dim - 8)]
+    one = unit(rng.normal(size=(n, dim)) * spread)
+    way = np.zeros((n, dim))
+    way[:, :8] = rng.normal(size=(n, 8))
+    way = unit(way - (way * one).sum(1, keepdims=True) * one)
+    return one, cosine * one + math.sqrt(1 - cosine**2) * way
+
+
+@pytest.mark.parametrize("k", [16, 64, 256])
+def test_linked_vectors_share_a_cell(k):
+    one, other = turned(np.random.default_rng(11), 2000)
+    both = np.vstack([one, other])
+    lists = cells(both, fit(both, k), 0.95)
+    apart = [i for i in range(2000) if lists[i][0] not in lists[2000 + i] and lists[2000 + i][0] not in lists[i]]
+    assert not apart
+
+
+def test_turns_that_are_not_random_equal_brute_force(spark):
+    one, other = turned(np.random.default_rng(12), 300)
+    check(spark, [(i, v.tolist()) for i, v in enumerate(np.vstack([one, other]))], cell_rows=20, most=50)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     check(spark, [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0]), (None, [1.0, 0.0]), (11, [-1.0, 0.0]), (12, [1.0, 0.0])])
