@@ -656,10 +656,17 @@ def event_relationships(spark, sf_dir):
 
 @query("near_duplicates")
 def near_duplicates(spark, sf_dir):
-    """Sentences with a family word as events: title from the rule, sentence as summary."""
-    events = _sentence_events(spark, sf_dir)
-    pairs, members = dd.similar_pairs(events, within=["event_type"])
-    return pairs.withColumn("score", six("score"))
+    """Sentences with a family word as events: title from the rule, sentence as summary.
+
+    Pairs of texts, whatever their types; with ``same_text``, every other event of a text beside its least one.
+    Events of two texts are similar as their texts are.
+    """
+    pairs, members = dd.similar_pairs(_sentence_events(spark, sf_dir))
+    copies = members.where("text_id <> canonical_id").select(
+        F.col("text_id").alias("a_id"), F.col("canonical_id").alias("b_id"), F.lit(100.0).alias("score")
+    )
+    rows = pairs.withColumn("same_text", F.lit(False)).unionByName(copies.withColumn("same_text", F.lit(True)))
+    return rows.withColumn("score", six("score"))
 
 
 def _sentence_events(spark, sf_dir) -> DataFrame:
@@ -682,6 +689,12 @@ def dedupe_merge(spark, sf_dir):
     return dd.dedupe(_canonical(spark, sf_dir))
 
 
+@query("dedupe_tally")
+def dedupe_tally(spark, sf_dir):
+    """Pairs that a sequential pass over the canonical events meets, checks and merges."""
+    return dd.dedupe_tally(_canonical(spark, sf_dir))
+
+
 @query("dedupe_sentences")
 def dedupe_sentences(spark, sf_dir):
     """Merges among the sentence events: documents repeat each other, exactly and nearly."""

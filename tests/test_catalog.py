@@ -2,11 +2,15 @@
 
 import math
 import os
+from collections import defaultdict
+from itertools import combinations, product
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from annalist.operators import dedupe as dd
+from annalist.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,5 +59,19 @@ def test_query_without_sql_gives_rows(spark, name):
     assert len(set(df.columns)) == len(df.columns) and len(set(map(str, rows))) == len(rows)
 
 
+def test_near_duplicates_cross_types_and_name_copies(spark):
+    events = catalog._sentence_events(spark, DATA)
+    kind = {r.canonical_id: r.event_type for r in events.collect()}
+    rows = contract.queries()["near_duplicates"](spark, DATA).collect()
+    texts = defaultdict(list)
+    for r in rows:
+        if r.same_text:
+            texts[r.a_id].append(r.b_id)
+    got = [tuple(sorted(p)) for r in rows if not r.same_text for p in product([r.a_id, *texts[r.a_id]], [r.b_id, *texts[r.b_id]])]
+    got += [p for a, more in texts.items() for p in combinations(sorted([a, *more]), 2)]
+    want = [(r.a_id, r.b_id) for r in dd.expand_pairs(*dd.similar_pairs(events)).collect()]
+    assert sorted(got) == sorted(want) and any(kind[a] != kind[b] for a, b in got) and texts
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
