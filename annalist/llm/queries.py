@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from annalist.llm import bpe, chat, decontaminate, embeddings, html, licences, lines, oracles, simhash, toxicity, warc
-from annalist.llm.tables import shared_folder
+from annalist.llm import bpe, chat, decontaminate, embeddings, html, licences, lines, oracles, packing, simhash, toxicity, warc
+from annalist.llm.tables import discard, shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read_back(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in pieces, and where each lies in the sequences they are packed into."""
+    whole = stored(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    narrow = whole.select("uid", "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    out = stored(
+        narrow.join(packing.placed(whole), "uid")
+        .select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    )
+    discard(whole)
+    return out
