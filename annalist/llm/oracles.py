@@ -50,3 +50,22 @@ k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(k.n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(k.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+TRIE = """WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) AS v FROM range(256) r(i))),
+o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, n, c - c % 5 AS b, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c), t),
+m AS (SELECT n.c, n.b, n.h, least(n.h, coalesce(k.n, 0)) AS head FROM n LEFT JOIN n k ON k.c = n.b),
+s AS (SELECT c, 0 AS d, '' AS role, '' AS text FROM m
+  UNION ALL SELECT m.c, o.pos, o.role, o.text FROM m JOIN o ON o.c = m.b AND o.pos <= m.h
+  UNION ALL SELECT m.c, m.head + o.pos - m.h, o.role, o.text FROM m JOIN o ON o.c = m.c AND o.pos > m.h),
+p AS (SELECT c, d, strlen(text) AS size, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path,
+  max(d) OVER (PARTITION BY c) AS len FROM s),
+q AS (SELECT *, min(c) OVER w AS node, count(*) OVER w AS n, count(*) FILTER (len = d) OVER w AS over FROM p WINDOW w AS (PARTITION BY d, path)),
+v AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS up, CASE WHEN c = node THEN (n - 1) * size ELSE 0 END AS kept,
+  CASE WHEN c = node AND over = n THEN 1 ELSE 0 END AS leaf, coalesce(CASE WHEN lead(node) OVER (PARTITION BY c ORDER BY d) = c THEN 1 END, 0) AS child FROM q),
+y AS (SELECT *, sum(kept) OVER z AS kepts, sum(leaf) OVER z AS leaves FROM v WINDOW z AS (PARTITION BY c ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT node AS conv_id, d AS depth, any_value(up) AS parent_conv_id, count(*) AS n_convs, CAST(sum(child) AS BIGINT) AS n_children,
+CAST(sum(leaves) AS BIGINT) AS n_leaves, CAST(sum(kepts) AS BIGINT) AS saved_tokens,
+sha256(coalesce(string_agg(CASE WHEN len = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM y GROUP BY node, d"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from annalist.llm import bpe, chat, decontaminate, embeddings, html, licences, lines, oracles, packing, simhash, toxicity, warc
+from annalist.llm import bpe, chat, decontaminate, embeddings, html, licences, lines, oracles, packing, simhash, toxicity, trie, warc
 from annalist.llm.tables import discard, shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     discard(whole)
     return out
+
+
+@query(oracles.TRIE)
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every beginning that conversations share, after each has got the first turns of the one that leads its five."""
+    steps = trie.steps(
+        table(spark, sf_dir, "conversations"), block=lambda c: c - c % 5, head=lambda c: F.crc32(c.cast("string")) % 9
+    )
+    nodes = trie.trie(steps)
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256"
+    )
