@@ -7,7 +7,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 from pathlib import Path
 
 import numpy as np
@@ -77,15 +77,20 @@ class ByteIds:
     """Ids of a byte-level BPE vocabulary, special tokens' strings being plain text; ``spelled[i]`` are the bytes of id i."""
 
     def __init__(self, definition: str, ranks: bytes, pattern: str):
-        self.merges = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
-        self.library = Tokenizer.from_str(definition)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
-        byte = {c: b for b, c in enumerate(byte_letters())}
-        named = {i: t for t, i in self.library.get_vocab(with_added_tokens=False).items()}
-        extra = {i: t.content.encode() for i, t in self.library.get_added_tokens_decoder().items()}
-        self.spelled = [extra[i] if i in extra else bytes(byte[c] for c in named[i]) for i in range(self.library.get_vocab_size())]
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.merges = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        self.definition = definition
+        self.spelled = [b""] * (max(known.values()) + 1)
+        for word, i in known.items():
+            self.spelled[i] = word
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        of = Tokenizer.from_str(self.definition)
+        of.no_truncation()
+        of.no_padding()
+        of.encode_special_tokens = True
+        return of
 
     def ids(self, text: str) -> list[int]:
         if _plain(text):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from annalist.llm import bpe, chat, decontaminate, embeddings, html, licences, lines, oracles, packing, simhash, toxicity, trie, warc
+from annalist.llm import alignment, bpe, chat, decontaminate, embeddings, html, licences, lines, oracles, packing, simhash, toxicity, trie, warc
 from annalist.llm.tables import discard, shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256"
     )
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies over every document: their groups, overlaps, and how common the linked ids are."""
+    bytewise, ranks, piecewise = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return alignment.statistics(table(spark, sf_dir, "documents"), bytewise, ranks, public_tokenizers.PATTERN, piecewise)
