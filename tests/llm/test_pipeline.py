@@ -1,6 +1,7 @@
 """The pipeline against a sequential version of its stages."""
 
 import hashlib
+import re
 import struct
 
 import corpus_pipeline as P
@@ -11,25 +12,26 @@ from tests.llm import brute
 from tests.llm.test_decontaminate import expected as contaminated
 from tokenizers import Tokenizer
 
-from annalist.llm import lines as L, simhash as S, toxicity as T
+from annalist.llm import toxicity as T
 
 
-def line_dedup(docs):
-    tables = {k: [(h, c) for h, c in zip(*L.line_table(t)) if c] for k, t in docs.items()}
-    first, out = {}, {}
+def without_shared_windows(docs, least=25):
+    """Words of each document outside any 25 words in a row that an earlier document has as well."""
+    seen, out = set(), {}
     for k in sorted(docs):
-        h, c = [x for x, _ in tables[k]], [y for _, y in tables[k]]
-        keys = L.run_keys(h, c, L.BLOCK_WORDS)
-        spans = [s for o in sorted({first[x] for x in keys if x in first}) for s in L.repeated([x for x, _ in tables[o]], h, c, L.BLOCK_WORDS)]
-        for x in keys:
-            first.setdefault(x, k)
-        out[k] = L.cut_lines(docs[k], spans)[0] if spans else docs[k]
-    return {k: t for k, t in out.items() if t == docs[k] or (t or "").strip()}
+        own = (docs[k] or "").split()
+        runs = [tuple(own[i : i + least]) for i in range(len(own) - least + 1)]
+        gone = {j for i, x in enumerate(runs) if x in seen for j in range(i, i + least)}
+        seen.update(runs)
+        out[k] = [w for j, w in enumerate(own) if j not in gone]
+    return out
 
 
 def near_dedup(docs):
+    """The first of each class of documents whose sets of five words in a row are alike to 0.8."""
     keys = sorted(docs)
-    sets = [set(S.shingle_hashes(docs[k], 5).tolist()) for k in keys]
+    own = [re.findall(r"[^\x20\x09-\x0D]+", (docs[k] or "").translate(brute.LOWER)) for k in keys]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in own]
 
     def linked(i, j):
         both = len(sets[i] | sets[j])
@@ -53,24 +55,46 @@ def texts(df):
     return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
 
 
-def test_each_stage_equals_its_sequential_version(spark, sf, stages):
-    given = spark.read.parquet(f"{sf}/documents.parquet")
-    start = texts(given)
-    model = T.fit(given, T.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
-    got = [texts(df) for _, df in stages[:4]]
-    assert got[0] == {k: t for k, t in start.items() if model.score(t)[0] < 0.5}
-    assert got[1] == line_dedup(got[0])
-    assert got[2] == near_dedup(got[1])
+@pytest.fixture(scope="module")
+def got(spark, sf, stages):
+    """Texts before the first stage and after each that returns texts."""
+    return [texts(spark.read.parquet(f"{sf}/documents.parquet")), *(texts(df) for _, df in stages[:4])]
+
+
+def test_toxicity_keeps_what_the_model_passes(spark, sf, got):
+    model = T.fit(spark.read.parquet(f"{sf}/documents.parquet"), T.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
+    assert got[1] == {k: t for k, t in got[0].items() if model.score(t)[0] < 0.5}
+
+
+def test_line_dedup_leaves_the_words_of_the_window_model(got):
+    model = without_shared_windows(got[1])
+    gone = {k for k in got[1] if not model[k] and (got[1][k] or "").split()}
+    assert {k: (t or "").split() for k, t in got[2].items()} == {k: w for k, w in model.items() if k not in gone}
+    unchanged = {k for k, w in model.items() if w == (got[1][k] or "").split()}
+    assert all(got[2][k] == got[1][k] for k in unchanged) and gone and len(unchanged) < len(model)
+
+
+def test_near_dedup_keeps_the_first_of_each_class(got):
+    assert got[3] == near_dedup(got[2])
+
+
+def test_near_dedup_of_uncut_texts(spark, sf, got):
+    assert texts(P.one_of_each(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)) == near_dedup(got[0]) != got[0]
+
+
+def test_decontamination_keeps_documents_without_windows(spark, sf, got):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    assert got[3] == {k: t for k, t in got[2].items() if not contaminated(t, items)[1]}
+    assert got[4] == {k: t for k, t in got[3].items() if not contaminated(t, items)[1]} != got[3]
+
+
+def test_bpe_gives_the_ids_of_the_public_library(stages, got):
     public = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = stages[4][1].collect()
-    assert {r.doc_id for r in rows} == set(got[3])
+    assert {r.doc_id for r in rows} == set(got[4])
     for r in rows:
-        ids = public.encode(got[3][r.doc_id] or "", add_special_tokens=False).ids
+        ids = public.encode(got[4][r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)
-    sizes = [len(start), *map(len, got)]
-    assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1] and got[1] != got[0], sizes
+        assert r.n_tokens == len(ids) and r.decoded_sha256 == brute.sha(public.decode(ids, skip_special_tokens=False))
 
 
 def test_stages_keep_the_columns(spark, sf, stages):
