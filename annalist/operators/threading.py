@@ -13,11 +13,18 @@ slices of days: each slice sees its own turns, the open state left by the slice
 before (last members, unthreaded events within the window) and the unthreaded
 events up to one window ahead, so no task ever holds more than a slice and its
 windows.
+
+Slices go through a store that only grows: turns are written once, by slice, and every
+slice adds one folder with its results, with the state that it leaves, and with the
+later events it has used up. A slice reads the state of the one before it and the turns
+within a window, and nothing is written again, so bytes grow with rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -36,7 +43,7 @@ from annalist.operators.pairs import (
     keyed,
 )
 from annalist.operators.upserts import linked_to, numbered_relationships, relationship_rows
-from annalist.session import broadcast_if_small, cut, fits, shuffle_width
+from annalist.session import broadcast_if_small, cut, fits, release, shuffle_width, stage_folder
 
 SLICE_ROWS = 100_000
 
@@ -168,13 +175,21 @@ OUT = (
     "kind string, canonical_id long, thread_id long, sequence_index long, action string, "
     "rank_day long, rank_id long, next_index long"
 )
-
-
 _OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
+NARROW = ["_id", "_company", "_d", "_entity", "_domain", "_text", *FACTS]
+STATE = ["_role", "_thread", "_rank_day", "_rank_id", "_next"]
+#: What a slice says of rows that later ones need: their own columns, and the slice an event is in.
+_CARRIED = ["_d", "_entity", "_domain", "_text", *FACTS, "_at"]
+_WHOLE = {c: "Int64" for c in ("thread_id", "sequence_index", "rank_day", "rank_id", "next_index")}
 
 
-def _turns(window: int, k: int, rule: RuleClassifier):
-    """Take the turns of one group; see the module text for the roles of its rows."""
+def _turns(window: int, k: int, rule: RuleClassifier, sliced: bool = False):
+    """Take the turns of one group; see the module text for the roles of its rows.
+
+    Rows are turns, last members, and unthreaded events: past ones (open) and ones whose
+    turn is still to come (ahead). A slice adds rows for the next ones: ``last`` and ``open``
+    are the state it leaves, ``taken`` the events that it put into threads ahead of their turn.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = records(pdf)
@@ -182,6 +197,7 @@ def _turns(window: int, k: int, rule: RuleClassifier):
         threads: list[dict] = []
         lasts, by_entity, by_domain, gone = _Lasts(), _Open(), _Open(), set()
         out: list[tuple] = []
+        carried: list[tuple] = []
 
         def start(thread_id, rank, last, size) -> dict:
             thread = {"n": len(threads), "id": thread_id, "rank": rank, "last": last, "size": size, "moved": True}
@@ -236,11 +252,22 @@ def _turns(window: int, k: int, rule: RuleClassifier):
                 member(thread, row, index)
                 gone.add(row["_id"])
             out.append(("action", r["_id"], thread["id"], None, "created_thread", None, None, None))
+        if not sliced:
+            return pd.DataFrame(out, columns=_OUT_NAMES).astype(_WHOLE)
+
+        def carry(kind: str, r: dict, thread=None, rank=(None, None), size=None, at=None) -> None:
+            carried.append((kind, r["_id"], thread, None, None, *rank, size, *[r[c] for c in _CARRIED[:-1]], at))
+
         for t in threads:
-            out.append(("state", t["last"]["_id"], t["id"], None, None, t["rank"][0], t["rank"][1], t["size"]))
-        return pd.DataFrame(out, columns=_OUT_NAMES).astype(
-            {c: "Int64" for c in ("thread_id", "sequence_index", "rank_day", "rank_id", "next_index")}
-        )
+            carry("last", t["last"], t["id"], t["rank"], t["size"])
+        for r in rows:
+            if r["_role"] == "ahead" and r["_id"] in gone:
+                carry("taken", r, at=r["_at"])
+            elif r["_role"] in ("turn", "open") and r["_id"] not in gone:
+                carry("open", r)
+        blank = (None,) * len(_CARRIED)
+        both = pd.DataFrame([*[(*x, *blank) for x in out], *carried], columns=[*_OUT_NAMES, *_CARRIED])
+        return both.astype({**_WHOLE, "_d": "Int64", "_at": "Int64"})
 
     return fold
 
@@ -271,87 +298,149 @@ def components(rows: DataFrame, group: list[str]) -> DataFrame:
             return edges
 
 
-NARROW = ["_id", "_company", "_d", "_entity", "_domain", "_text", *FACTS]
-STATE = ["_role", "_thread", "_rank_day", "_rank_id", "_next"]
-
-
 def _with_role(df: DataFrame, role: str) -> DataFrame:
     blank = {c: F.lit(None).cast("long") for c in STATE[1:]}
     return df.withColumns({"_role": F.lit(role), **blank})
 
 
-def _sliced(rows: DataFrame, group: list[str], window: int, k: int, fold, slice_rows: int) -> DataFrame:
-    """Turns of large groups, slice of days by slice of days.
+class _Store:
+    """The folders of one sliced run: turns by slice, and what each slice said."""
+
+    def __init__(self, turns: DataFrame, said: str):
+        self.spark, self.path = turns.sparkSession, stage_folder(turns.sparkSession)
+        turns.write.partitionBy("_slot").parquet(f"{self.path}/turns")
+        self.turn_schema, self.said_schema = turns.schema, said
+
+    def turns(self, first: int, last: int) -> DataFrame:
+        """Turns of slices ``first`` to ``last``; undated ones are in slice -1."""
+        return self.spark.read.schema(self.turn_schema).parquet(f"{self.path}/turns").where(F.col("_slot").between(first, last))
+
+    def add(self, slot: int, rows: DataFrame) -> None:
+        rows.write.partitionBy("kind").parquet(f"{self.path}/said/_by={slot}")
+
+    def said(self, slots: list[int], *kinds: str) -> DataFrame:
+        """Rows of the given kinds that the given slices have said, with the slice as ``_by``."""
+        schema = f"{self.said_schema}, _by int"
+        if not slots:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/said")
+        return rows.where(F.col("_by").isin(slots) & F.col("kind").isin(*kinds))
 
-    The loop runs over slices, not rows; each pass handles every large group in
-    parallel and is written out before the next one starts.
+    def forget_turns(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/turns")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _slots(turns: DataFrame, group: list[str], slice_rows: int) -> DataFrame:
+    """(group, _d, _slot): stretches of days with about ``slice_rows`` turns, numbered from 0; undated turns come last, as -1.
+
+    A day is never cut.
     """
-    cols = [*group, *[c for c in NARROW if c not in group], *STATE]
+    days = turns.groupBy(*group, "_d").agg(F.count("*").alias("_c"))
+    dated = days.where(F.col("_d") < FAR_DAYS)
+    whole = W.partitionBy(*group).orderBy("_d")
+    full = dated.withColumn("_full", F.floor((F.sum("_c").over(whole) - 1) / F.lit(slice_rows)))
+    numbered = full.withColumn("_slot", (F.dense_rank().over(W.partitionBy(*group).orderBy("_full")) - 1).cast("int"))
+    return numbered.select(*group, "_d", "_slot", "_c").unionByName(
+        days.where(F.col("_d") == FAR_DAYS).select(*group, "_d", F.lit(-1).alias("_slot"), "_c")
+    )
+
+
+def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleClassifier, slice_rows: int) -> DataFrame:
+    """Turns of large groups, slice of days by slice of days, and undated turns after all others.
+
+    The loop runs over slices, not rows; each pass takes that slice of every large group in
+    parallel and adds one folder to the store.
+    """
+    spark = rows.sparkSession
     types = dict(rows.dtypes)
-    schema = ", ".join([*[f"{g} {types[g]}" for g in group], OUT])
+    own = [c for c in NARROW if c not in group]
+    cols = [*group, *own, *STATE, "_at"]
+    keys = ", ".join(f"{g} {types[g]}" for g in group)
+    carried = ", ".join(f"{c} {types.get(c, 'int')}" for c in _CARRIED)
+    schema = f"{keys}, {OUT}, {carried}"
+    names = [*group, *_OUT_NAMES, *_CARRIED]
 
-    def fold_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf).assign(**dict(zip(group, key)))[[*group, *_OUT_NAMES]]
+    fold = _turns(window, k, rule, sliced=True)
 
-    def in_reach(df: DataFrame, bounds: DataFrame) -> DataFrame:
-        undated = (F.col("_lo") == FAR_DAYS) | (F.col("_hi") == FAR_DAYS) | (F.col("_d") == FAR_DAYS)
-        return df.join(bounds, group).where(undated | (F.col("_d") + window >= F.col("_lo"))).select(*cols)
+    def fold_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return fold(pdf).assign(**dict(zip(group, key)))[names]
 
     turn_rows = rows.where(F.col("_role") == "turn")
-    days = turn_rows.groupBy(*group, "_d").agg(F.count("*").alias("_c"))
-    run = F.sum("_c").over(W.partitionBy(*group).orderBy("_d"))
-    slots = days.withColumn("_slot", F.floor((run - 1) / F.lit(slice_rows)) + (F.col("_d") == FAR_DAYS).cast("int")).drop("_c")
-    turns = cut(turn_rows.join(slots, [*group, "_d"]))
-    lasts = rows.where(F.col("_role") == "last").select(*cols)
-    opened = turns.where("false").select(*cols)
-    results = None
-    for slot in range(int(turns.agg(F.max("_slot")).first()[0]) + 1):
-        mine = turns.where(F.col("_slot") == slot)
-        bounds = mine.groupBy(*group).agg(
-            F.min("_d").alias("_lo"), F.max("_d").alias("_hi"), F.count("*").alias("_c")
-        )
-        later = turns.where(F.col("_slot") > slot).join(bounds, group)
-        # of the undated events of an entity only as many can be used as the slice has turns
-        turn_of = F.row_number().over(W.partitionBy(*group, "_entity", "_d").orderBy("_id"))
-        ahead = (
-            later.where((F.col("_d") <= F.col("_hi") + window) | (F.col("_d") == FAR_DAYS))
-            .withColumn("_n", F.when(F.col("_d") == FAR_DAYS, turn_of).otherwise(0))
-            .where((F.col("_n") == 0) | (F.col("_entity").isNotNull() & (F.col("_n") <= F.col("_c") + k)))
-        )
-        here = mine.select(*cols).unionByName(_with_role(ahead, "open").select(*cols)).unionByName(
-            in_reach(opened, bounds)
-        )
-        early = None
-        if results is not None:
-            # events that an earlier slice put into a thread keep their turn only to report it
-            taken = results.where(F.col("kind") == "member").select(F.col("canonical_id").alias("_id"))
-            early = mine.join(taken, "_id", "left_semi").select(*group, *_reported("already_threaded"))
-            here = here.join(taken, "_id", "left_anti").select(*cols)
-        here = cut(here.unionByName(in_reach(lasts, bounds)))
-        got = cut(here.groupBy(*group).applyInPandas(fold_group, schema))
-
-        facts = here.drop(*STATE).dropDuplicates(["_id"])
-        moved = got.where(F.col("kind") == "state").select(
-            *group,
-            F.col("canonical_id").alias("_id"),
-            F.lit("last").alias("_role"),
-            F.col("thread_id").alias("_thread"),
-            F.col("rank_day").alias("_rank_day"),
-            F.col("rank_id").alias("_rank_id"),
-            F.col("next_index").alias("_next"),
-        )
-        # threads out of reach stay as they are: an undated turn may still find them
-        seen = here.where(F.col("_role") == "last").select("_thread")
-        idle = lasts.join(seen, "_thread", "left_anti").select(*cols)
-        lasts = cut(moved.join(facts, [*group, "_id"]).select(*cols).unionByName(idle))
-        alone = got.where(F.col("action") == "standalone").select(F.col("canonical_id").alias("_id"))
-        opened = cut(
-            opened.unionByName(_with_role(mine.join(alone, "_id", "left_semi"), "open").select(*cols))
-        )
-        said = got.where(F.col("kind") != "state")
-        said = said if early is None else said.unionByName(early)
-        results = cut(said if results is None else results.unionByName(said))
-    return results.select(*_OUT_NAMES)
+    slots = cut(_slots(turn_rows, group, slice_rows))
+    # undated turns are numbered per entity: of those only the first few can be used by a slice
+    in_turn = F.row_number().over(W.partitionBy(*group, "_entity", "_d").orderBy("_id"))
+    numbered = turn_rows.withColumn("_n", F.when(F.col("_d") == FAR_DAYS, in_turn))
+    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*group, "_d")]
+    placed = numbered.alias("t").join(slots.alias("s"), reduce(and_, on)).select(*[F.col(f"t.{c}") for c in (*group, *own, "_n")], "s._slot")
+    store = _Store(placed, schema)
+
+    bounds = cut(slots.groupBy(*group, "_slot").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")))
+    dated = bounds.where(F.col("_slot") >= 0)
+    later = dated.select(*group, F.col("_slot").alias("_next_slot"), F.col("_lo").alias("_next_lo"))
+    reached = dated.join(later, group).where((F.col("_next_slot") > F.col("_slot")) & (F.col("_next_lo") <= F.col("_hi") + window))
+    # one number a slice: the last slice in which an event may lie that it can use
+    reach = {r[0]: r[1] for r in reached.groupBy("_slot").agg(F.max("_next_slot")).collect()}
+    n = (dated.agg(F.max("_slot")).first()[0] if dated.head(1) else -1) + 1
+
+    def at(slot: int) -> DataFrame:
+        return bounds.where(F.col("_slot") == slot).select(*group, "_lo", "_hi")
+
+    def state(said: DataFrame) -> DataFrame:
+        return said.select(
+            *group, F.col("canonical_id").alias("_id"), *[c for c in own if c != "_id"], F.col("kind").alias("_role"), F.col("thread_id").alias("_thread"),
+            F.col("rank_day").alias("_rank_day"), F.col("rank_id").alias("_rank_id"), F.col("next_index").alias("_next"), "_at", "_by",
+        )
+
+    def in_reach(left: DataFrame, slot: int) -> DataFrame:
+        near = (F.col("_d") == FAR_DAYS) | (F.col("_d") + window >= F.col("_lo"))
+        return left.join(at(slot), group).where(near).select(*cols)
+
+    def as_turns(turns: DataFrame, role: str) -> DataFrame:
+        return _with_role(turns, role).withColumn("_at", F.col("_slot")).select(*cols)
+
+    def run(slot: int, mine: DataFrame, others: list[DataFrame], earlier: list[int]) -> None:
+        """One pass: turns that an earlier slice has used up only report it."""
+        used = store.said(earlier, "taken").select(F.col("canonical_id").alias("_id"), "_at")
+        now = used.where(F.col("_at") == slot).select("_id")
+        early = mine.join(now, "_id", "left_semi").select(*group, *_reported("already_threaded"), *[F.lit(None).cast(types.get(c, "int")).alias(c) for c in _CARRIED])
+        here = reduce(DataFrame.unionByName, [as_turns(mine.join(now, "_id", "left_anti"), "turn"), *others])
+        got = here.groupBy(*group).applyInPandas(fold_group, schema)
+        store.add(slot, got.unionByName(early.select(*names)))
+
+    prior = rows.where(F.col("_role") == "last").withColumn("_at", F.lit(None).cast("int")).select(*cols)
+    undated = not bounds.where(F.col("_slot") == -1).isEmpty()
+    for slot in range(n):
+        mine, last = store.turns(slot, slot), reach.get(slot, slot)
+        before = [t for t in range(slot) if reach.get(t, t) >= slot]
+        used = store.said(before, "taken").where(F.col("_at").between(slot + 1, last)).select(F.col("canonical_id").alias("_id"))
+        near = store.turns(slot + 1, last).join(at(slot), group).where(F.col("_d") <= F.col("_hi") + window)
+        others = [as_turns(near.join(used, "_id", "left_anti"), "ahead")]
+        if undated:
+            asking = mine.where(F.col("_entity").isNotNull()).groupBy(*group, "_entity").agg(F.count("*").alias("_c"))
+            spent = store.said(list(range(slot)), "taken").where(F.col("_at") == -1).select(F.col("canonical_id").alias("_id"))
+            free = store.turns(-1, -1).join(asking, [*group, "_entity"]).join(spent, "_id", "left_anti")
+            rank = F.row_number().over(W.partitionBy(*group, "_entity").orderBy("_n"))
+            others.append(as_turns(free.withColumn("_m", rank).where(F.col("_m") <= F.col("_c") + k), "ahead"))
+        others.append(in_reach(state(store.said([slot - 1], "last", "open")) if slot else prior, slot))
+        run(slot, mine, others, before)
+    if undated:
+        # what no later slice has taken over: the state a slice left, but for what the next one saw
+        mine = store.turns(-1, -1)
+        left = state(store.said(list(range(n)), "last", "open"))
+        following = dated.select(*[F.col(g).alias(f"_f{g}") for g in group], F.col("_slot").alias("_f"), F.col("_lo").alias("_flo"))
+        same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_f{g}")) for g in group])
+        passed_on = same & (F.col("_f") == F.col("_by") + 1) & ((F.col("_d") == FAR_DAYS) | (F.col("_d") + window >= F.col("_flo")))
+        left = left.join(following, passed_on, "left_anti").select(*cols)
+        first = dated.where(F.col("_slot") == 0).select(*group, F.col("_lo").alias("_first"))
+        unseen = prior.join(first, group, "left").where(
+            F.col("_first").isNull() | ((F.col("_d") < FAR_DAYS) & (F.col("_d") + window < F.col("_first")))
+        ).select(*cols)
+        asking = mine.where(F.col("_entity").isNotNull()).select(*group, "_entity").distinct()
+        run(-1, mine, [x.join(asking, [*group, "_entity"], "left_semi").select(*cols) for x in (left, unseen)], list(range(n)))
+    store.forget_turns()
+    release(slots, bounds)
+    return store.said([*range(n), *([-1] if undated else [])], "action", "member", "pair").select(*_OUT_NAMES)
 
 
 def _reported(action: str) -> list[Column]:
@@ -384,7 +473,8 @@ def link_threads(
     ``canonical`` holds the unthreaded canonical events; ``last_members`` the last
     member of every existing thread (canonical columns plus thread_id, next_index).
     """
-    fold = _turns(window_days, k, classifier or RuleClassifier())
+    rule = classifier or RuleClassifier()
+    fold = _turns(window_days, k, rule)
     names = {"id": "canonical_id", "date": "canonical_date"}
     turns = _with_role(keyed(canonical, **names).withColumn("_text", F.col("canonical_date")).select(*NARROW), "turn")
     rows = turns
@@ -410,7 +500,7 @@ def link_threads(
         .repartition(shuffle_width(canonical.sparkSession), "_company", "_island")
         .groupBy("_company", "_island")
         .applyInPandas(fold, OUT)
-    ).where(F.col("kind") != "state")
+    )
     out = small.unionByName(alone)
     if fits(parts.where(F.col("_size") > slice_rows), 0):
         return out
@@ -420,7 +510,7 @@ def link_threads(
     same = F.col("l._entity").eqNullSafe(F.col("r._entity")) & F.col("l._domain").eqNullSafe(F.col("r._domain"))
     on = (F.col("l._company") == F.col("r._company")) & (F.col("l._island") == F.col("r._island")) & same
     split = large.alias("l").join(keys.alias("r"), on).select("l.*", "r._part")
-    return out.unionByName(_sliced(cut(split), group, window_days, k, fold, slice_rows))
+    return out.unionByName(_sliced(cut(split), group, window_days, k, rule, slice_rows))
 
 
 def actions(linked: DataFrame) -> DataFrame:

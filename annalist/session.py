@@ -31,7 +31,7 @@ def local_session(cores: str = "8", app: str = "annalist") -> SparkSession:
 _LOCAL: dict[str, str] = {}
 
 
-def _stage_folder(spark: SparkSession) -> str:
+def stage_folder(spark: SparkSession) -> str:
     """A new path in the shared folder; only a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     Used after order-dependent or iterated stages, so that a lost executor re-reads files
     instead of replaying every earlier round, and later reads take only the columns they need.
     """
-    path = _stage_folder(df.sparkSession)
+    path = stage_folder(df.sparkSession)
     plain = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
     plain.write.parquet(path)
     return df.sparkSession.read.schema(plain.schema).parquet(path)

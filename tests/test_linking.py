@@ -105,9 +105,15 @@ def test_unofficial_events_join_but_never_seed(spark):
     assert got == {1: ("deferred", None), 2: ("new", 2), 3: ("merged", 2)}
 
 
-@pytest.mark.parametrize("window,limit", [(180, 10**6), (20, 60)])
-def test_threads_equal_the_sequential_pass(spark, window, limit):
-    rows = sample(3, 260, span=120, entities=20)
+def blanked(rows, share, seed=9):
+    """The rows, some of them without a date."""
+    rng = random.Random(seed)
+    return [dict(r, date=None) if rng.random() < share else r for r in rows]
+
+
+@pytest.mark.parametrize("window,limit,share", [(180, 10**6, 0), (20, 60, 0), (20, 15, 0.3), (3, 1, 0.5)])
+def test_threads_equal_the_sequential_pass(spark, window, limit, share):
+    rows = blanked(sample(3, 260, span=120, entities=4 if share else 20), share)
     rule = pr.RuleClassifier(related=0.8)
     said = {}
     acts, spots = md.threads(rows, window, rule, said)
@@ -120,6 +126,47 @@ def test_threads_equal_the_sequential_pass(spark, window, limit):
     assert {r.canonical_id: (r.thread_id, r.sequence_index) for r in out if r.kind == "member"} == spots
 
 
+def chain(n, days=2):
+    """One company, one entity, an event every few days: no date cuts it."""
+    kinds = ["t1", "t2", "t3", "t1", "t1"]
+    return [dict(id=i, company=1, date=str(date(2014, 1, 1) + timedelta(days=days * i)), entity="A" if i % 3 else "B", domain="x", event_type=kinds[i % 5], official=True) for i in range(n)]
+
+
+def test_slices_write_each_row_a_bounded_number_of_times(spark, tmp_path, monkeypatch):
+    rule = pr.RuleClassifier(related=0.8)
+    written = []
+    for n in (200, 800):
+        at = tmp_path / str(n)
+        monkeypatch.setattr(th, "stage_folder", lambda _, at=at: str(at))
+        rows = chain(n)
+        acts, spots = md.threads(rows, 20, rule)
+        out = th.link_threads(frame(spark, rows, ("canonical_id", "canonical_date")), window_days=20, classifier=rule, slice_rows=50).collect()
+        assert {r.canonical_id: r.action for r in out if r.kind == "action"} == acts
+        assert {r.canonical_id: (r.thread_id, r.sequence_index) for r in out if r.kind == "member"} == spots
+        said = spark.read.parquet(f"{at}/said")
+        assert said.select("_by").distinct().count() == n // 50
+        written.append(said.count())
+    assert written[1] < 4.4 * written[0]
+
+
+def test_slices_go_on_from_existing_threads(spark):
+    """A run over later events with the last members of earlier threads equals one run, undated ones apart."""
+    rule, rows = pr.RuleClassifier(related=0.8), sample(11, 200, span=150, entities=5, companies=1)
+    rows = [r for r in rows if md.day(r["date"])]
+    first = sorted(rows, key=md.place)[:80]
+    cols = ("canonical_id", "canonical_date")
+    one = th.link_threads(frame(spark, first, cols), window_days=20, classifier=rule).where("kind = 'member'").collect()
+    tops = {}
+    for r in one:
+        tops[r.thread_id] = max(tops.get(r.thread_id, (-1, None)), (r.sequence_index, r.canonical_id))
+    by_id = {r["id"]: r for r in rows}
+    lasts = [(i, *[by_id[i][c] for c in ("company", "date", "entity", "domain", "event_type")], t, n + 1) for t, (n, i) in tops.items()]
+    old = spark.createDataFrame(lasts, "canonical_id long, company_id long, canonical_date string, entity string, domain string, event_type string, thread_id long, next_index long")
+    rest = frame(spark, [r for r in rows if r["id"] not in {x["id"] for x in first}], cols)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(th.link_threads(rest, old, 20, classifier=rule, slice_rows=12)) == key(th.link_threads(rest, old, 20, classifier=rule))
+
+
 def test_new_events_extend_existing_threads(spark):
     last = [(5, 1, "2024-01-05", "A", "x", "t1", 5, 2)]
     old = spark.createDataFrame(last, "canonical_id long, company_id long, canonical_date string, entity string, domain string, event_type string, thread_id long, next_index long")
