@@ -706,18 +706,60 @@ def dedupe_sentences(spark, sf_dir):
 THREAD_RULE = pr.RuleClassifier(related=0.8)  # above the gate, so that threads form
 
 
+STAGE_SQL = "CASE " + " ".join(
+    f"WHEN {' OR '.join(f"contains(lower(concat_ws(' ', nullif(c.action, ''), nullif(c.event_type, ''))), '{w}')" for w in words)} THEN '{stage}'"
+    for stage, words in th.STAGE_WORDS.items()
+) + " END"
+#: One event per company and step; threads with their last members, and the events in threads, travel as lists.
+_EVENT = "STRUCT(d DATE, id BIGINT, entity VARCHAR, domain VARCHAR, kind VARCHAR, ek VARCHAR, dk VARCHAR, text VARCHAR)"
+_NEAR = """coalesce(({a}.ek = {b}.ek AND ({a}.d IS NULL OR {b}.d IS NULL OR abs({a}.d - {b}.d) <= 180)) OR ({a}.dk = {b}.dk AND abs({a}.d - {b}.d) <= 3), false)"""
+_RELATED = """coalesce((({a}.entity <> '' AND {a}.entity = {b}.entity) OR ({a}.domain <> '' AND {a}.domain = {b}.domain))
+        AND NOT coalesce({a}.entity <> '' AND {a}.entity = {b}.entity AND {a}.kind = {b}.kind, false), false)"""
+THREADS_SQL = f"""{CANONICAL_SQL},
+tl AS (SELECT *, TRY_CAST(canonical_date AS DATE) AS d, lower(trim(nullif(entity, ''))) AS ek, lower(trim(nullif(domain, ''))) AS dk,
+  row_number() OVER (PARTITION BY company_id ORDER BY TRY_CAST(canonical_date AS DATE) NULLS LAST, canonical_id) AS n FROM ce),
+ts AS (SELECT company_id, n, {{'d': d, 'id': canonical_id, 'entity': entity, 'domain': domain, 'kind': event_type, 'ek': ek, 'dk': dk, 'text': coalesce(canonical_date, '')}} AS x FROM tl),
+tp AS (SELECT company_id, list(x ORDER BY n) AS pool FROM ts GROUP BY company_id),
+tr AS (
+  SELECT company_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS step, CAST(NULL AS BIGINT) AS thread_id,
+    CAST([] AS STRUCT(id BIGINT, place BIGINT)[]) AS places, CAST([] AS STRUCT(id BIGINT, size BIGINT, last {_EVENT})[]) AS chains, CAST([] AS BIGINT[]) AS gone FROM tp
+  UNION ALL
+  SELECT company_id, n, x.id, CASE WHEN done THEN 'already_threaded' WHEN hit IS NOT NULL THEN 'appended_to_thread' WHEN mate IS NOT NULL THEN 'created_thread' ELSE 'standalone' END,
+    CASE WHEN hit IS NOT NULL THEN hit.id WHEN mate IS NOT NULL THEN x.id END,
+    CASE WHEN hit IS NOT NULL THEN [{{'id': x.id, 'place': hit.size}}]
+      WHEN mate IS NOT NULL THEN [{{'id': x.id, 'place': CASE WHEN mate.text <= x.text THEN 1 ELSE 0 END}}, {{'id': mate.id, 'place': CASE WHEN mate.text <= x.text THEN 0 ELSE 1 END}}] ELSE [] END,
+    CASE WHEN hit IS NOT NULL THEN list_transform(chains, lambda c: CASE WHEN c.id = hit.id THEN {{'id': c.id, 'size': c.size + 1, 'last': x}} ELSE c END)
+      WHEN mate IS NOT NULL THEN list_append(chains, {{'id': x.id, 'size': 2, 'last': CASE WHEN mate.text <= x.text THEN x ELSE mate END}}) ELSE chains END,
+    CASE WHEN hit IS NOT NULL THEN list_append(gone, x.id) WHEN mate IS NOT NULL THEN list_concat(gone, [x.id, mate.id]) ELSE gone END
+  FROM (SELECT *, CASE WHEN NOT done AND hit IS NULL THEN
+      list_filter(list_slice(list_sort(list_transform(list_filter(pool, lambda s: s.id <> x.id AND NOT list_contains(gone, s.id) AND {_NEAR.format(a='s', b='x')}),
+        lambda s: {{'gap': coalesce(abs(s.d - x.d), 1000000000), 'd': coalesce(s.d, DATE '9999-12-31'), 'id': s.id, 's': s}})), 1, 10), lambda c: {_RELATED.format(a='c.s', b='x')})[1].s END AS mate
+    FROM (SELECT *, CASE WHEN NOT done THEN list_filter(chains, lambda c: {_NEAR.format(a='c.last', b='x')} AND {_RELATED.format(a='c.last', b='x')})[1] END AS hit
+      FROM (SELECT ts.company_id, ts.n, ts.x, tp.pool, tr.chains, tr.gone, list_contains(tr.gone, ts.x.id) AS done
+        FROM tr JOIN ts ON ts.company_id = tr.company_id AND ts.n = tr.n + 1 JOIN tp ON tp.company_id = tr.company_id)))),
+act AS (SELECT id AS canonical_id, step AS action, thread_id FROM tr WHERE n > 0),
+te AS (SELECT thread_id, p.id AS canonical_id, p.place AS sequence_index FROM (SELECT thread_id, unnest(places) AS p FROM tr WHERE thread_id IS NOT NULL)),
+thr AS (SELECT a.thread_id, c.company_id, CASE WHEN entity <> '' THEN entity || ' 확장' ELSE coalesce(nullif(domain, ''), '이니셔티브') || ' 이니셔티브' END AS title
+  FROM act a JOIN ce c ON c.canonical_id = a.thread_id WHERE a.action = 'created_thread')"""
+
+
 def _linked(spark, sf_dir) -> DataFrame:
     return tb.stage(
         spark, sf_dir, "linked", lambda: th.link_threads(_canonical(spark, sf_dir), classifier=THREAD_RULE)
     )
 
 
-@query("thread_assign")
+@query("thread_assign", f"WITH RECURSIVE {THREADS_SQL} SELECT * FROM act")
 def thread_assign(spark, sf_dir):
     return th.actions(_linked(spark, sf_dir))
 
 
-@query("thread_counts")
+@query(
+    "thread_counts",
+    f"WITH RECURSIVE {THREADS_SQL} SELECT "
+    + ", ".join(f"count(*) FILTER (action = '{a}') AS {a}" for a in ("appended_to_thread", "created_thread", "standalone", "already_threaded"))
+    + " FROM act",
+)
 def thread_counts(spark, sf_dir):
     return th.tally(_linked(spark, sf_dir))
 
@@ -737,19 +779,32 @@ def _thread_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return canonical, th.new_threads(linked, canonical), th.thread_events(linked, canonical)
 
 
-@query("thread_cards")
+@query(
+    "thread_cards",
+    f"""WITH RECURSIVE {THREADS_SQL}, tm AS (SELECT te.*, c.canonical_date, c.date_precision FROM te JOIN ce c USING (canonical_id))
+SELECT thread_id, any_value(company_id) AS company_id, any_value(title) AS title, count(*) AS members, min(canonical_date) AS start_date,
+  arg_min(date_precision, (canonical_date, sequence_index)) FILTER (canonical_date IS NOT NULL) AS start_precision, max(canonical_date) AS end_date,
+  arg_max(date_precision, (canonical_date, sequence_index)) FILTER (canonical_date IS NOT NULL) AS end_precision FROM thr JOIN tm USING (thread_id) GROUP BY thread_id""",
+)
 def thread_cards(spark, sf_dir):
     canonical, threads, rows = _thread_tables(spark, sf_dir)
     return rp.thread_cards(threads, rows, canonical)
 
 
-@query("thread_detail")
+@query(
+    "thread_detail",
+    f"""WITH RECURSIVE {THREADS_SQL} SELECT te.*, {STAGE_SQL} AS stage, thr.title AS thread_title, c.canonical_date, c.event_type, c.title AS event_title
+FROM te JOIN thr USING (thread_id) JOIN ce c USING (canonical_id)""",
+)
 def thread_detail(spark, sf_dir):
     canonical, threads, rows = _thread_tables(spark, sf_dir)
     return rp.thread_detail(threads, rows, canonical)
 
 
-@query("unthreaded_events")
+@query(
+    "unthreaded_events",
+    f"""WITH RECURSIVE {THREADS_SQL} SELECT canonical_id, company_id, canonical_date FROM ce WHERE canonical_id NOT IN (SELECT canonical_id FROM te)""",
+)
 def unthreaded_events(spark, sf_dir):
     canonical, _, rows = _thread_tables(spark, sf_dir)
     return lk.unthreaded_events(canonical, rows).select("canonical_id", "company_id", "canonical_date")
@@ -841,7 +896,11 @@ def timeline_official(spark, sf_dir):
     ).select(*ROW)
 
 
-@query("timeline_threads")
+@query(
+    "timeline_threads",
+    f"""WITH RECURSIVE {THREADS_SQL}, named AS (SELECT canonical_id, string_agg(title, ', ' ORDER BY thread_id) AS threads FROM te JOIN thr USING (thread_id) GROUP BY canonical_id)
+SELECT {{ROW_SQL}}, named.threads FROM ce LEFT JOIN named USING (canonical_id)""".replace("{ROW_SQL}", ", ".join(ROW)),
+)
 def timeline_threads(spark, sf_dir):
     canonical, threads, rows = _thread_tables(spark, sf_dir)
     out = rp.timeline(canonical, rows, threads)
