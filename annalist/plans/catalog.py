@@ -715,9 +715,10 @@ _EVENT = "STRUCT(d DATE, id BIGINT, entity VARCHAR, domain VARCHAR, kind VARCHAR
 _NEAR = """coalesce(({a}.ek = {b}.ek AND ({a}.d IS NULL OR {b}.d IS NULL OR abs({a}.d - {b}.d) <= 180)) OR ({a}.dk = {b}.dk AND abs({a}.d - {b}.d) <= 3), false)"""
 _RELATED = """coalesce((({a}.entity <> '' AND {a}.entity = {b}.entity) OR ({a}.domain <> '' AND {a}.domain = {b}.domain))
         AND NOT coalesce({a}.entity <> '' AND {a}.entity = {b}.entity AND {a}.kind = {b}.kind, false), false)"""
-THREADS_SQL = f"""{CANONICAL_SQL},
-tl AS (SELECT *, TRY_CAST(canonical_date AS DATE) AS d, lower(trim(nullif(entity, ''))) AS ek, lower(trim(nullif(domain, ''))) AS dk,
-  row_number() OVER (PARTITION BY company_id ORDER BY TRY_CAST(canonical_date AS DATE) NULLS LAST, canonical_id) AS n FROM ce),
+def _threads_sql(company: str = "company_id") -> str:
+    return f"""{CANONICAL_SQL},
+tl AS (SELECT * REPLACE ({company} AS company_id), TRY_CAST(canonical_date AS DATE) AS d, lower(trim(nullif(entity, ''))) AS ek, lower(trim(nullif(domain, ''))) AS dk,
+  row_number() OVER (PARTITION BY {company} ORDER BY TRY_CAST(canonical_date AS DATE) NULLS LAST, canonical_id) AS n FROM ce),
 ts AS (SELECT company_id, n, {{'d': d, 'id': canonical_id, 'entity': entity, 'domain': domain, 'kind': event_type, 'ek': ek, 'dk': dk, 'text': coalesce(canonical_date, '')}} AS x FROM tl),
 tp AS (SELECT company_id, list(x ORDER BY n) AS pool FROM ts GROUP BY company_id),
 tr AS (
@@ -743,6 +744,9 @@ thr AS (SELECT a.thread_id, c.company_id, CASE WHEN entity <> '' THEN entity ||
   FROM act a JOIN ce c ON c.canonical_id = a.thread_id WHERE a.action = 'created_thread')"""
 
 
+THREADS_SQL = _threads_sql()
+
+
 def _linked(spark, sf_dir) -> DataFrame:
     return tb.stage(
         spark, sf_dir, "linked", lambda: th.link_threads(_canonical(spark, sf_dir), classifier=THREAD_RULE)
@@ -764,6 +768,14 @@ def thread_counts(spark, sf_dir):
     return th.tally(_linked(spark, sf_dir))
 
 
+@query("thread_slices", f"WITH RECURSIVE {_threads_sql('company_id % 16')} SELECT te.thread_id, te.canonical_id, te.sequence_index FROM te")
+def thread_slices(spark, sf_dir):
+    """Members of threads over sixteen large companies, taken slice of days by slice of days."""
+    rows = _canonical(spark, sf_dir).withColumn("company_id", F.col("company_id") % 16)
+    linked = th.link_threads(rows, classifier=THREAD_RULE, slice_rows=100)
+    return linked.where(F.col("kind") == "member").select("thread_id", "canonical_id", "sequence_index")
+
+
 @query(
     "thread_gate",
     f"""WITH RECURSIVE {CANONICAL_SQL} SELECT CAST(0 AS BIGINT) AS appended_to_thread, CAST(0 AS BIGINT) AS created_thread,
