@@ -7,10 +7,11 @@ unclustered otherwise. A canonical event carries the id of its seed event.
 
 Two exact ways are used together. A date gap longer than the window can never be
 bridged, so it cuts a company into islands; islands of moderate size are folded
-one per group. Larger islands are solved as a fixed point: all official events
-start as seeds, every round re-decides all of them against the seeds of the round
-before, and because an event depends only on earlier ones the fixed point is the
-sequential answer. A round is joins over lists bounded per key and day.
+one per group. Larger islands are split into connected components of their keys, and
+those are taken slice of days by slice of days: an event depends only on seeds within
+the window before it, so a slice needs its own events and the seeds that the slice
+before has left, and every event is decided once. Undated events come last and meet the
+first seeds of their entity alone, so they go through entity by entity.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ from annalist.operators.pairs import (
     MAX_CANDIDATES,
     RuleClassifier,
     auto_apply_value,
+    both_forms,
     classify_pairs,
     keyed,
     nearest_candidates,
 )
+from annalist.operators.slices import LAST, UNDATED, Store, bounds_of, in_parts, in_slices
 from annalist.operators.upserts import numbered_relationships, relationship_rows
 from annalist.session import broadcast_if_small, cut, fits, release, shuffle_width
 
@@ -150,86 +153,143 @@ def _best_match(rule: RuleClassifier, row: dict, near: list[dict]) -> tuple[int
 
 
 RESULT = "event_id long, company_id {company}, action string, canonical_id long, confidence double, uncertain boolean"
+_RESULT_NAMES = ["event_id", "company_id", "action", "canonical_id", "confidence", "uncertain"]
+_CARRIED = ["_d", "_entity", "_domain", *FACTS]
 
 
-def _fold_group(window: int, k: int, rule: RuleClassifier):
+class _Pass:
+    """Events of one group in turn, against the seeds known so far."""
+
+    def __init__(self, window: int, k: int, rule: RuleClassifier):
+        self.window, self.k, self.rule = window, k, rule
+        self.old, self.new = (_Shelf(k), _Shelf(k)), (_Shelf(k), _Shelf(k))
+
+    def know(self, seed: dict, prior: bool) -> None:
+        by_entity, by_domain = self.old if prior else self.new
+        by_entity.add(seed["_entity"], seed["_d"], seed)
+        by_domain.add(seed["_domain"], seed["_d"], seed)
+
+    def decide(self, r: dict) -> tuple:
+        best, score, doubt = _best_match(self.rule, r, _nearest([self.old, self.new], r, self.window, self.k))
+        if best is not None and score >= AUTO_SAME_EVENT:
+            return r["_id"], r["_company"], "merged", best, score, doubt
+        if r["is_official"]:
+            self.know(r, False)
+            return r["_id"], r["_company"], "new", r["_id"], None, doubt
+        return r["_id"], r["_company"], "deferred", None, None, doubt
+
+    def seeds(self) -> list[dict]:
+        """The new seeds that a later event may still meet; more of one key and day are never listed."""
+        return list({s["_id"]: s for shelf in self.new for here in shelf.at.values() for s in here}.values())
+
+
+def _fold_group(window: int, k: int, rule: RuleClassifier, sliced: bool = False):
+    """Decide the turns of one group; a slice also says which seeds it leaves."""
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = records(pdf)
         rows.sort(key=lambda r: (r["_d"], r["_id"]))
-        old, new = (_Shelf(k), _Shelf(k)), (_Shelf(k), _Shelf(k))
-        for r in rows:
-            if r["_prior"]:
-                old[0].add(r["_entity"], r["_d"], r)
-                old[1].add(r["_domain"], r["_d"], r)
-        out = []
+        one = _Pass(window, k, rule)
         for r in rows:
-            if r["_prior"]:
-                continue
-            best, score, doubt = _best_match(rule, r, _nearest([old, new], r, window, k))
-            if best is not None and score >= AUTO_SAME_EVENT:
-                out.append((r["_id"], r["_company"], "merged", best, score, doubt))
-            elif r["is_official"]:
-                new[0].add(r["_entity"], r["_d"], r)
-                new[1].add(r["_domain"], r["_d"], r)
-                out.append((r["_id"], r["_company"], "new", r["_id"], None, doubt))
-            else:
-                out.append((r["_id"], r["_company"], "deferred", None, None, doubt))
-        frame = pd.DataFrame(
-            out, columns=["event_id", "company_id", "action", "canonical_id", "confidence", "uncertain"]
-        )
-        return frame.astype({"canonical_id": "Int64", "confidence": "Float64"})
+            if r["_role"] != "turn":
+                one.know(r, r["_role"] == "prior")
+        out = [one.decide(r) for r in rows if r["_role"] == "turn"]
+        types = {"canonical_id": "Int64", "confidence": "Float64"}
+        if not sliced:
+            return pd.DataFrame(out, columns=_RESULT_NAMES).astype(types)
+        blank = (None,) * len(_CARRIED)
+        said = [("event", *x, *blank) for x in out]
+        said += [("seed", s["_id"], s["_company"], None, None, None, None, *[s[c] for c in _CARRIED]) for s in one.seeds()]
+        return pd.DataFrame(said, columns=["kind", *_RESULT_NAMES, *_CARRIED]).astype({**types, "_d": "Int64", "uncertain": "boolean"})
 
     return fold
 
 
-def _decided(near: DataFrame, rule: RuleClassifier) -> DataFrame:
-    """Add _best (struct confidence, id) and uncertain from the candidate list."""
-    item = {c: F.col(c) for c in FACTS}
-    scored = F.transform(
-        "near", lambda x: F.struct(rule.columns(item, x).alias("r"), x["id"].alias("id"))
-    )
-    same = F.filter(scored, lambda s: s["r"]["relationship_type"] == "same_event")
-    ranked = F.transform(
-        same, lambda s, i: F.struct(s["r"]["confidence"].alias("confidence"), (-i).alias("turn"), s["id"].alias("id"))
-    )
-    return near.withColumns(
-        {
-            "_best": F.array_max(ranked),
-            "uncertain": F.exists(same, lambda s: s["r"]["confidence"] < AUTO_SAME_EVENT),
-        }
-    )
-
-
-def _rounds(rows: DataFrame, prior: DataFrame | None, window: int, k: int, rule: RuleClassifier) -> DataFrame:
-    """Fixed-point form for islands of any size."""
-
-    def look(items: DataFrame, seeds: DataFrame) -> DataFrame:
-        near = nearest_candidates(items, seeds, window, k, earlier_only=True)
-        if prior is not None:
-            older = nearest_candidates(near.withColumnRenamed("near", "_new"), prior, window, k)
-            near = older.withColumn("near", F.slice(F.array_sort(F.concat("near", "_new")), 1, k)).drop("_new")
-        return _decided(near, rule)
-
-    merges = F.coalesce(F.col("_best.confidence") >= AUTO_SAME_EVENT, F.lit(False))
-    official = rows.where("is_official").withColumn("_seed", F.lit(True))
-    state = cut(official)
-    while True:
-        step = look(state, state.where("_seed")).withColumn("_now", ~merges)
-        step = cut(step.select(*official.columns, "_now"))
-        changed = not step.where(F.col("_now") != F.col("_seed")).isEmpty()
-        release(state)
-        state = step.withColumn("_seed", F.col("_now")).drop("_now")
-        if not changed:
-            break
-    done = look(rows, state.where("_seed"))
-    return done.select(
-        F.col("_id").alias("event_id"),
-        F.col("_company").alias("company_id"),
-        F.when(merges, "merged").when(F.col("is_official"), "new").otherwise("deferred").alias("action"),
-        F.when(merges, F.col("_best.id")).when(F.col("is_official"), F.col("_id")).alias("canonical_id"),
-        F.when(merges, F.col("_best.confidence")).alias("confidence"),
-        "uncertain",
-    )
+def _undated(window: int, k: int, rule: RuleClassifier):
+    """Decide undated events as they come, entity by entity and in order; only the first seeds of one entity are held."""
+
+    def run(frames):
+        key, one = None, None
+        for pdf in frames:
+            out = []
+            for r in records(pdf):
+                if one is None or (r["_company"], r["_entity"]) != key:
+                    key, one = (r["_company"], r["_entity"]), _Pass(window, k, rule)
+                if r["_role"] == "turn":
+                    out.append(one.decide(r))
+                else:
+                    one.know(r, r["_role"] == "prior")
+            yield pd.DataFrame(out, columns=_RESULT_NAMES).astype({"canonical_id": "Int64", "confidence": "Float64"})
+
+    return run
+
+
+COLUMNS = ["_id", "_company", "_d", "_entity", "_domain", *FACTS, "is_official"]
+
+
+def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleClassifier, slice_rows: int, company: str) -> DataFrame:
+    """Events of large groups, slice by slice; every pass takes that slice of all groups in parallel."""
+    types = dict(rows.dtypes)
+    cols = [*group, *[c for c in [*COLUMNS, "_role"] if c not in group]]
+    result = RESULT.format(company=company)
+    keys = ", ".join(f"{g} {types[g]}" for g in group)
+    schema = f"{keys}, kind string, {result}, {', '.join(f'{c} {types[c]}' for c in _CARRIED)}"
+    names = [*group, "kind", *_RESULT_NAMES, *_CARRIED]
+    fold = _fold_group(window, k, rule, sliced=True)
+
+    def fold_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return fold(pdf).assign(**dict(zip(group, key)))[names]
+
+    turns = rows.where(F.col("_role") == "turn").select(*cols)
+    prior = rows.where(F.col("_role") == "prior").select(*cols)
+    store = Store(in_slices(turns, group, slice_rows), schema)
+    bounds = bounds_of(store.turns(UNDATED, LAST), group)
+    dated = bounds.where(F.col("_slot") >= 0)
+    n = (dated.agg(F.max("_slot")).first()[0] if dated.head(1) else -1) + 1
+    # known seeds are dealt once to the slices whose events they may meet; of undated ones only the first of an entity can be listed
+    lowest = F.row_number().over(W.partitionBy(*group, "_entity").orderBy("_id"))
+    few = prior.where((F.col("_d") == FAR_DAYS) & F.col("_entity").isNotNull()).withColumn("_n", lowest).where(F.col("_n") <= k).drop("_n")
+    near = prior.where(F.col("_d") < FAR_DAYS).join(dated, group).where(F.col("_d").between(F.col("_lo") - window, F.col("_hi") + window))
+    known = Store(near.select(*cols, "_slot").unionByName(few.withColumn("_slot", F.lit(UNDATED))), schema)
+
+    for slot in range(n):
+        at = bounds.where(F.col("_slot") == slot).select(*group, "_lo")
+        mine = store.turns(slot, slot)
+        here = mine.select(*cols).unionByName(known.turns(slot, slot).select(*cols))
+        here = here.unionByName(known.turns(UNDATED, UNDATED).join(mine.select(*group, "_entity").distinct(), [*group, "_entity"], "left_semi").select(*cols))
+        if slot:
+            left = store.said([slot - 1], "seed").join(at, group).where(F.col("_d") + window >= F.col("_lo"))
+            here = here.unionByName(left.select(
+                *group, F.col("event_id").alias("_id"), *[c for c in _CARRIED if c not in group], F.lit(True).alias("is_official"), F.lit("seed").alias("_role")
+            ).select(*cols))
+        store.add(slot, here.groupBy(*group).applyInPandas(fold_group, schema))
+    done = store.said(list(range(n)), "event").select(*_RESULT_NAMES)
+
+    last = store.turns(UNDATED, UNDATED)
+    if not last.head(1):
+        known.forget_turns()
+        store.forget_turns()
+        release(bounds)
+        return done
+    # undated events meet the first k seeds of their entity, whatever those seeds' dates
+    made = done.where(F.col("action") == "new").select(F.col("event_id").alias("_id"))
+    seeds = store.turns(0, LAST).join(made, "_id", "left_semi").select(*COLUMNS).withColumn("_role", F.lit("seed"))
+    asked = last.select("_company", "_entity").distinct()
+    per = W.partitionBy("_company", "_entity", "_role").orderBy("_d", "_id")
+    first = seeds.unionByName(prior.select(*COLUMNS, "_role")).join(asked, ["_company", "_entity"], "left_semi").withColumn("_n", F.row_number().over(per))
+    first = first.where(F.col("_n") <= k).drop("_n")
+    # a seed comes before every turn: undated turns of one entity are many, its first seeds are not
+    stream = (
+        last.select(*COLUMNS, "_role").unionByName(first).withColumn("_late", (F.col("_role") == "turn").cast("int"))
+        .repartition(shuffle_width(rows.sparkSession), "_company", "_entity").sortWithinPartitions("_company", "_entity", "_late", "_d", "_id")
+        .mapInPandas(_undated(window, k, rule), result)
+    )
+    blank = [F.lit(None).cast(types[g]).alias(g) for g in group] + [F.lit(None).cast(types[c]).alias(c) for c in _CARRIED if c not in group]
+    store.add(UNDATED, stream.withColumn("kind", F.lit("event")).select("kind", *_RESULT_NAMES, *blank))
+    known.forget_turns()
+    store.forget_turns()
+    release(bounds)
+    return store.said([*range(n), UNDATED], "event").select(*_RESULT_NAMES)
 
 
 def assign_events(
@@ -239,33 +299,45 @@ def assign_events(
     k: int = MAX_CANDIDATES,
     classifier: RuleClassifier | None = None,
     island_rows: int = ISLAND_ROWS,
+    slice_rows: int = ISLAND_ROWS,
 ) -> DataFrame:
     """One row per event: action (new, merged, deferred), canonical_id, confidence, uncertain.
 
     ``events`` holds event_id, company_id, event_date, event_type, entity, domain and
     is_official; ``prior`` holds the seed events of canonical events that already exist.
+    Whatever the size of an island, the rule's ``decide`` decides.
     """
-    rule = classifier or RuleClassifier()
-    cols = ["_id", "_company", "_d", "_entity", "_domain", *FACTS, "is_official"]
-    rows = keyed(events).select(*cols).withColumn("_prior", F.lit(False))
-    both, seeds = rows, None
+    rule = both_forms(classifier or RuleClassifier())
+    rows = keyed(events).select(*COLUMNS).withColumn("_role", F.lit("turn"))
+    both = rows
     if prior is not None:
-        seeds = keyed(prior.withColumn("is_official", F.lit(True))).select(*cols).withColumn("_prior", F.lit(True))
+        seeds = keyed(prior.withColumn("is_official", F.lit(True))).select(*COLUMNS).withColumn("_role", F.lit("prior"))
         both = rows.unionByName(seeds)
     parts = cut(islands(both, window_days))
     placed = both.join(broadcast_if_small(parts), ["_company", "_d"])
     company = next(f.dataType.simpleString() for f in events.schema.fields if f.name == "company_id")
+    result = RESULT.format(company=company)
     folded = (
         placed.where(F.col("_size") <= island_rows)
         .repartition(shuffle_width(events.sparkSession), "_company", "_island")  # few bytes, much work
         .groupBy("_company", "_island")
-        .applyInPandas(_fold_group(window_days, k, rule), RESULT.format(company=company))
+        .applyInPandas(_fold_group(window_days, k, rule), result)
     )
     if fits(parts.where(F.col("_size") > island_rows), 0):
         return folded
-    large = placed.where(F.col("_size") > island_rows).drop("_island", "_size")
-    old = large.where("_prior") if prior is not None else None
-    return folded.unionByName(_rounds(large.where(~F.col("_prior")), old, window_days, k, rule))
+    large = placed.where(F.col("_size") > island_rows).drop("_size")
+    loners = F.col("_entity").isNull() & F.col("_domain").isNull()
+    alone = large.where(loners & (F.col("_role") == "turn")).select(
+        F.col("_id").alias("event_id"),
+        F.col("_company").alias("company_id"),
+        F.when(F.col("is_official"), "new").otherwise("deferred").alias("action"),
+        F.when(F.col("is_official"), F.col("_id")).alias("canonical_id"),
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(False).alias("uncertain"),
+    )
+    split = in_parts(large.where(~loners), ["_company", "_island"])
+    group = ["_company", "_island", "_part"]
+    return folded.unionByName(alone).unionByName(_sliced(cut(split), group, window_days, k, rule, slice_rows, company))
 
 
 def relationships(

@@ -74,6 +74,14 @@ class RuleClassifier:
         return "unrelated", self.unrelated
 
 
+def both_forms(rule: RuleClassifier) -> RuleClassifier:
+    """The rule, if it gives both forms or neither: one alone would decide differently inside a plan and inside a task."""
+    own = [getattr(type(rule), form) is not getattr(RuleClassifier, form) for form in ("columns", "decide")]
+    if own[0] != own[1]:
+        raise ValueError(f"{type(rule).__name__} must give both columns() and decide()")
+    return rule
+
+
 def auto_applies(kind: Column, confidence: Column) -> Column:
     """Whether a decision is strong enough to act on without review."""
     return (

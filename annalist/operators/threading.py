@@ -39,11 +39,13 @@ from annalist.operators.pairs import (
     MAX_CANDIDATES,
     RuleClassifier,
     auto_apply_value,
+    both_forms,
     classify_pairs,
     keyed,
 )
+from annalist.operators.slices import LAST, UNDATED, Store, bounds_of, following_days, in_parts, in_slices
 from annalist.operators.upserts import linked_to, numbered_relationships, relationship_rows
-from annalist.session import broadcast_if_small, cut, fits, release, shuffle_width, stage_folder
+from annalist.session import broadcast_if_small, cut, fits, release, shuffle_width
 
 SLICE_ROWS = 100_000
 
@@ -272,87 +274,17 @@ def _turns(window: int, k: int, rule: RuleClassifier, sliced: bool = False):
     return fold
 
 
-def components(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(group, _entity, _domain, _part): connected key pairs get the same part.
-
-    Works on the distinct key pairs, with one label per key; labels shrink to the
-    least of their neighbours until nothing changes.
-    """
-    edges = cut(
-        rows.groupBy(*group, "_entity", "_domain")
-        .agg(F.min("_id").alias("_part"))
-        .where(F.col("_entity").isNotNull() | F.col("_domain").isNotNull())
-    )
-    while True:
-        by_e = edges.where(F.col("_entity").isNotNull()).groupBy(*group, "_entity").agg(F.min("_part").alias("_pe"))
-        by_d = edges.where(F.col("_domain").isNotNull()).groupBy(*group, "_domain").agg(F.min("_part").alias("_pd"))
-        step = cut(
-            edges.join(by_e, [*group, "_entity"], "left")
-            .join(by_d, [*group, "_domain"], "left")
-            .withColumn("_to", F.least("_part", "_pe", "_pd"))
-            .select(*edges.columns, "_to")
-        )
-        moved = not step.where(F.col("_to") < F.col("_part")).isEmpty()
-        edges = step.withColumn("_part", F.col("_to")).drop("_to")
-        if not moved:
-            return edges
-
-
 def _with_role(df: DataFrame, role: str) -> DataFrame:
     blank = {c: F.lit(None).cast("long") for c in STATE[1:]}
     return df.withColumns({"_role": F.lit(role), **blank})
 
 
-class _Store:
-    """The folders of one sliced run: turns by slice, and what each slice said."""
-
-    def __init__(self, turns: DataFrame, said: str):
-        self.spark, self.path = turns.sparkSession, stage_folder(turns.sparkSession)
-        turns.write.partitionBy("_slot").parquet(f"{self.path}/turns")
-        self.turn_schema, self.said_schema = turns.schema, said
-
-    def turns(self, first: int, last: int) -> DataFrame:
-        """Turns of slices ``first`` to ``last``; undated ones are in slice -1."""
-        return self.spark.read.schema(self.turn_schema).parquet(f"{self.path}/turns").where(F.col("_slot").between(first, last))
-
-    def add(self, slot: int, rows: DataFrame) -> None:
-        rows.write.partitionBy("kind").parquet(f"{self.path}/said/_by={slot}")
-
-    def said(self, slots: list[int], *kinds: str) -> DataFrame:
-        """Rows of the given kinds that the given slices have said, with the slice as ``_by``."""
-        schema = f"{self.said_schema}, _by int"
-        if not slots:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/said")
-        return rows.where(F.col("_by").isin(slots) & F.col("kind").isin(*kinds))
-
-    def forget_turns(self) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/turns")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _slots(turns: DataFrame, group: list[str], slice_rows: int) -> DataFrame:
-    """(group, _d, _slot): stretches of days with about ``slice_rows`` turns, numbered from 0; undated turns come last, as -1.
-
-    A day is never cut.
-    """
-    days = turns.groupBy(*group, "_d").agg(F.count("*").alias("_c"))
-    dated = days.where(F.col("_d") < FAR_DAYS)
-    whole = W.partitionBy(*group).orderBy("_d")
-    full = dated.withColumn("_full", F.floor((F.sum("_c").over(whole) - 1) / F.lit(slice_rows)))
-    numbered = full.withColumn("_slot", (F.dense_rank().over(W.partitionBy(*group).orderBy("_full")) - 1).cast("int"))
-    return numbered.select(*group, "_d", "_slot", "_c").unionByName(
-        days.where(F.col("_d") == FAR_DAYS).select(*group, "_d", F.lit(-1).alias("_slot"), "_c")
-    )
-
-
 def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleClassifier, slice_rows: int) -> DataFrame:
     """Turns of large groups, slice of days by slice of days, and undated turns after all others.
 
     The loop runs over slices, not rows; each pass takes that slice of every large group in
     parallel and adds one folder to the store.
     """
-    spark = rows.sparkSession
     types = dict(rows.dtypes)
     own = [c for c in NARROW if c not in group]
     cols = [*group, *own, *STATE, "_at"]
@@ -367,20 +299,13 @@ def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleCl
         return fold(pdf).assign(**dict(zip(group, key)))[names]
 
     turn_rows = rows.where(F.col("_role") == "turn")
-    slots = cut(_slots(turn_rows, group, slice_rows))
     # undated turns are numbered per entity: of those only the first few can be used by a slice
     in_turn = F.row_number().over(W.partitionBy(*group, "_entity", "_d").orderBy("_id"))
-    numbered = turn_rows.withColumn("_n", F.when(F.col("_d") == FAR_DAYS, in_turn))
-    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*group, "_d")]
-    placed = numbered.alias("t").join(slots.alias("s"), reduce(and_, on)).select(*[F.col(f"t.{c}") for c in (*group, *own, "_n")], "s._slot")
-    store = _Store(placed, schema)
-
-    bounds = cut(slots.groupBy(*group, "_slot").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")))
+    numbered = in_slices(turn_rows.select(*group, *own), group, slice_rows).withColumn("_n", F.when(F.col("_d") == FAR_DAYS, in_turn))
+    store = Store(numbered.select(*group, *own, "_n", "_slot"), schema)
+    bounds = bounds_of(store.turns(UNDATED, LAST), group)
     dated = bounds.where(F.col("_slot") >= 0)
-    later = dated.select(*group, F.col("_slot").alias("_next_slot"), F.col("_lo").alias("_next_lo"))
-    reached = dated.join(later, group).where((F.col("_next_slot") > F.col("_slot")) & (F.col("_next_lo") <= F.col("_hi") + window))
-    # one number a slice: the last slice in which an event may lie that it can use
-    reach = {r[0]: r[1] for r in reached.groupBy("_slot").agg(F.max("_next_slot")).collect()}
+    reach = following_days(dated, group, window)
     n = (dated.agg(F.max("_slot")).first()[0] if dated.head(1) else -1) + 1
 
     def at(slot: int) -> DataFrame:
@@ -409,7 +334,7 @@ def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleCl
         store.add(slot, got.unionByName(early.select(*names)))
 
     prior = rows.where(F.col("_role") == "last").withColumn("_at", F.lit(None).cast("int")).select(*cols)
-    undated = not bounds.where(F.col("_slot") == -1).isEmpty()
+    undated = not bounds.where(F.col("_slot") == UNDATED).isEmpty()
     for slot in range(n):
         mine, last = store.turns(slot, slot), reach.get(slot, slot)
         before = [t for t in range(slot) if reach.get(t, t) >= slot]
@@ -418,15 +343,15 @@ def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleCl
         others = [as_turns(near.join(used, "_id", "left_anti"), "ahead")]
         if undated:
             asking = mine.where(F.col("_entity").isNotNull()).groupBy(*group, "_entity").agg(F.count("*").alias("_c"))
-            spent = store.said(list(range(slot)), "taken").where(F.col("_at") == -1).select(F.col("canonical_id").alias("_id"))
-            free = store.turns(-1, -1).join(asking, [*group, "_entity"]).join(spent, "_id", "left_anti")
+            spent = store.said(list(range(slot)), "taken").where(F.col("_at") == UNDATED).select(F.col("canonical_id").alias("_id"))
+            free = store.turns(UNDATED, UNDATED).join(asking, [*group, "_entity"]).join(spent, "_id", "left_anti")
             rank = F.row_number().over(W.partitionBy(*group, "_entity").orderBy("_n"))
             others.append(as_turns(free.withColumn("_m", rank).where(F.col("_m") <= F.col("_c") + k), "ahead"))
         others.append(in_reach(state(store.said([slot - 1], "last", "open")) if slot else prior, slot))
         run(slot, mine, others, before)
     if undated:
         # what no later slice has taken over: the state a slice left, but for what the next one saw
-        mine = store.turns(-1, -1)
+        mine = store.turns(UNDATED, UNDATED)
         left = state(store.said(list(range(n)), "last", "open"))
         following = dated.select(*[F.col(g).alias(f"_f{g}") for g in group], F.col("_slot").alias("_f"), F.col("_lo").alias("_flo"))
         same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_f{g}")) for g in group])
@@ -437,10 +362,10 @@ def _sliced(rows: DataFrame, group: list[str], window: int, k: int, rule: RuleCl
             F.col("_first").isNull() | ((F.col("_d") < FAR_DAYS) & (F.col("_d") + window < F.col("_first")))
         ).select(*cols)
         asking = mine.where(F.col("_entity").isNotNull()).select(*group, "_entity").distinct()
-        run(-1, mine, [x.join(asking, [*group, "_entity"], "left_semi").select(*cols) for x in (left, unseen)], list(range(n)))
+        run(UNDATED, mine, [x.join(asking, [*group, "_entity"], "left_semi").select(*cols) for x in (left, unseen)], list(range(n)))
     store.forget_turns()
-    release(slots, bounds)
-    return store.said([*range(n), *([-1] if undated else [])], "action", "member", "pair").select(*_OUT_NAMES)
+    release(bounds)
+    return store.said([*range(n), *([UNDATED] if undated else [])], "action", "member", "pair").select(*_OUT_NAMES)
 
 
 def _reported(action: str) -> list[Column]:
@@ -473,7 +398,7 @@ def link_threads(
     ``canonical`` holds the unthreaded canonical events; ``last_members`` the last
     member of every existing thread (canonical columns plus thread_id, next_index).
     """
-    rule = classifier or RuleClassifier()
+    rule = both_forms(classifier or RuleClassifier())
     fold = _turns(window_days, k, rule)
     names = {"id": "canonical_id", "date": "canonical_date"}
     turns = _with_role(keyed(canonical, **names).withColumn("_text", F.col("canonical_date")).select(*NARROW), "turn")
@@ -506,10 +431,7 @@ def link_threads(
         return out
     large = placed.where(F.col("_size") > slice_rows).drop("_size")
     group = ["_company", "_island", "_part"]
-    keys = components(large, group[:2])
-    same = F.col("l._entity").eqNullSafe(F.col("r._entity")) & F.col("l._domain").eqNullSafe(F.col("r._domain"))
-    on = (F.col("l._company") == F.col("r._company")) & (F.col("l._island") == F.col("r._island")) & same
-    split = large.alias("l").join(keys.alias("r"), on).select("l.*", "r._part")
+    split = in_parts(large, group[:2])
     return out.unionByName(_sliced(cut(split), group, window_days, k, rule, slice_rows))
 
 
