@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from annalist.llm.tables import clean_names, map_rows, typed, words
+from annalist.llm.tables import clean_names, map_rows, stored, typed, words
 
 WINDOW = 10
 #: Words of a block that the shift tables are keyed by.
@@ -146,18 +147,22 @@ def contamination(
     a null id counts as -1. The items' texts are measured first: up to ``table_bytes`` they
     go to the executors at once and the documents are read in one pass without a shuffle;
     beyond it they are dealt into blocks of that size, one pass each, and the hits of a
-    document are merged. Keys must then be unique.
+    document are merged by its row; the narrow rows are stored once for that.
     """
-    passes = [_scan(docs, part, [key], text, window) for part in _tests(benchmark, item, item_text, table_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.union(more.filter("size(starts) > 0"))
-    gathered = every.groupBy(key).agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    tests = _tests(benchmark, item, item_text, table_bytes)
+    if len(tests) == 1:
+        return _scan(docs, tests[0], [key], text, window)
+    # hits are merged by row, not by key: keys may repeat or be null
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))
+    passes = [_scan(rows, part, ["row"], "t", window) for part in tests]
+    found = [p.filter("size(starts) > 0") for p in passes]
+    gathered = reduce(DataFrame.union, found).groupBy(F.col("row").alias("hit_row")).agg(
+        F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"),
     )
+    ints, none = F.array().cast("array<int>"), F.array().cast("array<long>")
+    every = passes[0].select("row", "n_words").join(rows.select(F.col("row").alias("r"), "k"), F.col("row") == F.col("r")).join(gathered, F.col("row") == F.col("hit_row"), "left")
+    every = every.select(F.col("k").alias(key), "n_words", F.coalesce("s", ints).alias("s"), F.coalesce("e", ints).alias("e"), F.coalesce("i", none).alias("i"))
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         def of(b: pa.RecordBatch) -> dict:
@@ -171,7 +176,7 @@ def contamination(
 
         return of
 
-    return map_rows(gathered, make, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, {HITS}")
+    return map_rows(every, make, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, {HITS}")
 
 
 def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:

@@ -39,11 +39,12 @@ def test_search_equals_brute_force():
 ITEMS = [(1, "one"), (2, "Same TEXT here"), (3, None), (4, ""), (5, "word " * 12), (5, "word " * 12), (None, "two")]
 
 
-@pytest.mark.parametrize("table_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("table_bytes", [1 << 20, 40, 8])
 def test_odd_rows_in_one_and_many_passes(spark, table_bytes):
-    rows = [r for r in brute.ODD if table_bytes > 40 or (r[0] is not None and r[0] != 908)]
+    rows = [*brute.ODD, (None, "word two"), (None, "one"), (908, "same text here, two of it")]
     benchmark = spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id long, text string, doc_id int")
     got = contamination(brute.docs(spark, rows), benchmark, table_bytes=table_bytes).collect()
+    assert len(got) == len(rows)
     assert sorted(((r.doc_id or -1), *spread(r)) for r in got) == sorted((k or -1, *expected(t, ITEMS)) for k, t in rows)
 
 
