@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from annalist.llm.components import components
 from annalist.llm.groups import GROUP_ROWS, Union, dealt, runs
@@ -16,6 +16,8 @@ from annalist.llm.tables import drawn, map_rows, stored
 #: Vectors of a cell that are aimed at, most cells, and rows and bytes of the sample that the centres are fitted on.
 CELL_ROWS, MAX_CELLS, SAMPLE_ROWS, SAMPLE_BYTES = 2048, 1024, 1 << 14, 32 << 20
 BLOCK = 512
+#: Guests of a group for each row at home there.
+GUESTS = 8
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -58,37 +60,65 @@ def cells(vectors: np.ndarray, centres: np.ndarray, cosine: float) -> list[list[
     return out
 
 
-def compare(
-    ids: np.ndarray, weights: np.ndarray, vectors: np.ndarray, homes: np.ndarray, lists: list[list[int]], cell: int, blocks: np.ndarray, crossing: bool, cosine: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group of one cell: ids with links, the weight of their partners, and the root each hangs on.
+class _Found:
+    """Links of a group: weights of the partners of each row, and spanning edges."""
 
-    A pair that two cells hold counts in one: that of the smaller home, if both are there.
-    ``crossing``: only pairs of different blocks.
+    def __init__(self, weights: np.ndarray):
+        self.sets, self.count, self.weights = Union(len(weights)), np.zeros(len(weights), np.int64), weights
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(self.count, a, self.weights[b])
+        np.add.at(self.count, b, self.weights[a])
+        self.sets.join(a, b)
+
+    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = np.flatnonzero(self.count)
+        return ids[some], self.count[some], ids[self.sets.roots[some]]
+
+
+def among(found: _Found, vectors: np.ndarray, left: np.ndarray, right: np.ndarray | None, cosine: float) -> None:
+    """Links between rows ``left`` and ``right`` of one cell, or among ``left`` alone."""
+    for i in range(0, len(left), BLOCK):
+        a = left[i : i + BLOCK]
+        for j in range(i if right is None else 0, len(left if right is None else right), BLOCK):
+            b = (left if right is None else right)[j : j + BLOCK]
+            x, y = np.nonzero(vectors[a] @ vectors[b].T >= cosine)
+            x, y = a[x], b[y]
+            if right is None:
+                x, y = x[x < y], y[x < y]
+            found.add(x, y)
+
+
+def across(
+    found: _Found, vectors: np.ndarray, homes: np.ndarray, guests: np.ndarray, own: np.ndarray, lists: list[list[int]], cell: int, centres: np.ndarray, cosine: float
+) -> None:
+    """Links between the rows at home in ``cell`` and its guests, those of one other cell after another.
+
+    Along the axis between two centres linked vectors are at most a chord apart, so a guest is
+    compared only with homes that are so close to the border. A pair that both cells hold counts
+    in the smaller one.
     """
-    sets, count = Union(len(ids)), np.zeros(len(ids), np.int64)
-    for i in range(0, len(ids), BLOCK):
-        for j in range(i, len(ids), BLOCK):
-            a, b = np.nonzero(vectors[i : i + BLOCK] @ vectors[j : j + BLOCK].T >= cosine)
-            a, b = a + i, b + j
-            keep = a < b
-            if crossing:
-                keep &= blocks[a] != blocks[b]
-            keep &= (homes[a] == cell) | (homes[b] == cell)
-            a, b = a[keep], b[keep]
-            split = homes[a] != homes[b]
-            if split.any():
-                # seen from the larger home: is the pair in the smaller one as well?
-                twice = np.zeros(len(a), bool)
-                for p in np.flatnonzero(split & (np.maximum(homes[a], homes[b]) == cell)).tolist():
-                    low, guest = min(homes[a[p]], homes[b[p]]), a[p] if homes[a[p]] == cell else b[p]
-                    twice[p] = low in lists[guest]
-                a, b = a[~twice], b[~twice]
-            np.add.at(count, a, weights[b])
-            np.add.at(count, b, weights[a])
-            sets.join(a, b)
-    some = np.flatnonzero(count)
-    return ids[some], count[some], ids[sets.roots[some]]
+    chord = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+    for other in np.unique(own[guests]).tolist():
+        axis = centres[cell] - centres[other]
+        axis = axis / max(float(np.linalg.norm(axis)), 1e-12)
+        inside, outside = vectors[homes] @ axis, -(vectors[guests[own[guests] == other]] @ axis)
+        near = homes[np.argsort(inside, kind="stable")]
+        inside = np.sort(inside)
+        come = guests[own[guests] == other][np.argsort(outside, kind="stable")]
+        outside = np.sort(outside)
+        for i in range(0, len(come), BLOCK):
+            b = come[i : i + BLOCK]
+            reach = int(np.searchsorted(inside, chord - outside[i], side="right"))
+            for j in range(0, reach, BLOCK):
+                a = near[j : min(j + BLOCK, reach)]
+                x, y = np.nonzero(vectors[a] @ vectors[b].T >= cosine)
+                x, y = a[x], b[y]
+                if other < cell and len(x):
+                    # the home may be a guest of the guest's cell, where the pair counts
+                    once = np.array([other not in lists[p] for p in x.tolist()])
+                    x, y = x[once], y[once]
+                found.add(x, y)
 
 
 def embedding_links(
@@ -98,7 +128,8 @@ def embedding_links(
 
     Equal vectors are compared once and count with their number. Centres are fitted on a sample of
     at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES``, chosen by hash; every vector is assigned to its cell and, near a border, to the
-    cells beyond it, and compared in double precision with all others there. Cells of more
+    cells beyond it, as a guest. Vectors at home in a cell are compared in double precision with each other and with
+    its guests; guests are not compared, as such a pair meets at home. Cells of more
     than ``most`` vectors are cut into blocks by hash, and pairs of blocks are compared. Counts
     and spanning edges leave a task, never pairs. Null, zero and partly null or
     non-finite vectors, and null keys, link with nothing; vectors of different lengths do not
@@ -145,23 +176,46 @@ def _links(same: DataFrame, centres, dim: int, cosine: float, most: int) -> Data
         return {"rep": b.column(0), "copies": b.column(1), "v": b.column(2), "cells": pa.array(cells(vectors, centres.value, cosine), pa.list_(pa.int32()))}
 
     placed = stored(map_rows(same.select("rep", "copies", "v"), lambda: assign, "rep long, copies long, v array<double>, cells array<int>"))
-    sizes = {r[0]: r[1] for r in placed.select(F.explode("cells").alias("c")).groupBy("c").count().collect()}  # at most MAX_CELLS rows
-    parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // most))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    each = placed.withColumn("cell", F.explode("cells")).withColumn("n", parts[F.col("cell")])
-    each = each.withColumn("block", F.pmod(F.xxhash64("rep"), "n").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    groups = each.withColumn("x", other).select(
-        F.xxhash64("cell", F.least("x", "block"), F.greatest("x", "block")).alias("key"), "cell", (F.col("x") != F.col("block")).alias("crossing"), "block", "rep", "copies", "v", "cells"
+    each = placed.select("rep", "copies", "v", "cells", F.posexplode("cells").alias("place", "cell")).withColumn("home", F.col("place") == 0)
+    # at most twice MAX_CELLS rows
+    sizes = {(r[0], r[1]): r[2] for r in each.groupBy("cell", "home").count().collect()}
+
+    def blocks(home: bool, rows: int) -> Column:
+        known = {c: -(-n // rows) for (c, h), n in sizes.items() if h == home}
+        of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col("cell")] if known else F.lit(None).cast("int")
+        return F.coalesce(of, F.lit(0))
+
+    def numbers(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    each = each.withColumns({"homes": blocks(True, most), "guests": blocks(False, GUESTS * most)})
+    block = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests")))).cast("int")
+    each = each.withColumn("block", block)
+    mine = F.col("block")
+
+    def task(kind: int, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    # homes meet homes of every block and guests of every block; guests meet homes alone
+    with_homes = F.transform(numbers(F.col("homes")), lambda x: task(0, F.least(x, mine), F.greatest(x, mine)))
+    with_guests = F.transform(numbers(F.col("guests")), lambda x: task(1, mine, x))
+    as_guest = F.transform(numbers(F.col("homes")), lambda x: task(1, x, mine))
+    groups = each.withColumn("task", F.explode(F.when(F.col("home"), F.concat(with_homes, with_guests)).otherwise(as_guest))).select(
+        F.xxhash64("cell", "task").alias("key"), "cell", "task.kind", "home", "block", "rep", "copies", "v", "cells"
     )
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
             lists = run["cells"].to_pylist()
             vectors = unit(np.array(run["v"].combine_chunks().flatten()).reshape(-1, dim))
-            ids, n, roots = compare(
-                run["rep"].to_numpy(), run["copies"].to_numpy(), vectors, np.array([x[0] for x in lists]), lists,
-                run["cell"][0].as_py(), run["block"].to_numpy(), run["crossing"][0].as_py(), cosine,
-            )
+            found, home, block = _Found(run["copies"].to_numpy()), np.flatnonzero(run["home"].to_numpy()), run["block"].to_numpy()
+            if run["kind"][0].as_py():
+                own, guests = np.array([x[0] for x in lists]), np.flatnonzero(~run["home"].to_numpy())
+                across(found, vectors, home, guests, own, lists, run["cell"][0].as_py(), centres.value, cosine)
+            else:
+                first = block[home] == block[home].min()
+                among(found, vectors, home[first], None if first.all() else home[~first], cosine)
+            ids, n, roots = found.rows(run["rep"].to_numpy())
             if len(ids):
                 yield pa.RecordBatch.from_pydict({"id": ids, "n": n, "root": roots})
 
