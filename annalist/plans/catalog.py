@@ -656,17 +656,11 @@ def event_relationships(spark, sf_dir):
 
 @query("near_duplicates")
 def near_duplicates(spark, sf_dir):
-    """Sentences with a family word as events: title from the rule, sentence as summary.
+    """Sentences with a family word as events: title from the rule, sentence as summary; each with its class and its number of links.
 
-    Pairs of texts, whatever their types; with ``same_text``, every other event of a text beside its least one.
-    Events of two texts are similar as their texts are.
+    Pairs of texts, whatever their types; events of one text are links of each other.
     """
-    pairs, members = dd.similar_pairs(_sentence_events(spark, sf_dir))
-    copies = members.where("text_id <> canonical_id").select(
-        F.col("text_id").alias("a_id"), F.col("canonical_id").alias("b_id"), F.lit(100.0).alias("score")
-    )
-    rows = pairs.withColumn("same_text", F.lit(False)).unionByName(copies.withColumn("same_text", F.lit(True)))
-    return rows.withColumn("score", six("score"))
+    return dd.similar_classes(_sentence_events(spark, sf_dir))
 
 
 def _sentence_events(spark, sf_dir) -> DataFrame:

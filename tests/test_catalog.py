@@ -2,8 +2,6 @@
 
 import math
 import os
-from collections import defaultdict
-from itertools import combinations, product
 
 import duckdb
 import pytest
@@ -59,18 +57,25 @@ def test_query_without_sql_gives_rows(spark, name):
     assert len(set(df.columns)) == len(df.columns) and len(set(map(str, rows))) == len(rows)
 
 
-def test_near_duplicates_cross_types_and_name_copies(spark):
+def test_near_duplicates_count_links_and_name_classes(spark):
     events = catalog._sentence_events(spark, DATA)
     kind = {r.canonical_id: r.event_type for r in events.collect()}
-    rows = contract.queries()["near_duplicates"](spark, DATA).collect()
-    texts = defaultdict(list)
-    for r in rows:
-        if r.same_text:
-            texts[r.a_id].append(r.b_id)
-    got = [tuple(sorted(p)) for r in rows if not r.same_text for p in product([r.a_id, *texts[r.a_id]], [r.b_id, *texts[r.b_id]])]
-    got += [p for a, more in texts.items() for p in combinations(sorted([a, *more]), 2)]
-    want = [(r.a_id, r.b_id) for r in dd.expand_pairs(*dd.similar_pairs(events)).collect()]
-    assert sorted(got) == sorted(want) and any(kind[a] != kind[b] for a, b in got) and texts
+    pairs = [(r.a_id, r.b_id) for r in dd.expand_pairs(*dd.similar_pairs(events)).collect()]
+    links, root = dict.fromkeys(kind, 0), {k: k for k in kind}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.canonical_id: (r.n_links, r.class_id) for r in contract.queries()["near_duplicates"](spark, DATA).collect()}
+    assert got == {k: (links[k], find(k)) for k in kind}
+    assert any(kind[a] != kind[b] for a, b in pairs) and any(k != c for k, (_, c) in got.items())
 
 
 def test_entry(spark):

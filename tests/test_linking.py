@@ -3,10 +3,11 @@
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.functions.similarity import ratio
+from annalist.functions.similarity import _codes, lcs_of_pairs, ratio
 from annalist.operators import clustering as cl, dedupe as dd, pairs as pr, slices as sl, threading as th
 from tests import models as md
 
@@ -210,6 +211,26 @@ def test_stages(spark):
     assert (r.i, r.f, r.g) == (2, True, False)
 
 
+def test_lcs_of_pairs_equals_the_plain_table():
+    rng = random.Random(4)
+    texts = ["", "a", "\U0001f600b"] + ["".join(rng.choices("abcdé가 ", k=n)) for n in (3, 40, 63, 64, 65, 100, 128, 129, 200)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(new[k], row[k + 1]))
+            row = new
+        return row[-1]
+
+    codes = [_codes(t) for t in texts]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(texts)) for b in range(len(texts))]))
+    for chunk in (7, 1 << 15):
+        assert lcs_of_pairs(codes, codes, i, j, chunk).tolist() == [plain(texts[a], texts[b]) for a, b in zip(i, j)]
+    assert len(lcs_of_pairs(codes, codes, i[:0], j[:0])) == 0
+
+
 WORDS = "alpha beta gamma delta launch expand build service cloud search".split()
 CANON = "canonical_id long, company_id long, canonical_date string, entity string, domain string, event_type string, title string, summary string"
 
@@ -251,6 +272,19 @@ def test_similar_pairs_and_merges(spark):
     got = [(r.a_id, r.b_id) for r in dd.expand_pairs(*dd.similar_pairs(df, tile_rows=9)).collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
 
+    root = {r[0]: r[0] for r in rows}
+
+    def least(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in wanted:
+        x, y = least(x), least(y)
+        root[max(x, y)] = min(x, y)
+    classes = dd.similar_classes(df, tile_rows=9).collect()
+    assert {r.canonical_id: (r.class_id, r.n_links) for r in classes} == {r[0]: (least(r[0]), sum(r[0] in p for p in wanted)) for r in rows}
+
     order = sorted(rows, key=lambda r: (r[2] is None, r[2] or "", r[0]))
     spot, by_id, keep = {r[0]: n for n, r in enumerate(order)}, {r[0]: r for r in rows}, {}
     for x, y in sorted((sorted(p, key=spot.get) for p in wanted), key=lambda p: (spot[p[0]], spot[p[1]])):
