@@ -52,6 +52,13 @@ def _merged_pairs(pairs: DataFrame, old: DataFrame | None) -> tuple[DataFrame, D
     return kept, upsert_relationships(old, kept.withColumn("_run", F.lit(1)), "_run")
 
 
+def _renamed(assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """Assignments to the canonical events ``_now`` in place of ``_seed``."""
+    return assigned.join(names, assigned["canonical_id"] == names["_seed"], "left").select(
+        *[F.coalesce("_now", "canonical_id").alias(c) if c == "canonical_id" else F.col(c) for c in assigned.columns]
+    )
+
+
 STATE = ["event_relationships", "canonical_event_relationships", "chunks", "events", "evidence_spans", "event_cluster_members", "canonical_events", "threads", "thread_events"]
 
 
@@ -70,6 +77,7 @@ def run(
     (``STATE``): documents it has chunks of are not read again, events it has evidence of
     are not validated again, new events are compared with its seeds and new canonical events with
     the last members of its threads. The result then holds old and new rows together.
+    With ``deduplicate``, one map of merges rewrites all tables: no row of the result names a removed event.
     """
     old = state or {}
     start = {c: _largest(old[t], c) if t in old else 0 for t, c in (("chunks", "chunk_id"), ("events", "event_id"))}
@@ -95,7 +103,12 @@ def run(
     if "event_cluster_members" in old:
         prior = clustering.seed_events(events, old["event_cluster_members"])
         open_events = valid.join(old["event_cluster_members"].select("event_id"), "event_id", "left_anti")
-    assigned = cut(clustering.assign_events(open_events, prior=prior, classifier=classifier))
+    assigned = clustering.assign_events(open_events, prior=prior, classifier=classifier)
+    if prior is not None:
+        # a seed whose canonical event was merged away stands for the one that stayed
+        now = old["event_cluster_members"].where("is_seed").select(F.col("event_id").alias("_seed"), F.col("canonical_id").alias("_now"))
+        assigned = _renamed(assigned, now.where("_seed <> _now"))
+    assigned = cut(assigned)
     decided = cut(clustering.relationships(open_events, assigned, prior=prior, classifier=classifier))
     event_pairs, all_event_pairs = _merged_pairs(decided, old.get("event_relationships"))
     joined = linked_to(clustering.members(assigned), event_pairs, "event_id", "canonical_id")
@@ -105,15 +118,19 @@ def run(
     if deduplicate:
         merges = cut(dedupe.dedupe(canonical, classifier))
         none = canonical.sparkSession.createDataFrame([], "thread_id long, canonical_id long, sequence_index long, stage string, relationship_id long")
-        kept = dedupe.apply_merges(merges, members, with_old("thread_events", none), event_pairs.limit(0), canonical)
+        no_pairs = canonical.sparkSession.createDataFrame([], "relationship_id long, a_id long, b_id long")
+        decided_pairs = old.get("canonical_event_relationships", no_pairs)
+        kept = dedupe.apply_merges(merges, members, with_old("thread_events", none), decided_pairs, canonical)
         members, canonical = kept["event_cluster_members"], cut(kept["canonical_events"])
+        assigned = _renamed(assigned, merges.select(F.col("remove_id").alias("_seed"), F.col("keep_id").alias("_now")))
     stored = kept["thread_events"] if kept else old.get("thread_events")
     last = threading.last_members(stored, canonical) if "thread_events" in old else None
     waiting = canonical.join(stored.select("canonical_id"), "canonical_id", "left_anti") if "thread_events" in old else canonical
     linked = cut(threading.link_threads(waiting, last_members=last, classifier=classifier))
-    thread_pairs, all_thread_pairs = _merged_pairs(
-        cut(threading.relationships(linked, canonical, classifier)), old.get("canonical_event_relationships")
-    )
+    known_pairs = old.get("canonical_event_relationships")
+    if kept is not None and known_pairs is not None:
+        known_pairs = cut(kept["relationships"])
+    thread_pairs, all_thread_pairs = _merged_pairs(cut(threading.relationships(linked, canonical, classifier)), known_pairs)
     rows = threading.linked_rows(linked, canonical, thread_pairs)
     staged = canonical.withColumn("stage", threading.stage_of(F.col("action"), F.col("event_type")))
     out = {

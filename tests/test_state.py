@@ -360,6 +360,42 @@ def test_an_incremental_run_goes_on_from_stored_tables(spark):
         assert sorted(map(str, third[name].collect())) == sorted(map(str, second[name].select(*third[name].columns).collect())), name
 
 
+class TypeRule(RuleClassifier):
+    """Events of one type are the same, others of one domain belong together."""
+
+    def columns(self, a, b):
+        said = lambda kind, c: F.struct(F.lit(kind).alias("relationship_type"), F.lit(c).alias("confidence"), F.lit("").alias("rationale"))
+        return F.when(a["event_type"] == b["event_type"], said("same_event", 0.9)).otherwise(said("related_distinct", 0.8))
+
+    def decide(self, a, b):
+        return ("same_event", 0.9) if a["event_type"] == b["event_type"] else ("related_distinct", 0.8)
+
+
+def test_merges_of_a_later_run_reach_every_stored_table(spark):
+    text = "{0} announces the {0} Box today.\n\n{0} plans to expand the {0} Box service to new regions."
+    schema = "doc_id long, company_id long, source_type string, is_official boolean, title string, published_date string, raw_text string"
+    rows = [(n, 1, "press_release", True, f"t{n}", f"2025-01-0{n}", text.format(c)) for n, c in enumerate(("Blue", "Blu", "Blue", "Bluu"), 1)]
+    companies = spark.createDataFrame([(1, "Acme")], "company_id long, name string")
+    part, whole = spark.createDataFrame(rows[:2], schema), spark.createDataFrame(rows, schema)
+    # the first run keeps what the second one merges
+    first = run(part, companies, classifier=RuleClassifier(related=0.8))
+    second = run(whole, companies, classifier=TypeRule(), state=first, deduplicate=True)
+    gone = {r.remove_id for r in second["merges"].collect()}
+    assert gone and gone & {r.canonical_id for r in first["canonical_events"].collect()}
+    names = {"assigned": ["canonical_id"], "event_cluster_members": ["canonical_id"], "canonical_events": ["canonical_id"], "thread_events": ["canonical_id"], "canonical_event_relationships": ["a_id", "b_id"], "thread_actions": ["canonical_id"]}
+    for table, columns in names.items():
+        for c in columns:
+            assert not gone & {r[0] for r in second[table].select(c).collect()}, (table, c)
+    known = {r.relationship_id for r in second["canonical_event_relationships"].collect()}
+    assert {r.relationship_id for r in second["thread_events"].collect()} <= known | {None}
+    live = {r.canonical_id for r in second["canonical_events"].collect()}
+    assert {r.canonical_id for r in second["event_cluster_members"].collect()} <= live
+    third = run(whole, companies, classifier=TypeRule(), state=second, deduplicate=True)
+    assert third["merges"].count() == 0
+    for name in ("chunks", "events", "event_cluster_members", "canonical_events", "canonical_event_relationships", "threads", "thread_events"):
+        assert sorted(map(str, third[name].collect())) == sorted(map(str, second[name].select(*third[name].columns).collect())), name
+
+
 def test_a_full_run_holds_its_invariants(spark):
     text = "Acme announces the Blue Box today. It will launch in spring for everyone.\n\nAcme plans to expand the Blue Box service to new regions."
     docs = spark.createDataFrame(
