@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,7 +16,7 @@ from annalist.operators.clustering import _best_match, _nearest, _Shelf, records
 from annalist.operators.evidence import locate_quotes
 from annalist.operators.extraction import keyword_events
 from annalist.operators.pairs import AUTO_SAME_EVENT, EVENT_WINDOW, FACTS, MAX_CANDIDATES, RuleClassifier, keyed
-from annalist.operators.upserts import upsert_documents
+from annalist.operators.upserts import DOC_KEY, upsert_documents
 
 
 def stream_documents(spark: SparkSession, folder: str, schema: str, fmt: str = "json") -> DataFrame:
@@ -44,35 +45,100 @@ def first_links(documents: DataFrame, time: str | None = None, delay: str = "30
     return documents.withWatermark(time, delay).dropDuplicatesWithinWatermark(["external_id"])
 
 
-def _first_version(spark: SparkSession, state: str, checkpoint: str) -> int:
-    """The version that batch 0 of this checkpoint writes: after those that the folder held when it began.
+#: Buckets of a versioned table; a batch rewrites only those that its keys fall into.
+BUCKETS = 256
+
+
+class BucketTable:
+    """A table in folders by key bucket: copies on write, and one small file that says which copy of each bucket holds.
+
+    ``rows/v=N/bucket=B`` is the copy of bucket B that batch N wrote, ``pointer/v=N`` names the valid
+    copy of every bucket after batch N. The pointer is renamed into place after the copies are
+    there, so a reader sees all of a batch or nothing of it, and a batch whose pointer exists is done.
+    """
+
+    def __init__(self, spark: SparkSession, state: str):
+        self.spark, self.state = spark, state
+        self.paths = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.paths(state).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _pointer(self, version: int) -> str:
+        return f"{self.state}/pointer/v={version}"
+
+    def has(self, version: int) -> bool:
+        return self.files.exists(self.paths(self._pointer(version)))
+
+    def newest(self) -> int:
+        """The last version, -1 if there is none."""
+        root = self.paths(f"{self.state}/pointer")
+        names = [f.getPath().getName() for f in self.files.listStatus(root)] if self.files.exists(root) else []
+        return max((int(n.removeprefix("v=")) for n in names if n.startswith("v=")), default=-1)
+
+    def copies(self, version: int) -> dict[int, int]:
+        """Bucket -> the batch that wrote its valid copy; at most as many entries as buckets."""
+        if version < 0:
+            return {}
+        return {int(b): int(v) for b, v in (r[0].split(" ") for r in self.spark.read.text(self._pointer(version)).collect())}
+
+    def read(self, version: int, buckets: set[int] | None = None) -> DataFrame | None:
+        """Rows of all or some buckets as of a version; None if it holds none of them."""
+        paths = [f"{self.state}/rows/v={v}/bucket={b}" for b, v in sorted(self.copies(version).items()) if buckets is None or b in buckets]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+
+    def write(self, version: int, rows: DataFrame | None, buckets: set[int]) -> None:
+        """Copies of some buckets, then the pointer to them and to the others' older ones."""
+        if rows is not None:
+            rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.state}/rows/v={version}")
+        now = self.copies(version - 1) | {b: version for b in buckets}
+        temporary = f"{self.state}/pointer/_{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(f"{b} {v}",) for b, v in sorted(now.items())], "value string").coalesce(1).write.text(temporary)
+        if not self.files.rename(self.paths(temporary), self.paths(self._pointer(version))):
+            raise RuntimeError(f"{self._pointer(version)} is there already")
+
+    def forget(self, version: int) -> None:
+        """Remove copies that ``version`` - 1 still named and ``version`` does not: readers of the last two versions are safe."""
+        now = self.copies(version)
+        for b, v in self.copies(version - 1).items():
+            if now.get(b) != v:
+                self.files.delete(self.paths(f"{self.state}/rows/v={v}/bucket={b}"), True)
+
+
+def _first_version(table: BucketTable, checkpoint: str) -> int:
+    """The version that batch 0 of this checkpoint writes: after those that the table held when it began.
 
     The number is kept beside the checkpoint, so a restart counts on from the same one.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    note = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/first_version")
-    if note.getFileSystem(conf).exists(note):
-        return int(spark.read.text(note.toString()).first()[0])
-    root = jvm.org.apache.hadoop.fs.Path(state)
-    files = root.getFileSystem(conf)
-    names = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
-    first = max((int(n.removeprefix("v=")) + 1 for n in names if n.startswith("v=")), default=0)
-    spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.text(note.toString())
+    note = table.paths(f"{checkpoint}/first_version")
+    if note.getFileSystem(table.spark._jsc.hadoopConfiguration()).exists(note):
+        return int(table.spark.read.text(note.toString()).first()[0])
+    first = table.newest() + 1
+    table.spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.text(note.toString())
     return first
 
 
-def upsert_stream(incoming: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keep a versioned document table under ``state``: every batch writes ``v=N`` from ``v=N-1``.
+def bucket_of(*key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
-    A batch that is run again overwrites its own folder, so restarts change nothing; a new
-    checkpoint goes on from the last version that is there.
+
+def upsert_stream(incoming: DataFrame, state: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep a versioned document table under ``state``; see ``documents_of`` for reading it.
+
+    A batch reads and writes the buckets of its own documents only. A batch that is run again
+    changes nothing; a new checkpoint goes on from the last version that is there. The number
+    of buckets belongs to the table and must stay the same.
     """
-    first = _first_version(incoming.sparkSession, state, checkpoint)
+    first = _first_version(BucketTable(incoming.sparkSession, state), checkpoint)
 
     def merge(batch: DataFrame, number: int) -> None:
-        version = first + number
-        current = None if version == 0 else batch.sparkSession.read.parquet(f"{state}/v={version - 1}")
-        upsert_documents(batch, current).write.mode("overwrite").parquet(f"{state}/v={version}")
+        table, version = BucketTable(batch.sparkSession, state), first + number
+        if table.has(version):
+            return
+        bucket = bucket_of(*DOC_KEY, buckets=buckets)
+        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets``
+        rows = upsert_documents(batch, table.read(version - 1, touched)).withColumn("bucket", bucket) if touched else None
+        table.write(version, rows, touched)
+        if version > 1:
+            table.forget(version - 1)
 
     return (
         incoming.writeStream.foreachBatch(merge)
@@ -82,6 +148,12 @@ def upsert_stream(incoming: DataFrame, state: str, checkpoint: str) -> Streaming
     )
 
 
+def documents_of(spark: SparkSession, state: str, version: int | None = None) -> DataFrame | None:
+    """The document table that ``upsert_stream`` keeps, as of its last or the given version; None before the first."""
+    table = BucketTable(spark, state)
+    return table.read(table.newest() if version is None else version)
+
+
 SEED = "id long, d long, entity_key string, domain_key string, event_type string, entity string, domain string"
 OUT = "event_id long, company_id long, action string, canonical_id long"
 

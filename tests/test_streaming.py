@@ -39,15 +39,56 @@ def test_versions_survive_batches_and_restarts(spark, tmp_path):
         row = dict(company_id=1, source_type="news", external_id="k", delivery=n, title=f"t{n}", is_official=False, raw_text=body)
         (folder / f"{n}.json").write_text(json.dumps(row))
         flows.upsert_stream(docs, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "state" / "v=2")).collect()
+    last = flows.documents_of(spark, str(tmp_path / "state")).collect()
     assert [(r.external_id, r.version, r.title) for r in last] == [("k", 2, "t1")]
     # a new checkpoint goes on from the stored versions
     flows.upsert_stream(docs, str(tmp_path / "state"), str(tmp_path / "other")).awaitTermination(120)
-    again = spark.read.parquet(str(tmp_path / "state" / "v=3")).collect()
+    again = flows.documents_of(spark, str(tmp_path / "state")).collect()
     assert [r.external_id for r in again] == ["k"] and again[0].version > 2
     assert flows.first_links(docs).isStreaming
 
 
+def test_a_batch_rewrites_the_buckets_of_its_documents_alone(spark, tmp_path):
+    schema = "company_id long, source_type string, external_id string, delivery long, title string, is_official boolean, raw_text string"
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    docs = flows.stream_documents(spark, str(folder), schema)
+    row = lambda k, n, body: dict(company_id=1, source_type="news", external_id=k, delivery=n, title=f"t{n}", is_official=False, raw_text=body)
+
+    def deliver(name, rows, checkpoint="ck"):
+        (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
+        flows.upsert_stream(docs, state, str(tmp_path / checkpoint), buckets=16).awaitTermination(120)
+
+    def held():
+        return {r.external_id: (r.version, r.raw_text) for r in flows.documents_of(spark, state).collect()}
+
+    deliver("a.json", [row(f"k{i}", i, f"text {i}") for i in range(60)])
+    before = flows.BucketTable(spark, state).copies(0)
+    deliver("b.json", [row("k7", 100, "new")])
+    after = flows.BucketTable(spark, state).copies(1)
+    assert [b for b in after if after[b] != before[b]] == [b for b, v in after.items() if v == 1] and len(before) > 8
+    assert sum(v == 1 for v in after.values()) == 1
+    want = {f"k{i}": (1, f"text {i}") for i in range(60)} | {"k7": (2, "new")}
+    assert held() == want and {r.external_id for r in flows.documents_of(spark, state, 0).collect()} == set(want)
+    # a batch whose copies were written but whose pointer was not is written again; one with a pointer is left alone
+    table = flows.BucketTable(spark, state)
+    table.files.delete(table.paths(f"{state}/pointer/v=1"), True)
+    for log in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "ck" / log).unlink(missing_ok=True)
+    flows.upsert_stream(docs, state, str(tmp_path / "ck"), buckets=16).awaitTermination(120)
+    assert held() == want
+    (tmp_path / "ck" / "commits/1").unlink()
+    (tmp_path / "ck" / "commits/.1.crc").unlink(missing_ok=True)
+    flows.upsert_stream(docs, state, str(tmp_path / "ck"), buckets=16).awaitTermination(120)
+    assert held() == want and table.newest() == 1
+    deliver("c.json", [row("k7", 101, "new"), row("k8", 102, "x"), row("z", 103, "y")])
+    deliver("d.json", [row("k8", 104, "x2")])
+    assert held() == want | {"k8": (3, "x2"), "z": (1, "y")}
+    kept = {(int(p.parent.name[2:]), int(p.name[7:])) for p in (tmp_path / "state" / "rows").glob("v=*/bucket=*")}
+    named = {(v, b) for n in (2, 3) for b, v in table.copies(n).items()}
+    assert kept == named
+
+
 def test_links_are_forgotten_behind_the_watermark(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
