@@ -550,10 +550,10 @@ def _assigned(spark, sf_dir, window: int = 30) -> DataFrame:
     return tb.stage(spark, sf_dir, f"assigned {window}", lambda: cl.assign_events(tb.events(spark, sf_dir), window_days=window))
 
 
-def _cluster_sql(window: int) -> str:
+def _cluster_sql(window: int, company: str = "company_id") -> str:
     """One event per company and step; seeds travel as a list."""
     return f"""{tb.EVENTS_SQL}, {KEYS_SQL},
-o AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY d NULLS LAST, event_id) AS n FROM k),
+o AS (SELECT * REPLACE ({company} AS company_id), row_number() OVER (PARTITION BY {company} ORDER BY d NULLS LAST, event_id) AS n FROM k),
 r AS (
   SELECT DISTINCT company_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS step,
     CAST(NULL AS BIGINT) AS canonical_id,
@@ -583,6 +583,14 @@ for _name, _window in (("seed_clusters", 30), ("seed_clusters_7d", 7)):
     query(_name, f"WITH RECURSIVE {_cluster_sql(_window)} SELECT * FROM asg")(_seed_query(_window))
 
 
+@query("cluster_slices", f"WITH RECURSIVE {_cluster_sql(30, 'company_id % 16')} SELECT * FROM asg")
+def cluster_slices(spark, sf_dir):
+    """Clusters of sixteen large companies, taken slice of days by slice of days."""
+    rows = tb.events(spark, sf_dir).withColumn("company_id", F.col("company_id") % 16)
+    assigned = cl.assign_events(rows, island_rows=0, slice_rows=120)
+    return assigned.select("event_id", "company_id", "action", "canonical_id")
+
+
 @query(
     "cluster_counts",
     f"""WITH RECURSIVE {_cluster_sql(30)} SELECT count(*) FILTER (action = 'new') AS new_canonical, count(*) FILTER (action = 'merged') AS merged,
