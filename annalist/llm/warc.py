@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,6 +21,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 24 << 20
 #: Most records of an archive file.
 FILE_RECORDS = 4000
+#: Bytes that are unpacked at once.
+PIECE = 1 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -59,7 +61,7 @@ def _line(name: str, value: Column | str) -> Column:
 
 
 def write(
-    pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z"
+    pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str | None = None
 ) -> None:
     """Write one record per page into archives below ``path``.
 
@@ -67,7 +69,7 @@ def write(
     Spark's text writer ends each record with the two line ends the format asks for,
     so the archives are gzip files of plain WARC records, committed like any Spark output;
     a lost executor's files are written again. White space in a URL is taken out; a null URL is ``urn:null``. ``date``
-    is the fresh record date. Null and empty payloads are records of zero bytes; an empty
+    is the record date, by default the time of writing. Files hold about ``FILE_BYTES`` of payloads, by their mean size. Null and empty payloads are records of zero bytes; an empty
     table writes empty archives.
     """
     rows = pages.select(
@@ -81,7 +83,7 @@ def write(
         _line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", _id(F.col("k"))),
         _line("WARC-Target-URI", F.col("u")),
-        _line("WARC-Date", date),
+        _line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is None else date),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(again, F.concat(_line("WARC-Profile", PROFILE), _line("WARC-Refers-To", _id(F.col("refers_to"))))).otherwise(F.lit("")),
         _line("Content-Type", "text/html; charset=utf-8"),
@@ -89,24 +91,50 @@ def write(
         F.lit("\r\n"),
     )
     record = F.concat(header, F.when(again, F.lit("")).otherwise(F.col("body")))
-    both.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def _records(data: bytes) -> Iterator[dict]:
-    """The records of one archive, payloads by their stated length."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
+    mean = rows.agg(F.avg(F.octet_length("body"))).first()[0] or 0.0
+    most = max(1, min(FILE_RECORDS, int(FILE_BYTES / max(mean, 1.0))))
+    both.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of all gzip members of a file, in pieces; a file that ends inside a member raises."""
+    while content.rstrip(b"\0"):
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            piece = member.decompress(content, PIECE)
+            content = member.unconsumed_tail
+            if piece:
+                yield piece
+            elif not member.eof and not content:
+                raise ValueError("an archive is cut short")
+        content = member.unused_data
+
+
+def _records(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """The records of one archive, payloads by their stated length; one record and one piece are held."""
+    pieces, held = iter(pieces), bytearray()
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            if (more := next(pieces, None)) is None:
+                return False
+            held.extend(more)
+        return True
+
+    while fill(1):
+        while (stop := held.find(b"\r\n\r\n")) < 0:
+            if not fill(len(held) + 1):
+                raise ValueError("a record is cut short")
+        lines = held[:stop].decode("utf-8").split("\r\n")
         if lines[0] != VERSION:
-            raise ValueError(f"no record at byte {at}: {lines[0][:40]!r}")
+            raise ValueError(f"no record here: {lines[0][:40]!r}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
         size = int(fields["Content-Length"])
-        body = data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
-        if len(body) != size or data[at - 4 : at] != b"\r\n\r\n":
+        end = stop + 4 + size
+        if not fill(end + 4) or held[end : end + 4] != b"\r\n\r\n":
             raise ValueError("a record is cut short")
-        yield fields | {"body": body}
+        yield fields | {"body": bytes(held[stop + 4 : end])}
+        del held[: end + 4]
 
 
 RECORDS = "page_id long, url string, record_type string, refers_to long, digest string, body binary"
@@ -115,7 +143,8 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, digest
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, digest, body): the records of the archives below ``path``.
 
-    A file is read whole by one task; ``FILE_RECORDS`` bounds it.
+    Archives may have a gzip member for each record or one for all. A task holds the packed
+    bytes of a file and one unpacked record; a file that is cut short raises.
     """
 
     def of(key: str | None) -> int | None:
@@ -126,7 +155,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for r in _records(zlib.decompress(content.as_py(), wbits=47)):
+                for r in _records(_unpacked(content.as_py())):
                     rows.append({
                         "page_id": of(r["WARC-Record-ID"]), "url": r["WARC-Target-URI"], "record_type": r["WARC-Type"],
                         "refers_to": of(r.get("WARC-Refers-To")), "digest": r["WARC-Payload-Digest"].removeprefix("sha1:"), "body": r["body"],
@@ -150,7 +179,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) with revisits joined to their responses.
 
     Length and digest are taken from the payload itself, for a revisit from that of the
-    response it names; a header digest that differs raises.
+    response it names; a header digest that differs, and a revisit without its response, raise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +197,9 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     responses = records.filter("record_type = 'response'")
     known = responses.groupBy(F.col("page_id").alias("o"), F.col("d").alias("od")).agg(F.max("n").alias("on"))
     revisits = records.filter("record_type = 'revisit'")
-    named = revisits.join(known, (F.col("refers_to") == F.col("o")) & (F.col("said") == F.col("od")))
+    named = revisits.join(known, (F.col("refers_to") == F.col("o")) & (F.col("said") == F.col("od")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))
+    named = named.withColumn("on", F.when(F.col("od").isNull(), lost.cast("long")).otherwise(F.col("on")))
     return responses.select("page_id", "url", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to").union(
         named.select("page_id", "url", "on", "od", "record_type", "refers_to")
     )

@@ -3,6 +3,8 @@ import gzip
 import hashlib
 from collections import Counter
 
+import pytest
+
 from annalist.llm import warc
 from annalist.llm.queries import QUERIES
 from annalist.llm.tables import shared_folder
@@ -45,11 +47,51 @@ def test_archives_are_plain_warc_records(spark):
     import glob
 
     data = b"".join(gzip.open(f).read() for f in glob.glob(f"{path.removeprefix('file:')}/*.gz"))
-    records = list(warc._records(data))
+    records = list(warc._records([data]))
     assert len(records) == len(PAGES) and {r["WARC-Type"] for r in records} == {"response", "revisit"}
     assert all(r["body"] == b"" and r["WARC-Profile"] == warc.PROFILE for r in records if r["WARC-Type"] == "revisit")
 
 
+def packed(records):
+    """One gzip member for each record."""
+    return b"".join(gzip.compress(r) for r in records)
+
+
+def record(kind, key, body, refers=None, digest=None):
+    lines = [warc.VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{key}>", "WARC-Target-URI: u", f"WARC-Payload-Digest: sha1:{digest or warc.digest(body)}"]
+    lines += [f"WARC-Refers-To: <urn:page:{refers}>"] if refers else []
+    return "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+
+def test_archives_with_a_member_for_each_record(spark, tmp_path):
+    bodies = [b"", b"a\r\n\r\nb", b"x" * 3_000_000]
+    whole = [record("response", k, b) for k, b in enumerate(bodies)] + [record("revisit", 9, b"", 2, warc.digest(bodies[2]))]
+    (tmp_path / "1.warc.gz").write_bytes(packed(whole))
+    rows = {r.page_id: r for r in warc.read_back(spark, str(tmp_path)).collect()}
+    assert {k: r.payload_bytes for k, r in rows.items()} == {0: 0, 1: 6, 2: 3_000_000, 9: 3_000_000} and rows[9].refers_to == 2
+    few = b"".join(whole[:2])
+    for n in (1, 5, 1000):
+        assert [r["body"] for r in warc._records(few[i : i + n] for i in range(0, len(few), n))] == bodies[:2]
+    cut = packed(whole)[:-9]
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc._records(warc._unpacked(cut)))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc._records(warc._unpacked(gzip.compress(whole[1][:-2]))))
+
+
+def test_a_revisit_without_its_response_raises(spark, tmp_path):
+    (tmp_path / "1.warc.gz").write_bytes(packed([record("response", 1, b"x"), record("revisit", 2, b"", 7, warc.digest(b"y"))]))
+    with pytest.raises(Exception, match="no response for the revisit of page 7"):
+        warc.read_back(spark, str(tmp_path)).collect()
+
+
+def test_large_pages_make_more_files(spark):
+    path = shared_folder(spark)
+    warc.write(table(spark, [(k, "u", f"{k} " * (3 << 20)) for k in range(12)]).coalesce(1), path)
+    assert spark.read.format("binaryFile").load(path).count() > 1
+    assert warc.read(spark, path).count() == 12
+
+
 def test_empty_table(spark):
     path = shared_folder(spark)
     warc.write(table(spark, []), path)
