@@ -342,6 +342,23 @@ def keyword_events(spark, sf_dir):
     return _keyword_events(spark, sf_dir)
 
 
+@query(
+    "pending_extraction",
+    f"WITH {KEYWORD_EVENTS_SQL} SELECT * FROM kev WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+)
+def pending_extraction(spark, sf_dir):
+    """Events of the documents, each one chunk, that have none yet; those with a label are taken as done."""
+    docs, labels = tb.documents(spark, sf_dir), tb.read(spark, sf_dir, "labels")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("raw_text").alias("text"))
+    made = ex.extract_pending(chunks, labels.select(F.col("doc_id").alias("chunk_id")), docs, tb.companies(spark, sf_dir), families=WORDS)
+    return made.drop("chunk_id")
+
+
+@query("company_names", f"WITH {tb.DOCUMENTS_SQL}, {tb.COMPANIES_SQL} SELECT name FROM comps")
+def company_names(spark, sf_dir):
+    return lk.company_names(tb.companies(spark, sf_dir))
+
+
 @query(
     "job_tasks",
     f"""SELECT item_id, list_filter({SENTENCES_SQL.format(t='text')}, lambda x: length(x) > 5)[1] AS first_task,
@@ -691,6 +708,23 @@ def dedupe_merge(spark, sf_dir):
     return dd.dedupe(_canonical(spark, sf_dir))
 
 
+class _TypeRule(pr.RuleClassifier):
+    """Canonical events of one type are the same, whatever their entity."""
+
+    def columns(self, a, b):
+        kind = F.when(a["event_type"].eqNullSafe(b["event_type"]), "same_event").otherwise("unrelated")
+        return F.struct(kind.alias("relationship_type"), F.lit(0.9).alias("confidence"), F.lit("").alias("rationale"))
+
+    def decide(self, a, b):
+        return ("same_event" if a["event_type"] == b["event_type"] else "unrelated"), 0.9
+
+
+@query("dedupe_across_entities")
+def dedupe_across_entities(spark, sf_dir):
+    """Canonical events of like texts and close dates merge by type: those that other entities kept apart."""
+    return dd.dedupe(_canonical(spark, sf_dir), _TypeRule())
+
+
 @query("dedupe_tally")
 def dedupe_tally(spark, sf_dir):
     """Pairs that a sequential pass over the canonical events meets, checks and merges."""
@@ -725,7 +759,7 @@ ts AS (SELECT company_id, n, {{'d': d, 'id': canonical_id, 'entity': entity, 'do
 tp AS (SELECT company_id, list(x ORDER BY n) AS pool FROM ts GROUP BY company_id),
 tr AS (
   SELECT company_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS step, CAST(NULL AS BIGINT) AS thread_id,
-    CAST([] AS STRUCT(id BIGINT, place BIGINT)[]) AS places, CAST([] AS STRUCT(id BIGINT, size BIGINT, last {_EVENT})[]) AS chains, CAST([] AS BIGINT[]) AS gone FROM tp
+    CAST([] AS STRUCT(id BIGINT, place BIGINT)[]) AS places, CAST([] AS STRUCT(id BIGINT, size BIGINT, last {_EVENT})[]) AS chains, CAST([] AS BIGINT[]) AS gone, CAST([] AS STRUCT(other BIGINT, holds BOOLEAN)[]) AS seen FROM tp
   UNION ALL
   SELECT company_id, n, x.id, CASE WHEN done THEN 'already_threaded' WHEN hit IS NOT NULL THEN 'appended_to_thread' WHEN mate IS NOT NULL THEN 'created_thread' ELSE 'standalone' END,
     CASE WHEN hit IS NOT NULL THEN hit.id WHEN mate IS NOT NULL THEN x.id END,
@@ -733,13 +767,16 @@ tr AS (
       WHEN mate IS NOT NULL THEN [{{'id': x.id, 'place': CASE WHEN mate.text <= x.text THEN 1 ELSE 0 END}}, {{'id': mate.id, 'place': CASE WHEN mate.text <= x.text THEN 0 ELSE 1 END}}] ELSE [] END,
     CASE WHEN hit IS NOT NULL THEN list_transform(chains, lambda c: CASE WHEN c.id = hit.id THEN {{'id': c.id, 'size': c.size + 1, 'last': x}} ELSE c END)
       WHEN mate IS NOT NULL THEN list_append(chains, {{'id': x.id, 'size': 2, 'last': CASE WHEN mate.text <= x.text THEN x ELSE mate END}}) ELSE chains END,
-    CASE WHEN hit IS NOT NULL THEN list_append(gone, x.id) WHEN mate IS NOT NULL THEN list_concat(gone, [x.id, mate.id]) ELSE gone END
-  FROM (SELECT *, CASE WHEN NOT done AND hit IS NULL THEN
-      list_filter(list_slice(list_sort(list_transform(list_filter(pool, lambda s: s.id <> x.id AND NOT list_contains(gone, s.id) AND {_NEAR.format(a='s', b='x')}),
-        lambda s: {{'gap': coalesce(abs(s.d - x.d), 1000000000), 'd': coalesce(s.d, DATE '9999-12-31'), 'id': s.id, 's': s}})), 1, 10), lambda c: {_RELATED.format(a='c.s', b='x')})[1].s END AS mate
-    FROM (SELECT *, CASE WHEN NOT done THEN list_filter(chains, lambda c: {_NEAR.format(a='c.last', b='x')} AND {_RELATED.format(a='c.last', b='x')})[1] END AS hit
-      FROM (SELECT ts.company_id, ts.n, ts.x, tp.pool, tr.chains, tr.gone, list_contains(tr.gone, ts.x.id) AS done
-        FROM tr JOIN ts ON ts.company_id = tr.company_id AND ts.n = tr.n + 1 JOIN tp ON tp.company_id = tr.company_id)))),
+    CASE WHEN hit IS NOT NULL THEN list_append(gone, x.id) WHEN mate IS NOT NULL THEN list_concat(gone, [x.id, mate.id]) ELSE gone END,
+    CASE WHEN done THEN [] ELSE list_concat(
+      list_transform(list_slice(met, 1, coalesce(list_position(list_transform(met, lambda c: c.id), hit.id), len(met))), lambda c: {{'other': c.last.id, 'holds': coalesce(c.id = hit.id, false)}}),
+      CASE WHEN hit IS NOT NULL THEN [] ELSE list_transform(list_slice(few, 1, coalesce(list_position(list_transform(few, lambda c: c.id), mate.id), len(few))), lambda c: {{'other': c.id, 'holds': coalesce(c.id = mate.id, false)}}) END) END
+  FROM (SELECT *, list_filter(few, lambda c: {_RELATED.format(a='c.s', b='x')})[1].s AS mate FROM (SELECT *, CASE WHEN NOT done AND hit IS NULL THEN
+      list_slice(list_sort(list_transform(list_filter(pool, lambda s: s.id <> x.id AND NOT list_contains(gone, s.id) AND {_NEAR.format(a='s', b='x')}),
+        lambda s: {{'gap': coalesce(abs(s.d - x.d), 1000000000), 'd': coalesce(s.d, DATE '9999-12-31'), 'id': s.id, 's': s}})), 1, 10) ELSE [] END AS few
+    FROM (SELECT *, list_filter(met, lambda c: {_RELATED.format(a='c.last', b='x')})[1] AS hit
+      FROM (SELECT *, CASE WHEN done THEN [] ELSE list_filter(chains, lambda c: {_NEAR.format(a='c.last', b='x')}) END AS met FROM (SELECT ts.company_id, ts.n, ts.x, tp.pool, tr.chains, tr.gone, list_contains(tr.gone, ts.x.id) AS done
+        FROM tr JOIN ts ON ts.company_id = tr.company_id AND ts.n = tr.n + 1 JOIN tp ON tp.company_id = tr.company_id)))))),
 act AS (SELECT id AS canonical_id, step AS action, thread_id FROM tr WHERE n > 0),
 te AS (SELECT thread_id, p.id AS canonical_id, p.place AS sequence_index FROM (SELECT thread_id, unnest(places) AS p FROM tr WHERE thread_id IS NOT NULL)),
 thr AS (SELECT a.thread_id, c.company_id, CASE WHEN entity <> '' THEN entity || ' 확장' ELSE coalesce(nullif(domain, ''), '이니셔티브') || ' 이니셔티브' END AS title
@@ -793,6 +830,31 @@ def _thread_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return canonical, th.new_threads(linked, canonical), th.thread_events(linked, canonical)
 
 
+@query(
+    "canonical_relationships",
+    f"""WITH RECURSIVE {THREADS_SQL}, seen AS (SELECT least(id, p.other) AS a_id, greatest(id, p.other) AS b_id, bool_or(p.holds) AS holds
+  FROM (SELECT id, unnest(seen) AS p FROM tr WHERE n > 0) GROUP BY ALL),
+f AS (SELECT s.*, a.entity AS ae, b.entity AS be, a.domain AS ad, b.domain AS bd, a.event_type AS a_kind, b.event_type AS b_kind
+  FROM seen s JOIN ce a ON a.canonical_id = a_id JOIN ce b ON b.canonical_id = b_id), t AS (SELECT *, {DECIDED_SQL} AS relationship_type FROM f)
+SELECT a_id, b_id, relationship_type, CASE relationship_type WHEN 'same_event' THEN 0.9::DOUBLE WHEN 'related_distinct' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence,
+  'llm' AS decided_by, CASE WHEN holds THEN 'auto_applied' ELSE 'pending' END AS review_status FROM t""",
+)
+def canonical_relationships(spark, sf_dir):
+    """Every pair of canonical events that threading compared, and what it decided."""
+    return th.relationships(_linked(spark, sf_dir), _canonical(spark, sf_dir), THREAD_RULE).drop("relationship_id", "rationale")
+
+
+@query(
+    "thread_last_members",
+    f"""WITH RECURSIVE {THREADS_SQL}, l AS (SELECT thread_id, arg_max(canonical_id, sequence_index) AS canonical_id, max(sequence_index) + 1 AS next_index FROM te GROUP BY thread_id)
+SELECT thread_id, canonical_id, CAST(next_index AS BIGINT) AS next_index, company_id, canonical_date, entity, domain FROM l JOIN ce USING (canonical_id)""",
+)
+def thread_last_members(spark, sf_dir):
+    """What a later run compares its new events with."""
+    canonical, _, rows = _thread_tables(spark, sf_dir)
+    return th.last_members(rows, canonical).select("thread_id", "canonical_id", "next_index", "company_id", "canonical_date", "entity", "domain")
+
+
 @query(
     "thread_cards",
     f"""WITH RECURSIVE {THREADS_SQL}, tm AS (SELECT te.*, c.canonical_date, c.date_precision FROM te JOIN ce c USING (canonical_id))
