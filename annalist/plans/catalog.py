@@ -703,7 +703,37 @@ def _sentence_events(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("dedupe_merge")
+def _ratio_sql(a: str, b: str) -> str:
+    """Indel ratio (0-100) of two texts: the longest common subsequence by one bit per letter of the first, letter by letter of the second."""
+    full = f"((CAST(1 AS HUGEINT) << CAST(length({a}) AS INTEGER)) - 1)"
+    mask = f"list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, i + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE CAST(0 AS HUGEINT) END))"
+    rows = f"list_reduce(list_concat([{full}], list_transform(string_split({b}, ''), lambda c: CAST({mask} AS HUGEINT))), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0 * (length({a}) - bit_count({rows})) / (length({a}) + length({b})) END"
+
+
+def _merges_sql(same: str) -> str:
+    """Similar pairs in the order of the timeline, company by company; texts have up to 120 letters, so a row of bits is one integer."""
+    return f"""{CANONICAL_SQL},
+sx AS (SELECT canonical_id AS id, company_id, event_type, entity, canonical_date, TRY_CAST(canonical_date AS DATE) AS d, {{'t': coalesce(canonical_date, '~'), 'n': canonical_id}} AS place,
+  array_to_string(list_sort(string_split(title, ' ')), ' ') AS title, array_to_string(list_sort(string_split(summary, ' ')), ' ') AS summary FROM ce),
+sp AS (SELECT a.company_id, CASE WHEN a.place < b.place THEN {{'x': a.place, 'y': b.place}} ELSE {{'x': b.place, 'y': a.place}} END AS o, coalesce({same}, false) AS same
+  FROM sx a JOIN sx b ON a.company_id = b.company_id AND a.id < b.id AND ((a.canonical_date IS NULL AND b.canonical_date IS NULL) OR abs(a.d - b.d) <= 3)
+  WHERE greatest({_ratio_sql('a.title', 'b.title')}, {_ratio_sql('a.summary', 'b.summary')}) >= 55),
+sl AS (SELECT company_id, list({{'x': o.x.n, 'y': o.y.n, 'same': same, 'checked': CAST(0 AS BIGINT), 'gone': CAST([] AS BIGINT[]), 'kept': CAST([] AS BIGINT[])}} ORDER BY o) AS pairs FROM sp GROUP BY company_id),
+sr AS (SELECT list_reduce(list_concat([{{'x': CAST(0 AS BIGINT), 'y': CAST(0 AS BIGINT), 'same': false, 'checked': CAST(0 AS BIGINT), 'gone': CAST([] AS BIGINT[]), 'kept': CAST([] AS BIGINT[])}}], pairs), lambda r, p:
+    CASE WHEN list_contains(r.gone, p.x) OR list_contains(r.gone, p.y) THEN r
+      ELSE {{'x': p.x, 'y': p.y, 'same': p.same, 'checked': r.checked + 1, 'gone': CASE WHEN p.same THEN list_append(r.gone, greatest(p.x, p.y)) ELSE r.gone END,
+        'kept': CASE WHEN p.same THEN list_append(r.kept, least(p.x, p.y)) ELSE r.kept END}} END) AS r FROM sl),
+mg AS (SELECT unnest(r.gone) AS remove_id, unnest(r.kept) AS next_id FROM sr),
+up AS (SELECT remove_id, next_id AS keep_id FROM mg UNION ALL SELECT up.remove_id, mg.next_id FROM up JOIN mg ON mg.remove_id = up.keep_id)"""
+
+
+MERGED_SQL = "SELECT remove_id, keep_id FROM up WHERE keep_id NOT IN (SELECT remove_id FROM mg)"
+TALLY_SQL = "SELECT (SELECT count(*) FROM sp) AS candidates, CAST((SELECT coalesce(sum(r.checked), 0) FROM sr) AS BIGINT) AS checked, (SELECT count(*) FROM mg) AS merged"
+SAME_RULE, SAME_TYPE = "a.entity <> '' AND a.entity = b.entity AND a.event_type = b.event_type", "a.event_type = b.event_type"
+
+
+@query("dedupe_merge", f"WITH RECURSIVE {_merges_sql(SAME_RULE)} {MERGED_SQL}")
 def dedupe_merge(spark, sf_dir):
     return dd.dedupe(_canonical(spark, sf_dir))
 
@@ -719,18 +749,24 @@ class _TypeRule(pr.RuleClassifier):
         return ("same_event" if a["event_type"] == b["event_type"] else "unrelated"), 0.9
 
 
-@query("dedupe_across_entities")
+@query("dedupe_across_entities", f"WITH RECURSIVE {_merges_sql(SAME_TYPE)} {MERGED_SQL}")
 def dedupe_across_entities(spark, sf_dir):
     """Canonical events of like texts and close dates merge by type: those that other entities kept apart."""
     return dd.dedupe(_canonical(spark, sf_dir), _TypeRule())
 
 
-@query("dedupe_tally")
+@query("dedupe_tally", f"WITH RECURSIVE {_merges_sql(SAME_RULE)} {TALLY_SQL}")
 def dedupe_tally(spark, sf_dir):
     """Pairs that a sequential pass over the canonical events meets, checks and merges."""
     return dd.dedupe_tally(_canonical(spark, sf_dir))
 
 
+@query("dedupe_tally_across_entities", f"WITH RECURSIVE {_merges_sql(SAME_TYPE)} {TALLY_SQL}")
+def dedupe_tally_across_entities(spark, sf_dir):
+    """The same pass, by type: pairs of events that are gone are not checked."""
+    return dd.dedupe_tally(_canonical(spark, sf_dir), _TypeRule())
+
+
 @query("dedupe_sentences")
 def dedupe_sentences(spark, sf_dir):
     """Merges among the sentence events: documents repeat each other, exactly and nearly."""
