@@ -16,7 +16,7 @@ def test_main_text_without_the_rest():
     for tag in ("article", "main", 'div id="content"'):
         assert H.main_text(PAGE % (tag, tag.split()[0]), {}) == MAIN
     weights = H.learn([PAGE % ("article", "article")] * 3)
-    assert all(w < 0 for f, w in weights.items() if f[0] == "<") and all(w > 0 for f, w in weights.items() if f[0] == "w")
+    assert all(w < 0 for f, w in weights.items() if f[0] == "<") and weights[".comments"] <= 0 and all(w > 0 for f, w in weights.items() if f[0] == "w")
     assert H.main_text(PAGE % ("article", "article"), weights) == MAIN
 
 
@@ -24,6 +24,38 @@ def test_left_out_elements_inside_a_block_do_not_break_it():
     assert H.main_text("<p>Hello <script>x</script>big <span class='ad'>buy</span>world <button>go</button>now</p>", {}) == "Hello big world now"
 
 
+BODY = "<h1>Title</h1><p>First words of the text.</p><p>More words of it.</p>"
+TEXT = "Title\nFirst words of the text.\nMore words of it."
+
+
+def test_names_of_wrappers_and_headings_cost_no_text():
+    for wrap in ('<div class="with-sidebar">%s</div>', '<div class="page has-header">%s</div>', '<div id="search-page">%s</div>', "<form>%s</form>"):
+        assert H.main_text(wrap % f"<article>{BODY}</article>", {}) == TEXT
+    assert H.main_text('<article><h2 id="related-work">Related work</h2><p>words here</p></article>', {}) == "Related work\nwords here"
+    assert H.main_text(f'<aside><article>{BODY}</article></aside><div><p>own words of the page</p></div>', {}) == "own words of the page"
+    assert H.main_text(f'<div class="main-comments"><article class="comment">{BODY}</article></div>', {}) == ""
+
+
+def test_several_articles_and_main():
+    second = BODY.replace("First", "Second")
+    both = f"<article>{BODY}</article><article>{second}</article>"
+    assert H.main_text(both, H.learn([both])) == TEXT + "\n" + TEXT.replace("First", "Second")
+    assert H.main_text(f"<main><h1>Above</h1><article>{BODY}</article></main>", {}) == "Above\n" + TEXT
+
+
+def test_learned_weights_decide():
+    junk = "<div><p>%s</p></div>" % ("unnamed words beside " * 30)
+    box = '<div class="zq-box"><p>%s</p></div>' % ("boxed words " * 40)
+    pages = [f"<body>{box}<article>{BODY}</article>{junk}</body>"] * 20
+    weights = H.learn(pages)
+    assert weights[".zq"] <= H.AWAY and H.main_text(pages[0], weights) == TEXT
+    assert "unnamed" in H.main_text(pages[0], {}) and "boxed" in H.main_text(pages[0], {})
+    # learned names hold on pages without a labelled element, and an empty article changes nothing
+    weights = H.learn([f"<body>{box}<article>{BODY}</article></body>"] * 20)
+    assert H.main_text(f"<body>{box}<div>{BODY}</div>{box}</body>", weights) == TEXT
+    assert H.main_text(f"<body><article></article><div>{BODY}</div></body>", weights) == TEXT
+
+
 def test_best_stretch_equals_brute_force():
     import random
 
