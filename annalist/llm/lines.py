@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from annalist.llm.tables import clean_names, map_rows, stored
+from annalist.llm.tables import clean_names, discard, map_rows, stored
 
 #: Words that an aligned block needs to be deleted; runs of lines of so many words are what documents are found by.
 BLOCK_WORDS = 25
@@ -81,36 +81,55 @@ class _Hashes(dict):
 
 
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` words."""
-    n = len(words) - size + 1
-    out = np.zeros(max(0, n), np.uint64)
-    if n > 0:
-        for j in range(size):
-            out *= _TURN
-            out += words[j : j + n]
-        out ^= out >> np.uint64(29)
-        out *= _MIX
-        out ^= out >> np.uint64(32)
-    return out
+    """Hash of each run of ``size`` words, put together from runs of one, two, four, ... words."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    out, done, runs, p = None, 0, words, 1
+    while size:
+        turn = np.uint64(pow(int(_TURN), p, 1 << 64))
+        if size & 1:
+            out, done = (runs if out is None else out[: len(runs) - done] * turn + runs[done:]), done + p
+        size >>= 1
+        if size:
+            runs = runs[: len(runs) - p] * turn + runs[p:]
+            p *= 2
+    out = out ^ (out >> np.uint64(29))
+    out *= _MIX
+    return out ^ (out >> np.uint64(32))
+
+
+def _least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    p = 1
+    while 2 * p <= width:
+        x = np.minimum(x[:-p], x[p:])
+        p *= 2
+    return np.minimum(x[: len(x) - width + p], x[width - p :]) if p < width else x
+
+
+def _word_hashes(text: str | None, least: int, hashes: _Hashes) -> np.ndarray:
+    own = text.split() if text else []
+    return np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)) if len(own) >= least else np.empty(0, np.uint64)
+
+
+def _anchor_of(words: np.ndarray, least: int) -> np.ndarray:
+    size = (least + 2) // 3
+    return _least_of(_window_hashes(words, size), least - size + 1).view(np.int64) if len(words) else np.empty(0, np.int64)
+
 
+def windows(text: str | None, least: int, hashes: _Hashes) -> np.ndarray:
+    """Hash of each run of ``least`` words, wherever its lines end."""
+    return _window_hashes(_word_hashes(text, least, hashes), least).view(np.int64)
 
-def windows(text: str | None, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of ``least`` words, wherever its lines end, and its anchor.
 
-    The anchor is the least hash among the shorter runs inside, so equal windows have equal
-    anchors, and neighbouring windows mostly share theirs.
+def anchored_windows(text: str | None, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``least`` words and its anchor.
+
+    The anchor is the least hash among the runs of a third as many words inside, so equal windows
+    have equal anchors, and neighbouring windows mostly share theirs.
     """
-    own = text.split() if text else []
-    if len(own) < least:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    words = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
-    size = least - least // 3
-    short = _window_hashes(words, size)
-    n = len(own) - least + 1
-    anchor = short[:n].copy()
-    for j in range(1, least - size + 1):
-        np.minimum(anchor, short[j : j + n], out=anchor)
-    return _window_hashes(words, least).view(np.int64), anchor.view(np.int64)
+    words = _word_hashes(text, least, hashes)
+    return _window_hashes(words, least).view(np.int64), _anchor_of(words, least)
 
 
 def _covered(starts: np.ndarray, n: int, least: int) -> np.ndarray:
@@ -313,7 +332,9 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
         columns = list(zip(*out)) if out else [[], [], [], []]
         return {n: pa.array(columns[i], pa.int64()) for i, n in enumerate(("doc", "earlier", "start", "end"))}
 
-    return map_rows(both, lambda: align, "doc long, earlier long, start long, end long")
+    out = stored(map_rows(both, lambda: align, "doc long, earlier long, start long, end long"))
+    discard(lines)
+    return out
 
 
 def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
@@ -330,10 +351,10 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
 
     def anchored(b: pa.RecordBatch) -> dict:
         known = _Hashes()
-        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array([np.unique(windows(t, least, known)[1]) for t in b.column(1).to_pylist()], ints)}
+        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array([np.unique(_anchor_of(_word_hashes(t, least, known), least)) for t in b.column(1).to_pylist()], ints)}
 
-    each = stored(map_rows(rows, lambda: anchored, "doc long, anchors array<long>").filter("doc is not null and size(anchors) > 0"))
-    each = each.select("doc", F.explode("anchors").alias("anchor"))
+    anchors = stored(map_rows(rows, lambda: anchored, "doc long, anchors array<long>").filter("doc is not null and size(anchors) > 0"))
+    each = anchors.select("doc", F.explode("anchors").alias("anchor"))
     met = each.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     # computed keys, as in deletions: what very many documents share is split
     met = met.select(F.col("anchor").bitwiseXOR(F.lit(0).cast("long")).alias("a"))
@@ -343,7 +364,7 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
     def given(b: pa.RecordBatch) -> dict:
         known, out = _Hashes(), []
         for t, near, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            hashes, anchor = windows(t, least, known)
+            hashes, anchor = anchored_windows(t, least, known)
             wanted = np.isin(anchor, np.array(near, np.int64))
             if spans:
                 kept = np.r_[0, (~_in_lines(t, [(x["start"], x["end"]) for x in spans])).cumsum()]
@@ -351,12 +372,15 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
             out.append(np.unique(hashes[wanted]))
         return {"doc": b.column(0), "windows": pa.array(out, ints)}
 
-    some = stored(map_rows(held, lambda: given, "doc long, windows array<long>").filter("size(windows) > 0"))
-    some = some.select("doc", F.explode("windows").alias("window"))
+    kept = stored(map_rows(held, lambda: given, "doc long, windows array<long>").filter("size(windows) > 0"))
+    discard(anchors)
+    some = kept.select("doc", F.explode("windows").alias("window"))
     owners = some.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
     owners = owners.select(F.col("window").bitwiseXOR(F.lit(0).cast("long")).alias("w"), "owner")
     later = some.join(owners, F.col("window") == F.col("w")).filter("owner < doc")
-    return later.groupBy(F.col("doc").alias("cut_doc")).agg(F.collect_set("window").alias("cut_windows"), F.collect_set("owner").alias("cut_owners"))
+    out = stored(later.groupBy(F.col("doc").alias("cut_doc")).agg(F.collect_set("window").alias("cut_windows"), F.collect_set("owner").alias("cut_owners")))
+    discard(kept)
+    return out
 
 
 def _without(line: str, gone: np.ndarray) -> str:
@@ -415,7 +439,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     an empty table gives no rows. Columns named like the new ones are replaced.
     """
     gone = stored(deletions(docs, key, text, least).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_list(F.struct("start", "end")).alias("gone_spans"), F.collect_set("earlier").alias("gone_owners")))
-    cut = stored(shared_windows(docs, gone, key, text, least))
+    cut = shared_windows(docs, gone, key, text, least)
     rows = docs.drop("n_removed", "n_cut", "shared_with", *gone.columns, *cut.columns)
     doc = F.col(f"`{key}`").cast("long")
     both = rows.join(gone, doc == F.col("gone_doc"), "left").join(cut, doc == F.col("cut_doc"), "left")
@@ -433,7 +457,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             s, w, words = [(x["start"], x["end"]) for x in s or []], found[i], None
             if w.is_valid:
                 t = new[i]
-                words = _covered(np.flatnonzero(np.isin(windows(t, least, known)[0], w.values.to_numpy())), len(t.split()), least)
+                words = _covered(np.flatnonzero(np.isin(windows(t, least, known), w.values.to_numpy())), len(t.split()), least)
                 cuts[i] = int((words & ~_in_lines(t, s)).sum())
             if s or words is not None:
                 new[i], counts[i] = cut_lines(new[i], s, words)
