@@ -67,17 +67,53 @@ def run_keys(hashes: list[int], counts: list[int], least: int) -> list[int]:
 
 
 _WORD = re.compile(r"\S+")
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TURN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+#: Bytes of a text whose words are hashed in one step; steps end at spaces.
+STEP_BYTES = 1 << 16
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_DIGIT = np.where(_SPACE, np.uint64(0), np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64))
+_POWERS, _BACK = (
+    np.multiply.accumulate(np.r_[np.uint64(1), np.full(STEP_BYTES - 1, x, np.uint64)]) for x in (_TURN, np.uint64(pow(int(_TURN), -1, 1 << 64)))
+)
 
-class _Hashes(dict):
-    """Hash of each word, remembered while it is asked for."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode())
-        return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x *= _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hash of each word of ``text.split()``, from the values of its bytes, each turned by its place in the word."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    if not text.isascii() and _WIDE.search(text):
+        text = _WIDE.sub(" ", text)
+    raw = text.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while at < len(raw):
+        end = at + STEP_BYTES
+        if end < len(raw):
+            cut = raw.rfind(b" ", at, end)
+            end = cut + 1 if cut >= 0 else (raw.find(b" ", end) + 1 or len(raw))
+        part = np.frombuffer(raw, np.uint8, min(end, len(raw)) - at, at)
+        at = end
+        blank = _SPACE[part]
+        first = ~blank
+        first[1:] &= blank[:-1]
+        starts = np.flatnonzero(first)
+        if len(starts) == 0:
+            continue
+        if len(part) <= len(_POWERS):
+            sums = np.cumsum(_DIGIT[part] * _POWERS[: len(part)])
+            till = np.r_[sums[starts[1:] - 1], sums[-1]]
+            out.append(_mixed(np.diff(till, prepend=np.uint64(0)) * _BACK[starts]))
+        else:  # a part without a space: its words start again at the first power
+            place = np.arange(starts[0], len(part)) - np.repeat(starts, np.diff(np.r_[starts, len(part)]))
+            out.append(_mixed(np.add.reduceat(_DIGIT[part[starts[0] :]] * _POWERS[place % len(_POWERS)], starts - starts[0])))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -93,9 +129,7 @@ def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         if size:
             runs = runs[: len(runs) - p] * turn + runs[p:]
             p *= 2
-    out = out ^ (out >> np.uint64(29))
-    out *= _MIX
-    return out ^ (out >> np.uint64(32))
+    return _mixed(out)
 
 
 def _least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -107,28 +141,23 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - width + p], x[width - p :]) if p < width else x
 
 
-def _word_hashes(text: str | None, least: int, hashes: _Hashes) -> np.ndarray:
-    own = text.split() if text else []
-    return np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)) if len(own) >= least else np.empty(0, np.uint64)
-
-
 def _anchor_of(words: np.ndarray, least: int) -> np.ndarray:
     size = (least + 2) // 3
-    return _least_of(_window_hashes(words, size), least - size + 1).view(np.int64) if len(words) else np.empty(0, np.int64)
+    return _least_of(_window_hashes(words, size), least - size + 1).view(np.int64) if len(words) >= least else np.empty(0, np.int64)
 
 
-def windows(text: str | None, least: int, hashes: _Hashes) -> np.ndarray:
+def windows(text: str | None, least: int) -> np.ndarray:
     """Hash of each run of ``least`` words, wherever its lines end."""
-    return _window_hashes(_word_hashes(text, least, hashes), least).view(np.int64)
+    return _window_hashes(word_hashes(text), least).view(np.int64)
 
 
-def anchored_windows(text: str | None, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+def anchored_windows(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``least`` words and its anchor.
 
     The anchor is the least hash among the runs of a third as many words inside, so equal windows
     have equal anchors, and neighbouring windows mostly share theirs.
     """
-    words = _word_hashes(text, least, hashes)
+    words = word_hashes(text)
     return _window_hashes(words, least).view(np.int64), _anchor_of(words, least)
 
 
@@ -350,8 +379,7 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
     ints = pa.list_(pa.int64())
 
     def anchored(b: pa.RecordBatch) -> dict:
-        known = _Hashes()
-        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array([np.unique(_anchor_of(_word_hashes(t, least, known), least)) for t in b.column(1).to_pylist()], ints)}
+        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array([np.unique(_anchor_of(word_hashes(t), least)) for t in b.column(1).to_pylist()], ints)}
 
     anchors = stored(map_rows(rows, lambda: anchored, "doc long, anchors array<long>").filter("doc is not null and size(anchors) > 0"))
     each = anchors.select("doc", F.explode("anchors").alias("anchor"))
@@ -362,9 +390,9 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
     held = rows.select(doc.alias("doc"), F.col(f"`{text}`").alias("t")).join(near, F.col("doc") == F.col("near_doc")).join(gone, F.col("doc") == F.col("gone_doc"), "left").select("doc", "t", "near", "gone_spans")
 
     def given(b: pa.RecordBatch) -> dict:
-        known, out = _Hashes(), []
+        out = []
         for t, near, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            hashes, anchor = anchored_windows(t, least, known)
+            hashes, anchor = anchored_windows(t, least)
             wanted = np.isin(anchor, np.array(near, np.int64))
             if spans:
                 kept = np.r_[0, (~_in_lines(t, [(x["start"], x["end"]) for x in spans])).cumsum()]
@@ -450,14 +478,14 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def of(b: pa.RecordBatch) -> dict:
-        texts, known = b.column(kept.index(text)), _Hashes()
+        texts = b.column(kept.index(text))
         spans, found = b.column(len(kept)).to_pylist(), b.column(len(kept) + 1)
         new, counts, cuts = texts.to_pylist(), [0] * b.num_rows, [0] * b.num_rows
         for i, s in enumerate(spans):
             s, w, words = [(x["start"], x["end"]) for x in s or []], found[i], None
             if w.is_valid:
                 t = new[i]
-                words = _covered(np.flatnonzero(np.isin(windows(t, least, known), w.values.to_numpy())), len(t.split()), least)
+                words = _covered(np.flatnonzero(np.isin(windows(t, least), w.values.to_numpy())), len(t.split()), least)
                 cuts[i] = int((words & ~_in_lines(t, s)).sum())
             if s or words is not None:
                 new[i], counts[i] = cut_lines(new[i], s, words)
