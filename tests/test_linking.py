@@ -171,6 +171,20 @@ def test_slices_write_each_row_a_bounded_number_of_times(spark, tmp_path, monkey
     assert written[1] < 4.4 * written[0]
 
 
+def test_jobs_do_not_grow_with_slices(spark):
+    rows, rule, jobs = chain(240), pr.RuleClassifier(related=0.8), spark.sparkContext.statusTracker()
+    try:
+        for name, run in (
+            ("clusters", lambda: cl.assign_events(frame(spark, rows), island_rows=0, slice_rows=3)),
+            ("threads", lambda: th.link_threads(frame(spark, rows, ("canonical_id", "canonical_date")), window_days=20, classifier=rule, slice_rows=3)),
+        ):
+            spark.sparkContext.setJobGroup(name, name)
+            run().collect()
+            assert 0 < len(jobs.getJobIdsForGroup(name)) < 60  # 80 slices
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_slices_go_on_from_existing_threads(spark):
     """A run over later events with the last members of earlier threads equals one run, undated ones apart."""
     rule, rows = pr.RuleClassifier(related=0.8), sample(11, 200, span=150, entities=5, companies=1)
