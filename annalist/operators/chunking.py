@@ -21,10 +21,11 @@ OVERLAP = 80
 MAX_SECTION = 1500
 MIN_SECTION_BODY = 40
 
-# Heading patterns.
-MARKDOWN_HEADING = r"^#{1,6}\s+.+$"
-SECTION_HEADING = r"^(?:#{1,6}\s+.+|[IVXLCDM]+\.\s+.+|\d+(?:\.\d+)*\.?\s+.+|[가-힣]\.\s+.+|【.+?】.*)$"
-ROMAN_HEADING = r"^([IVXLCDM]+)\.\s+(.+)$"
+# Heading patterns; a heading is one line, so a number or mark alone in its line is none.
+_GAP = r"[^\S\n]+"
+MARKDOWN_HEADING = rf"^#{{1,6}}{_GAP}.+$"
+SECTION_HEADING = rf"^(?:#{{1,6}}{_GAP}.+|[IVXLCDM]+\.{_GAP}.+|\d+(?:\.\d+)*\.?{_GAP}.+|[가-힣]\.{_GAP}.+|【.+?】.*)$"
+ROMAN_HEADING = rf"^([IVXLCDM]+)\.{_GAP}(.+)$"
 PERIODIC_TITLE = r"(사업보고서|분기보고서|반기보고서)"
 BUSINESS_SECTION = "사업의 내용"
 

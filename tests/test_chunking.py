@@ -157,3 +157,11 @@ def test_markup_to_text(spark):
     r = df.select(tx.html_to_text(F.col("h")).alias("t"), tx.strip_tags(F.lit("<b>x</b> y")).alias("s")).first()
     assert r.t == "T & U\naAb\nc · 😀"
     assert r.s == "x y"
+
+
+def test_a_number_alone_in_its_line_is_no_heading(spark):
+    body = "words of a body that is long enough to stand alone"
+    text = f"148.9.179.169.\n{body}\n2. Two\n{body}\n3\n{body}"
+    assert [(c.heading, c.text) for c in run(spark, [text], ch.section_chunks)[0]] == [("2. Two", f"2. Two\n{body}\n3\n{body}")]
+    text = f"# \nlost\n# One\n{body}"
+    assert [(c.heading, c.text) for c in run(spark, [text], ch.heading_chunks)[0]] == [("# One", f"# One\n{body}")]
