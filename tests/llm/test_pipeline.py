@@ -12,7 +12,7 @@ from tests.llm import brute
 from tests.llm.test_decontaminate import expected as contaminated
 from tokenizers import Tokenizer
 
-from annalist.llm import toxicity as T
+from annalist.llm import simhash as S, toxicity as T
 
 
 def without_shared_windows(docs, least=25):
@@ -82,6 +82,15 @@ def test_near_dedup_of_uncut_texts(spark, sf, got):
     assert texts(P.one_of_each(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)) == near_dedup(got[0]) != got[0]
 
 
+def test_near_dedup_goes_through_the_simhash_index(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(words[::-1])), (4, None), (5, "w1")]
+    met = []
+    monkeypatch.setattr(S, "_by_fingerprint", lambda texts, by=S._by_fingerprint: met.append(by(texts)) or met[-1])
+    assert texts(P.one_of_each(spark, brute.docs(spark, rows), "")) == near_dedup(dict(rows)) != dict(rows)
+    assert {r.rep for r in met[0].collect()} == {1, 2}
+
+
 def test_decontamination_keeps_documents_without_windows(spark, sf, got):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     assert got[4] == {k: t for k, t in got[3].items() if not contaminated(t, items)[1]} != got[3]
