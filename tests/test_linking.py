@@ -351,6 +351,33 @@ def test_a_model_may_merge_across_entities(spark):
     assert dd.dedupe_tally(df, DomainRule()).first().asDict() == {"candidates": candidates, "checked": checked, "merged": len(keep)}
 
 
+def test_one_title_settles_a_group_without_its_summaries(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for i in rng.sample(range(500), 150):
+        day = rng.choice([None, *[f"2024-01-{d:02}" for d in range(1, 9)]])
+        rows.append((i, 1, day, rng.choice("AB"), rng.choice("xy"), "t1", "A: t1", "".join(rng.choices("abcdefgh ", k=40))))
+    df = spark.createDataFrame(rows, "canonical_id long, company_id long, canonical_date string, entity string, domain string, event_type string, title string, summary string")
+    read = []
+    monkeypatch.setattr(dd, "similar_pairs", lambda rows, by=dd.similar_pairs, **o: read.append(by(rows, **o)) or read[-1])
+    got = {r.remove_id: r.keep_id for r in dd.dedupe(df).collect()}
+
+    order, keep = sorted(rows, key=lambda r: (r[2] is None, r[2] or "", r[0])), {}
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            near = a[2] == b[2] or (a[2] and b[2] and int(b[2][-2:]) - int(a[2][-2:]) <= 3)
+            if near and a[3] == b[3] and a[0] not in keep and b[0] not in keep:
+                keep[max(a[0], b[0])] = min(a[0], b[0])
+
+    def root(x):
+        while x in keep:
+            x = keep[x]
+        return x
+
+    assert got == {x: root(x) for x in keep}
+    texts = read[0][1].select("text_id").distinct().count()
+    assert texts == len({(r[2], r[3], r[4]) for r in rows}) < 40
+
+
 def test_merges_rewrite_every_table(spark):
     merges = spark.createDataFrame([(2, 1)], "remove_id long, keep_id long")
     members = spark.createDataFrame([(1, 10, True), (2, 20, True)], "canonical_id long, event_id long, is_seed boolean")
