@@ -32,7 +32,9 @@ def _plain(text: str) -> bool:
 @cache
 def plain_words() -> re.Pattern:
     """The vocabulary's words, for lower-cased plain texts alone (the small dotted i has a mark of its own)."""
-    of = {k: "".join(chr(c) for c in range(128, ord(PLAIN)) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    # two capitals have small letters far beyond the plain ones
+    there = sorted({x for c in range(128, ord(PLAIN)) for x in chr(c) + chr(c).lower()})
+    of = {k: "".join(x for x in there if unicodedata.category(x)[0] == k) for k in "LN"}
     letters, numbers = "a-zA-Z" + of["L"], "0-9" + of["N"]
     return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
 

@@ -37,6 +37,12 @@ def test_ids_of_texts(public, own, text):
     assert own.ids(text) == public.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_all_plain_characters_beside_marks_and_letters(public, own):
+    for c in map(chr, range(1, 0x300)):
+        for text in (c, f":{c}", f"a{c}", f"{c}a", f"1{c}", f" {c} "):
+            assert own.ids(text) == public.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "I'll", "ΑΣ", "é", "日本", "a1²", "\x1c", " ", "\n", "...!", "x" * 600, " " * 600, "ª", "_"]), max_size=8))
 def test_ids_of_odd_marks(public, own, parts):
