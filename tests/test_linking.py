@@ -212,6 +212,33 @@ def test_new_events_extend_existing_threads(spark):
     assert [(r.thread_id, r.sequence_index) for r in out if r.kind == "member"] == [(5, 2)]
 
 
+def test_large_ids_of_threads_stay_exact(spark):
+    """Rows of many small companies share a batch, those of old threads and those of events."""
+    big = 2**60 + 1
+    last = [(big + i, i, "2024-01-05", "A", "x", "t1", big + i, 2) for i in range(40)]
+    old = spark.createDataFrame(last, "canonical_id long, company_id long, canonical_date string, entity string, domain string, event_type string, thread_id long, next_index long")
+    rows = [dict(id=i, company=i, date="2024-02-01", entity="A", domain=None, event_type="t2", official=True) for i in range(40)]
+    linked = th.link_threads(frame(spark, rows, ("canonical_id", "canonical_date")), old, classifier=pr.RuleClassifier(related=0.8))
+    assert {r.canonical_id: (r.thread_id, r.sequence_index) for r in linked.collect() if r.kind == "member"} == {i: (big + i, 2) for i in range(40)}
+    events = [dict(id=big + i, company=i % 20, date="2024-02-01", entity="A", domain=None, event_type="t2", official=i % 3 > 0) for i in range(40)]
+    for size in (100, 0):
+        seeds = cl.assign_events(frame(spark, events), island_rows=size).where("action = 'new'").collect()
+        assert seeds and all(r.canonical_id == r.event_id for r in seeds)
+
+
+def test_small_groups_are_read_as_one_stream(spark, capsys):
+    """A table made per group costs more than its few turns: tasks read many groups in a row."""
+    rows = sample(5, 120, companies=30)
+    for df in (cl.assign_events(frame(spark, rows)), th.link_threads(frame(spark, rows, ("canonical_id", "canonical_date")))):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+    acts, spots = md.threads(rows, 20, pr.RuleClassifier(related=0.8))
+    out = th.link_threads(frame(spark, rows, ("canonical_id", "canonical_date")), window_days=20, classifier=pr.RuleClassifier(related=0.8)).collect()
+    assert {r.canonical_id: r.action for r in out if r.kind == "action"} == acts
+    assert {r.canonical_id: (r.thread_id, r.sequence_index) for r in out if r.kind == "member"} == spots
+
+
 def test_default_scores_leave_events_alone(spark):
     df = frame(spark, sample(4, 40), ("canonical_id", "canonical_date"))
     assert th.tally(th.link_threads(df)).first().standalone == 40
