@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from annalist.functions.similarity import best_window, ratio
+from annalist.functions import similarity
+from annalist.functions.similarity import best_window, best_windows, ratio
 from annalist.operators import evidence as ev
 
 CHUNK = (
@@ -73,6 +74,17 @@ def test_best_window_is_the_best_of_all_windows():
         assert abs(score - 2 * lcs(a, b[s:e]) / (m + e - s)) < 1e-12
 
 
+def test_rows_of_like_lengths_are_searched_together(monkeypatch):
+    rng = random.Random(2)
+    quotes = ["".join(rng.choice("abcd ") for _ in range(rng.randint(40, 45))) for _ in range(200)]
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(200, 220))) for _ in quotes]
+    passes, plain = [], similarity._strands
+    monkeypatch.setattr(similarity, "_strands", lambda a, b: passes.append(1) or plain(a, b))
+    together = best_windows(quotes, texts)
+    assert len(passes) < 10
+    assert together == [best_window(q, t) for q, t in zip(quotes, texts)]
+
+
 def test_ratio_definition():
     assert ratio("", "") == 1.0 and ratio("a", "") == 0.0
     assert abs(ratio("lewenstein", "levenshtein") - 2 * lcs("lewenstein", "levenshtein") / 21) < 1e-12
