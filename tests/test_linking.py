@@ -342,6 +342,20 @@ def test_similar_pairs_and_merges(spark):
     assert {r.remove_id: r.keep_id for r in merges.collect()} == {x: root(x) for x in keep}
 
 
+def test_small_tiles_share_a_stream(spark):
+    rows = [(i, i % 40, *r[2:]) for i, r in enumerate(canon_rows())]
+    df = spark.createDataFrame(rows, CANON)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pairs, members = dd.similar_pairs(df, tile_rows=3)
+        assert "FlatMapGroups" not in pairs._jdf.queryExecution().toString()
+        got = [(r.a_id, r.b_id) for r in dd.expand_pairs(pairs, members).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and similar(a, b)}
+    assert len(got) == len(set(got)) and set(got) == wanted and wanted
+
+
 class DomainRule(pr.RuleClassifier):
     """Events of one domain are the same, whatever their entity and type."""
 
