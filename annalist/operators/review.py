@@ -143,6 +143,7 @@ def _resolve(pairs: DataFrame, start: DataFrame) -> DataFrame:
     approval; a pair takes the target of a, else of b, else opens one named after a.
     Chains of such references are followed by doubling.
     """
+    pairs = cut(pairs)  # read three times, and dear to make
     ends = pairs.select("decision_no", F.explode(F.array("a_id", "b_id")).alias("x"))
     first = ends.join(start.select("x"), "x", "left_anti").groupBy("x").agg(F.min("decision_no").alias("n"))
     rows = pairs
@@ -159,17 +160,17 @@ def _resolve(pairs: DataFrame, start: DataFrame) -> DataFrame:
         F.when(seen["a"], F.col("_a1")).when(~known["a"] & seen["b"], F.col("_b1")).alias("_via"),
     )
     state = cut(placed.withColumn("target", F.when(F.col("_via").isNull(), F.col("target"))))
-    while not state.where(F.col("_via").isNotNull()).isEmpty():
+    while not (waiting := state.where(F.col("_via").isNotNull())).isEmpty():
         up = state.select(F.col("decision_no").alias("_via"), F.col("target").alias("_t"), F.col("_via").alias("_u"))
-        state = cut(
-            state.join(up, "_via", "left").select(
-                *pairs.columns,
-                "a_known",
-                "b_known",
-                F.coalesce("target", "_t").alias("target"),
-                F.when(F.col("target").isNull() & F.col("_t").isNull(), F.col("_u")).alias("_via"),
-            )
+        moved = waiting.join(up, "_via", "left").select(
+            *pairs.columns,
+            "a_known",
+            "b_known",
+            F.coalesce("target", "_t").alias("target"),
+            F.when(F.col("target").isNull() & F.col("_t").isNull(), F.col("_u")).alias("_via"),
         )
+        # placed rows stay out of the join: their null keys would all meet in one task
+        state = cut(state.where(F.col("_via").isNull()).unionByName(moved))
     return state.drop("_via")
 
 

@@ -74,5 +74,17 @@ def test_near_duplicates_count_links_and_name_classes(spark):
     assert any(kind[a] != kind[b] for a, b in pairs) and any(k != c for k, (_, c) in got.items())
 
 
+def test_pairs_of_large_ids_keep_numbers_of_their_own(spark, tmp_path):
+    """1 with 10,000,005 and 2 with 5 had one number when the first id was multiplied by ten million."""
+    os.symlink(f"{DATA}/documents.parquet", tmp_path / "documents.parquet")
+    rows = [(i, "2024-01-02", c, "view", 1.0, '{"k": 7}') for i, c in ((1, 1), (10_000_005, 1), (2, 2), (5, 2))]
+    kinds = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "doc_id long, toxic long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    pairs, decided = catalog._pair_decisions(spark, str(tmp_path), "same_event")
+    assert pairs.count() == decided.select("decision_no").distinct().count() == 2
+    assert contract.queries()["approve_event_pairs"](spark, str(tmp_path)).count() == 4
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
