@@ -356,6 +356,27 @@ def test_small_tiles_share_a_stream(spark):
     assert len(got) == len(set(got)) and set(got) == wanted and wanted
 
 
+def test_settled_pairs_leave_the_rounds(spark, monkeypatch):
+    sizes, plain = [], dd.cut
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(dd, "cut", counted)
+    pairs = [(0, i) for i in range(1, 31)] + [(i, i + 1) for i in range(100, 110)] + [(3, 105), (50, 104)]
+    keep = {}
+    for a, b in pairs:
+        if a not in keep and b not in keep:
+            keep[b] = a
+    df = spark.createDataFrame([(n, *p) for n, p in enumerate(pairs)], "order long, a_id long, b_id long")
+    got = dd.accepted_merges(df)
+    assert {r.remove_id: r.keep_id for r in got.collect()} == keep
+    assert sizes[-1] <= 2 < 30 < sizes[0]
+    assert dd.accepted_merges(df.where("a_id < 0")).count() == 0
+
+
 class DomainRule(pr.RuleClassifier):
     """Events of one domain are the same, whatever their entity and type."""
 
