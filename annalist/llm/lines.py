@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,60 +24,128 @@ ENDS = ("\n", ". ", "! ", "? ")
 
 def split_lines(text: str | None) -> list[str]:
     """Lines with what parts them from the next; joined they are the text."""
-    parts = [text] if text else []
+    if not text:
+        return []
+    mark = "\0"  # put after each end; longer than any run of it in the text
+    while mark in text:
+        mark += mark
     for end in ENDS:
-        if any(end in p for p in parts):
-            cut = []
-            for p in parts:
-                if end in p:
-                    *whole, last = p.split(end)
-                    cut += [x + end for x in whole]
-                    if last:
-                        cut.append(last)
-                else:
-                    cut.append(p)
-            parts = cut
-    return parts
+        text = text.replace(end, end + mark)
+    out = text.split(mark)
+    return out if out[-1] else out[:-1]
 
 
 def line_table(text: str | None) -> tuple[list[int], list[int]]:
     """Hash and number of words of each line, white space at its ends left out; a blank line has no words."""
-    hashes, counts = [], []
     digest = xxhash.xxh64_intdigest
-    for line in split_lines(text):
-        bare = line.strip()
-        hashes.append(digest(bare.encode()) >> 1)
-        counts.append((len(bare.split()) if "  " in bare else bare.count(" ") + 1) if bare else 0)
-    return hashes, counts
+    bare = [line.strip() for line in split_lines(text)]
+    counts = [(len(x.split()) if "  " in x else x.count(" ") + 1) if x else 0 for x in bare]
+    return [digest(x.encode()) >> 1 for x in bare], counts
+
+
+def _plain_tables(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``line_table`` says, and where each line begins; white space is that of bytes."""
+    part = np.frombuffer(raw, np.uint8)
+    ends = part == 10
+    ends[1:] |= ((part == 46) | (part == 33) | (part == 63))[:-1] & (part[1:] == 32)
+    bounds = np.r_[0, np.flatnonzero(ends) + 1, len(raw)]
+    places, digest = bounds.tolist(), xxhash.xxh64_intdigest
+    bare = [raw[s:e].strip() for s, e in zip(places, places[1:])]
+    hashes = np.array([digest(x) >> 1 for x in bare], np.int64)
+    lengths = np.fromiter(map(len, bare), np.int64, len(bare))
+    till = np.cumsum(lengths + 1)
+    blank = np.frombuffer(b"\n".join([*bare, b""]), np.uint8) == 32
+    counts = np.where(lengths > 0, np.diff(blank.cumsum(dtype=np.int32)[till - 1], prepend=0) + 1, 0)
+    for i in np.unique(np.searchsorted(till, np.flatnonzero(blank[1:] & blank[:-1]), "right")).tolist():
+        counts[i] = len(bare[i].split())
+    return hashes, counts.astype(np.int64), bounds[:-1]
+
+
+def line_runs(texts: list[str | None], least: int) -> tuple[np.ndarray, ...]:
+    """The lines of texts that are not blank, and their runs as in ``run_keys``, hashed in one step.
+
+    Hashes and numbers of words of all lines, where each text's begin (and the last's end); the runs,
+    once for each text, and where each text's begin.
+    """
+    hashes, counts, sizes, raws, size = [], [], [], [], 0
+
+    def take() -> None:
+        if raws:
+            h, c, begins = _plain_tables(b"\n".join(raws))
+            hashes.append(h)
+            counts.append(c)
+            sizes.append(np.diff(np.searchsorted(begins, np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])), append=len(h)))
+            raws.clear()
+
+    for t in texts:
+        raw = (t or "").encode()
+        if _RARE.search(raw) or not raw.isascii() and _has_wide(raw):
+            take()
+            h, c = line_table(t)
+            hashes.append(np.array(h, np.int64))
+            counts.append(np.array(c, np.int64))
+            sizes.append([len(h)])
+            continue
+        raws.append(raw)
+        size += len(raw)
+        if size >= GROUP_BYTES:
+            take()
+            size = 0
+    take()
+    none = np.zeros(0, np.int64)
+    lines, words, edges = np.concatenate([*hashes, none]), np.concatenate([*counts, none]), np.cumsum(np.concatenate([[0], *sizes, none]))
+    filled = words > 0
+    edges = np.r_[0, filled.cumsum()][edges]
+    lines, words = lines[filled], words[filled]
+    till, n = words.cumsum(), len(lines)
+    last = np.searchsorted(till, till - words + least)
+    starts = np.flatnonzero(last < np.repeat(edges[1:], np.diff(edges)))
+    sums = np.r_[np.uint64(0), np.cumsum(lines.view(np.uint64) * _powers(_TURN, n))]
+    keys = (_mixed((sums[last[starts] + 1] - sums[starts]) * _powers(_UNTURN, n)[starts]) >> np.uint64(1)).view(np.int64)
+    own = np.searchsorted(starts, edges)
+    runs = [np.unique(keys[s:e]) for s, e in zip(own[:-1], own[1:])]
+    return lines, words, edges, np.concatenate([*runs, none]), np.cumsum([0, *map(len, runs)])
 
 
 def run_keys(hashes: list[int], counts: list[int], least: int) -> list[int]:
     """Hash of the shortest run of lines with ``least`` words from each line on, blank ones left out."""
     places = [i for i, c in enumerate(counts) if c]
-    out, j, held = [], 0, 0
-    packed = np.array([hashes[i] for i in places], "<i8").tobytes()
-    for i in range(len(places)):
-        while held < least and j < len(places):
-            held += counts[places[j]]
+    if len(places) < len(hashes):
+        hashes, counts = [hashes[i] for i in places], [counts[i] for i in places]
+    digest, packed = xxhash.xxh64_intdigest, np.array(hashes, "<i8").tobytes()
+    till = list(accumulate(counts))
+    out, j, n, before = [], 0, len(till), 0
+    for i, here in enumerate(till):
+        while j < n and till[j] - before < least:
             j += 1
-        if held < least:
+        if j == n:
             break
-        out.append(xxhash.xxh64_intdigest(packed[8 * i : 8 * j]) >> 1)
-        held -= counts[places[i]]
+        out.append(digest(packed[8 * i : 8 * j + 8]) >> 1)
+        before = here
     return out
 
 
 _WORD = re.compile(r"\S+")
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The same in UTF-8: single ones, and those that begin like dashes and quotes.
+_WIDE_RAW, _WIDE_LIKE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"), re.compile(b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+#: White space for strings that is none for bytes.
+_RARE = re.compile(b"[\x1c-\x1f]")
 _TURN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_UNTURN = np.uint64(pow(int(_TURN), -1, 1 << 64))
 
 #: Bytes of a text whose words are hashed in one step; steps end at spaces.
 STEP_BYTES = 1 << 16
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
-_DIGIT = np.where(_SPACE, np.uint64(0), np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64))
-_POWERS, _BACK = (
-    np.multiply.accumulate(np.r_[np.uint64(1), np.full(STEP_BYTES - 1, x, np.uint64)]) for x in (_TURN, np.uint64(pow(int(_TURN), -1, 1 << 64)))
-)
+#: Short texts are hashed together up to so many bytes.
+GROUP_BYTES = 1 << 18
+_DIGIT = np.where(np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]), np.uint64(0), np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64))
+
+
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, n - 1), x, np.uint64)])[:n]
+
+
+_POWERS, _BACK = _powers(_TURN, STEP_BYTES), _powers(_UNTURN, STEP_BYTES)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,35 +154,65 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hash of each word of ``text.split()``, from the values of its bytes, each turned by its place in the word."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    if not text.isascii() and _WIDE.search(text):
-        text = _WIDE.sub(" ", text)
-    raw = text.encode("utf-8", "surrogatepass")
-    out, at = [], 0
+def _has_wide(raw: bytes) -> bool:
+    return any(x in raw for x in _WIDE_RAW) or _WIDE_LIKE.search(raw) is not None
+
+
+def _raw(text: str | None) -> bytes:
+    """The text in UTF-8, white space beyond ASCII as spaces."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return _WIDE.sub(" ", text).encode("utf-8", "surrogatepass") if not raw.isascii() and _has_wide(raw) else raw
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, from the values of its bytes, each turned by its place in the word; and where it begins."""
+    out, places, at = [], [], 0
     while at < len(raw):
         end = at + STEP_BYTES
         if end < len(raw):
             cut = raw.rfind(b" ", at, end)
             end = cut + 1 if cut >= 0 else (raw.find(b" ", end) + 1 or len(raw))
         part = np.frombuffer(raw, np.uint8, min(end, len(raw)) - at, at)
-        at = end
-        blank = _SPACE[part]
+        blank = (part - np.uint8(9) < 5) | (part - np.uint8(28) < 5)  # 9 to 13, 28 to 32
         first = ~blank
         first[1:] &= blank[:-1]
         starts = np.flatnonzero(first)
+        begin, at = at, end
         if len(starts) == 0:
             continue
+        places.append(starts + begin)
         if len(part) <= len(_POWERS):
-            sums = np.cumsum(_DIGIT[part] * _POWERS[: len(part)])
+            sums = np.cumsum(_DIGIT.take(part, mode="clip") * _POWERS[: len(part)])
             till = np.r_[sums[starts[1:] - 1], sums[-1]]
             out.append(_mixed(np.diff(till, prepend=np.uint64(0)) * _BACK[starts]))
         else:  # a part without a space: its words start again at the first power
             place = np.arange(starts[0], len(part)) - np.repeat(starts, np.diff(np.r_[starts, len(part)]))
             out.append(_mixed(np.add.reduceat(_DIGIT[part[starts[0] :]] * _POWERS[place % len(_POWERS)], starts - starts[0])))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(places)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hash of each word of ``text.split()``."""
+    return _hashed(_raw(text))[0]
+
+
+def grouped_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Hashes of the words of neighbouring texts together: the first text's place, the hashes, and where each text's begin (and the last's end)."""
+    at, raws, size = 0, [], 0
+    for i, text in enumerate(texts):
+        raws.append(_raw(text))
+        size += len(raws[-1]) + 1
+        if size >= GROUP_BYTES or i + 1 == len(texts):
+            hashes, places = _hashed(b" ".join(raws))
+            begins = np.cumsum([0, *(len(r) + 1 for r in raws)])
+            yield at, hashes, np.searchsorted(places, begins)
+            at, raws, size = i + 1, [], 0
+
+
+def _whole(edges: np.ndarray, size: int) -> np.ndarray:
+    """Which runs of ``size`` words of a group lie in one text."""
+    n = max(0, int(edges[-1]) - size + 1)
+    return np.arange(n) + size <= np.repeat(edges[1:], np.diff(edges))[:n]
 
 
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -142,23 +241,12 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchor_of(words: np.ndarray, least: int) -> np.ndarray:
-    size = (least + 2) // 3
-    return _least_of(_window_hashes(words, size), least - size + 1).view(np.int64) if len(words) >= least else np.empty(0, np.int64)
+    """The anchor of each run of ``least`` words: the least hash among the runs of a third as many words inside.
 
-
-def windows(text: str | None, least: int) -> np.ndarray:
-    """Hash of each run of ``least`` words, wherever its lines end."""
-    return _window_hashes(word_hashes(text), least).view(np.int64)
-
-
-def anchored_windows(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of ``least`` words and its anchor.
-
-    The anchor is the least hash among the runs of a third as many words inside, so equal windows
-    have equal anchors, and neighbouring windows mostly share theirs.
+    So equal runs have equal anchors, and neighbouring runs mostly share theirs.
     """
-    words = word_hashes(text)
-    return _window_hashes(words, least).view(np.int64), _anchor_of(words, least)
+    size = (least + 2) // 3
+    return _least_of(_window_hashes(words, size), least - size + 1).view(np.int64) if len(words) >= least else np.empty(0, np.int64)
 
 
 def _covered(starts: np.ndarray, n: int, least: int) -> np.ndarray:
@@ -189,8 +277,8 @@ def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     for k, (i, _) in enumerate(pairs):
         p = bisect_left(tops, i)
         back[k] = ends[p - 1] if p else -1
-        tops[p:] = [i] if p == len(tops) else [i, *tops[p + 1 :]]
-        ends[p:] = [k] if p == len(ends) else [k, *ends[p + 1 :]]
+        tops[p : p + 1] = [i]
+        ends[p : p + 1] = [k]
     chain, k = [], ends[-1] if ends else -1
     while k >= 0:
         chain.append(pairs[k])
@@ -336,12 +424,9 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
     rows = clean_names(docs, key, text)
 
     def of(b: pa.RecordBatch) -> dict:
-        tables = [[(h, c) for h, c in zip(*line_table(t)) if c] for t in b.column(1).to_pylist()]
-        hashes = [[h for h, _ in t] for t in tables]
-        counts = [[c for _, c in t] for t in tables]
-        keys = [list(dict.fromkeys(run_keys(h, c, least))) for h, c in zip(hashes, counts)]
-        longs = pa.list_(pa.int64())
-        return {"doc": b.column(0).cast(pa.int64()), "hashes": pa.array(hashes, longs), "counts": pa.array(counts, pa.list_(pa.int32())), "runs": pa.array(keys, longs)}
+        hashes, counts, edges, runs, own = line_runs(b.column(1).to_pylist(), least)
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+        return {"doc": b.column(0).cast(pa.int64()), "hashes": lists(edges, hashes), "counts": lists(edges, counts.astype(np.int32)), "runs": lists(own, runs)}
 
     lines = stored(map_rows(rows, lambda: of, "doc long, hashes array<long>, counts array<int>, runs array<long>").filter("doc is not null and size(runs) > 0"))
     each = lines.select("doc", F.explode("runs").alias("run"))
@@ -379,7 +464,12 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
     ints = pa.list_(pa.int64())
 
     def anchored(b: pa.RecordBatch) -> dict:
-        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array([np.unique(_anchor_of(word_hashes(t), least)) for t in b.column(1).to_pylist()], ints)}
+        out = []
+        for _, words, edges in grouped_words(b.column(1).to_pylist()):
+            whole = _whole(edges, least)
+            anchor, own = _anchor_of(words, least)[whole], np.r_[0, np.cumsum(whole)][np.minimum(edges, len(whole))]
+            out += [np.unique(anchor[s:e]) for s, e in zip(own[:-1], own[1:])]
+        return {"doc": b.column(0).cast(pa.int64()), "anchors": pa.array(out, ints)}
 
     anchors = stored(map_rows(rows, lambda: anchored, "doc long, anchors array<long>").filter("doc is not null and size(anchors) > 0"))
     each = anchors.select("doc", F.explode("anchors").alias("anchor"))
@@ -391,13 +481,20 @@ def shared_windows(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text:
 
     def given(b: pa.RecordBatch) -> dict:
         out = []
-        for t, near, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            hashes, anchor = anchored_windows(t, least)
-            wanted = np.isin(anchor, np.array(near, np.int64))
-            if spans:
-                kept = np.r_[0, (~_in_lines(t, [(x["start"], x["end"]) for x in spans])).cumsum()]
-                wanted &= kept[least:] > kept[:-least]
-            out.append(np.unique(hashes[wanted]))
+        texts, near, spans = b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()
+        for at, words, edges in grouped_words(texts):
+            hashes, anchor = _window_hashes(words, least).view(np.int64), _anchor_of(words, least)
+            # an anchor that another document has is one of every text that holds it; neighbours mostly have the same
+            turns = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
+            met = np.isin(anchor[turns], near.slice(at, len(edges) - 1).flatten().to_numpy())
+            wanted = np.repeat(met, np.diff(np.r_[turns, len(anchor)])) & _whole(edges, least)
+            for i, (s, e) in enumerate(zip(edges[:-1], edges[1:]), at):
+                last = max(s, e - least + 1)
+                mine = wanted[s:last]
+                if spans[i] and len(mine):
+                    kept = np.r_[0, (~_in_lines(texts[i], [(x["start"], x["end"]) for x in spans[i]])).cumsum()]
+                    mine = mine & (kept[least:] > kept[:-least])
+                out.append(np.unique(hashes[s:last][mine]))
         return {"doc": b.column(0), "windows": pa.array(out, ints)}
 
     kept = stored(map_rows(held, lambda: given, "doc long, windows array<long>").filter("size(windows) > 0"))
@@ -481,14 +578,18 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         texts = b.column(kept.index(text))
         spans, found = b.column(len(kept)).to_pylist(), b.column(len(kept) + 1)
         new, counts, cuts = texts.to_pylist(), [0] * b.num_rows, [0] * b.num_rows
+        spans = [[(x["start"], x["end"]) for x in s or []] for s in spans]
+        marked: dict[int, np.ndarray] = {}
+        some = [i for i, valid in enumerate(found.is_valid().to_pylist()) if valid]
+        for at, words, edges in grouped_words([new[i] for i in some]):
+            hashes = _window_hashes(words, least).view(np.int64)
+            for i, s, e in zip(some[at:], edges[:-1], edges[1:]):
+                own = hashes[s : max(s, e - least + 1)]
+                marked[i] = _covered(np.flatnonzero(np.isin(own, found[i].values.to_numpy())), int(e - s), least)
+                cuts[i] = int((marked[i] & ~_in_lines(new[i], spans[i])).sum()) if spans[i] else int(marked[i].sum())
         for i, s in enumerate(spans):
-            s, w, words = [(x["start"], x["end"]) for x in s or []], found[i], None
-            if w.is_valid:
-                t = new[i]
-                words = _covered(np.flatnonzero(np.isin(windows(t, least), w.values.to_numpy())), len(t.split()), least)
-                cuts[i] = int((words & ~_in_lines(t, s)).sum())
-            if s or words is not None:
-                new[i], counts[i] = cut_lines(new[i], s, words)
+            if s or i in marked:
+                new[i], counts[i] = cut_lines(new[i], s, marked.get(i))
         out = {c: b.column(i) for i, c in enumerate(kept)}
         out[text] = pa.array(new, pa.string())
         return out | {"n_removed": pa.array(counts, pa.int64()), "n_cut": pa.array(cuts, pa.int64()), "shared_with": b.column(len(kept) + 2)}

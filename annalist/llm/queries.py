@@ -61,7 +61,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 25 and more words that an earlier one has."""
-    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "shared_with")
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed", "shared_with")
 
 
 @query()

@@ -1,4 +1,5 @@
 import sys
+from itertools import accumulate
 
 from hypothesis import given, settings, strategies as st
 
@@ -24,3 +25,18 @@ def test_steps_end_at_spaces(monkeypatch):
     monkeypatch.setattr(L, "STEP_BYTES", 64)
     assert (L.word_hashes(text) == whole).all() and len(whole) == len(text.split())
     assert len(L.word_hashes(None)) == len(L.word_hashes(" \n　")) == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("abä界\0.!? \n" + SPACES), max_size=60), max_size=12), st.integers(1, 200))
+def test_texts_hashed_together_are_those_hashed_alone(texts, size):
+    before, L.GROUP_BYTES = L.GROUP_BYTES, size
+    try:
+        words = [w[s:e].tolist() for _, w, edges in L.grouped_words(texts) for s, e in zip(edges[:-1], edges[1:])]
+        lines, counts, edges, _, own = L.line_runs(texts, 3)
+    finally:
+        L.GROUP_BYTES = before
+    assert words == [L.word_hashes(t).tolist() for t in texts]
+    tables = [[x for x in zip(*L.line_table(t)) if x[1]] for t in texts]
+    assert [list(zip(lines[s:e].tolist(), counts[s:e].tolist())) for s, e in zip(edges[:-1], edges[1:])] == tables
+    assert own.tolist() == [0, *accumulate(len(set(L.run_keys([h for h, _ in x], [c for _, c in x], 3))) for x in tables)]
