@@ -10,6 +10,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -352,6 +353,8 @@ def repeated(a: list[int], b: list[int], counts: list[int], least: int) -> list[
     a run that both sides still have, moved or hidden by shorter matches, is looked up and
     grown. So no common block of so many words stays.
     """
+    if a == b:  # an exact copy is one block
+        return [(0, len(b))] if sum(counts) >= least else []
     # lines of one side alone part what is around them; for the rest only their number matters
     both = set(a) & set(b)
     a = _shared(a, both)
@@ -575,23 +578,23 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def of(b: pa.RecordBatch) -> dict:
-        texts = b.column(kept.index(text))
-        spans, found = b.column(len(kept)).to_pylist(), b.column(len(kept) + 1)
-        new, counts, cuts = texts.to_pylist(), [0] * b.num_rows, [0] * b.num_rows
-        spans = [[(x["start"], x["end"]) for x in s or []] for s in spans]
+        texts, spans, found = b.column(kept.index(text)), b.column(len(kept)), b.column(len(kept) + 1)
+        touched = pc.or_(spans.is_valid(), found.is_valid())
+        at = np.flatnonzero(touched.to_numpy(zero_copy_only=False))
+        new, counts, cuts = texts.take(pa.array(at)).to_pylist(), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+        lined = [[(x["start"], x["end"]) for x in s or []] for s in spans.take(pa.array(at)).to_pylist()]
         marked: dict[int, np.ndarray] = {}
-        some = [i for i, valid in enumerate(found.is_valid().to_pylist()) if valid]
-        for at, words, edges in grouped_words([new[i] for i in some]):
+        some = [i for i, k in enumerate(at.tolist()) if found[k].is_valid]
+        for first, words, edges in grouped_words([new[i] for i in some]):
             hashes = _window_hashes(words, least).view(np.int64)
-            for i, s, e in zip(some[at:], edges[:-1], edges[1:]):
+            for i, s, e in zip(some[first:], edges[:-1], edges[1:]):
                 own = hashes[s : max(s, e - least + 1)]
-                marked[i] = _covered(np.flatnonzero(np.isin(own, found[i].values.to_numpy())), int(e - s), least)
-                cuts[i] = int((marked[i] & ~_in_lines(new[i], spans[i])).sum()) if spans[i] else int(marked[i].sum())
-        for i, s in enumerate(spans):
-            if s or i in marked:
-                new[i], counts[i] = cut_lines(new[i], s, marked.get(i))
+                marked[i] = _covered(np.flatnonzero(np.isin(own, found[int(at[i])].values.to_numpy())), int(e - s), least)
+                cuts[at[i]] = int((marked[i] & ~_in_lines(new[i], lined[i])).sum()) if lined[i] else int(marked[i].sum())
+        for i, s in enumerate(lined):
+            new[i], counts[at[i]] = cut_lines(new[i], s, marked.get(i))
         out = {c: b.column(i) for i, c in enumerate(kept)}
-        out[text] = pa.array(new, pa.string())
+        out[text] = pc.replace_with_mask(texts, touched, pa.array(new, texts.type))
         return out | {"n_removed": pa.array(counts, pa.int64()), "n_cut": pa.array(cuts, pa.int64()), "shared_with": b.column(len(kept) + 2)}
 
     return map_rows(both, lambda: of, f"{kinds}, n_removed long, n_cut long, shared_with array<long>")

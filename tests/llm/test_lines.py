@@ -154,3 +154,12 @@ def test_passages_inside_longer_lines_go(spark):
     out = {r.doc_id: r for r in L.line_dedup(brute.docs(spark, list(docs.items()))).collect()}
     assert {k: r.text.split() for k, r in out.items()} == want
     assert out[32].text == "Own start. \nOwn end." and out[32].n_cut == 40 and out[32].shared_with
+
+
+def test_an_exact_copy_is_one_block():
+    rng = random.Random(5)
+    for _ in range(300):
+        b = [rng.randrange(4) for _ in range(rng.randrange(1, 30))]
+        counts = [h + 1 for h in b]
+        aligned = [(j, j + n) for _, j, n in L.patience(b, b) if sum(counts[j : j + n]) >= 9]
+        assert L.repeated(list(b), b, counts, 9) == aligned == ([(0, len(b))] if sum(counts) >= 9 else [])
