@@ -4,9 +4,11 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from annalist.functions import similarity
 from annalist.functions.similarity import _codes, lcs_of_pairs, ratio
 from annalist.operators import clustering as cl, dedupe as dd, pairs as pr, slices as sl, threading as th
 from tests import models as md
@@ -272,6 +274,52 @@ def test_lcs_of_pairs_equals_the_plain_table():
     assert len(lcs_of_pairs(codes, codes, i[:0], j[:0])) == 0
 
 
+def test_lcs_of_few_long_pairs_and_of_many_agree(monkeypatch):
+    """A lone pair of long texts took a step over arrays for each word and letter; now one integer has its row."""
+    rng = random.Random(6)
+    codes = [_codes("".join(rng.choices("abcdé가 \U0001f600", k=n))) for n in (0, 1, 62, 63, 64, 126, 127, 500, 2_000)]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(codes)) for b in range(len(codes))]))
+    got = []
+    for steps, cells in ((0, 1 << 18), (0, 500), (1 << 30, 1 << 18)):
+        monkeypatch.setattr(similarity, "ROW_STEPS", steps)
+        monkeypatch.setattr(similarity, "MASK_CELLS", cells)
+        got.append(lcs_of_pairs(codes, codes, i, j).tolist())
+    assert got[0] == got[1] == got[2]
+    assert [got[0][k] for k in range(len(i)) if i[k] == j[k]] == [len(c) for c in codes]
+    monkeypatch.undo()
+    monkeypatch.setattr(similarity, "_lcs_of_width", None)
+    assert lcs_of_pairs(codes, codes, np.array([8]), np.array([8])).tolist() == [2_000]
+
+
+def test_tiles_are_listed_in_strips_and_two_titles_are_scored_once(monkeypatch):
+    """All pairs of a tile were listed at once, and titles were scored again in each."""
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(9), "T " + " ".join(rng.choices(WORDS, k=rng.randint(1, 3))), "S " + " ".join(rng.choices(WORDS, k=12)), rng.choice("LR")) for i in range(150)]
+    table = pa.table(dict(zip(["_id", "_d", "_title", "_summary", "_side"], zip(*rows))))
+    scored, plain = [], dd.lcs_of_pairs
+
+    def counted(left, right, i, j):
+        scored.extend(frozenset((left[a].tobytes(), right[b].tobytes())) for a, b in zip(i, j))
+        return plain(left, right, i, j)
+
+    monkeypatch.setattr(dd, "lcs_of_pairs", counted)
+    monkeypatch.setattr(dd, "STRIP_CELLS", 200)
+    monkeypatch.setattr(dd, "STEP_CELLS", 400)
+    found = list(dd._similar(table, np.zeros(len(rows), dtype=np.int64), 55.0))
+    assert len(found) > 20 and max(len(i) for i, _, _ in found) <= 200
+    got = {(rows[a][0], rows[b][0]): s for i, j, score in found for a, b, s in zip(i.tolist(), j.tolist(), score.tolist())}
+    wanted = {}
+    for a in (r for r in rows if r[4] == "L"):
+        for b in (r for r in rows if r[4] == "R" and abs(r[1] - a[1]) <= dd.WINDOW_DAYS):
+            title, summary = (100 * ratio(a[c], b[c]) for c in (2, 3))
+            if max(title, summary) >= 55:
+                wanted[a[0], b[0]] = title if title >= 55 else summary
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert sum(len(i) for i, _, _ in found) == len(got) and any(0 < s < 100 for s in got.values())
+    titles = [x for x in scored if all(t[:4] == _codes("T").tobytes() for t in x)]
+    assert titles and len(titles) == len(set(titles))
+
+
 WORDS = "alpha beta gamma delta launch expand build service cloud search".split()
 CANON = "canonical_id long, company_id long, canonical_date string, entity string, domain string, event_type string, title string, summary string"
 
