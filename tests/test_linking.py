@@ -274,6 +274,20 @@ def test_lcs_of_pairs_equals_the_plain_table():
     assert len(lcs_of_pairs(codes, codes, i[:0], j[:0])) == 0
 
 
+def test_streams_keep_of_a_row_what_turns_read():
+    """Every row was held with its company, island, part and the blank fields of threads, and with words of its own."""
+    one = th._Stream(180, 10, pr.RuleClassifier(), [], 100)
+    rest = dict(_company=1, _island=0, _part=7, _role="turn", _thread=0, _rank_day=0, _rank_id=0, _next=0)
+    for n in (1, 2):
+        words = {c: "".join(["a long ", "word"]) for c in ("_entity", "_domain", "_text", *pr.FACTS)}
+        one.arrive(dict(_id=n, _d=100 + n, **words, **rest))
+    first, second = one.waiting
+    assert set(first) == {*th.HELD, "_n", "_gone"} and all(first[c] is second[c] for c in ("_entity", "_text", *pr.FACTS))
+    one.arrive(dict(_id=3, _d=103, _entity=None, _domain="d", _text=None, event_type="t", entity=None, domain="d", **{**rest, "_role": "last", "_thread": 5, "_next": 2}))
+    one.close()
+    assert [(x[0], x[1]) for x in one.out if x[0] == "action"] == [("action", 1), ("action", 2)]
+
+
 def test_lcs_of_few_long_pairs_and_of_many_agree(monkeypatch):
     """A lone pair of long texts took a step over arrays for each word and letter; now one integer has its row."""
     rng = random.Random(6)
